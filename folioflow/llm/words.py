@@ -64,6 +64,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK
     """A 64-bit hash of every word, and for each text the number of its first word (one more than texts)."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    if fold:
+        data = LOWER[data]
     inside = ~blank[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
@@ -75,7 +77,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(((LOWER[data] if fold else data).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     raw = (sums[end] - sums[start]) * down[start]
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(start, offsets)
 
