@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 TREES = 32
 BITS = 64
 #: The part of a shard's distinct vectors that the ascent gathers for a query.
-GATHER = 0.6
+GATHER = 0.7
 SHARD_ROWS = 8192
 QUERY_ROWS = 2048
 SEED = 7
