@@ -1,4 +1,4 @@
 """Every query of the library, by name."""
 
-from .operators import entries, ledger, mining, shelf  # noqa: F401
+from .operators import entries, ledger, mining, publishing, shelf, structure  # noqa: F401
 from .plans.registry import ORACLES, QUERIES  # noqa: F401
