@@ -37,6 +37,10 @@ from .words import BLANK, shingles, slices, word_hashes
 
 #: Groups of shingles, the dimensions of the tree.
 GROUPS = 64
+#: Single pairs are bounded by finer points: a group for every so many shingles, MOST_GROUPS at most.
+SHINGLES_PER_GROUP, MOST_GROUPS = 8, 4096
+#: So many documents' keys (16 bytes each) at most are broadcast to select the texts to verify; more are shuffled.
+BROADCAST_KEYS = 500_000
 #: Documents of the sample by which frequent shingles are known, and how many of it make a shingle frequent.
 SAMPLE_DOCS = 20_000
 FREQUENT = 40
@@ -58,12 +62,42 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def points(s: np.ndarray) -> np.ndarray:
-    """Counts of the groups; 255 stands for any number from 255 on."""
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
-
-
-def wide(p: np.ndarray) -> np.ndarray:
-    return np.where(p == 255, np.uint16(20_000), p.astype(np.uint16))
+    """Counts of the groups, more groups for larger sets; 255 stands for any number from 255 on."""
+    groups = GROUPS
+    while groups < MOST_GROUPS and groups * SHINGLES_PER_GROUP < len(s):
+        groups *= 2
+    return np.minimum(np.bincount((s >> np.uint64(64 - (groups.bit_length() - 1))).astype(np.int64), minlength=groups), 255).astype(np.uint8)
+
+
+def wide(p: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Points (a row each) with fewer groups, and room for sums; a group with a full member is as good as unbounded."""
+    p = np.where(p == 255, np.uint16(20_000), p.astype(np.uint16))
+    if p.shape[1] > groups:
+        p = np.minimum(p.reshape(len(p), groups, -1).sum(2, dtype=np.int64), 20_000).astype(np.uint16)
+    return p
+
+
+def coarse(column: pa.Array) -> np.ndarray:
+    """The points of a column with ``GROUPS`` groups."""
+    found = column.to_pylist()
+    out = np.empty((len(found), GROUPS), np.uint16)
+    size = np.array([len(x) for x in found])
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        out[at] = wide(np.frombuffer(b"".join([found[i] for i in at]), np.uint8).reshape(-1, n))
+    return out
+
+
+def shared_at_most(p: pa.Array, q: pa.Array) -> np.ndarray:
+    """For each pair of points the sum of the minima, with as many groups as both have."""
+    p, q = p.to_pylist(), q.to_pylist()
+    out = np.empty(len(p), np.int64)
+    size = np.array([(len(x), len(y)) for x, y in zip(p, q)])
+    for m, n in np.unique(size, axis=0):
+        at = np.flatnonzero((size[:, 0] == m) & (size[:, 1] == n))
+        x, y = (wide(np.frombuffer(b"".join([c[i] for i in at]), np.uint8).reshape(len(at), -1), min(m, n)) for c in (p, q))
+        out[at] = np.minimum(x, y).sum(1, dtype=np.int64)
+    return out
 
 
 def enough(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -125,21 +159,20 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
-                p, q = (wide(np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS)) for i in (4, 5))
-                ok = enough(np.minimum(p, q).sum(1, dtype=np.int64), b.column(2).to_numpy() + b.column(3).to_numpy().astype(np.int64), percent)
+                ok = enough(shared_at_most(b.column(4), b.column(5)), b.column(2).to_numpy() + b.column(3).to_numpy().astype(np.int64), percent)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
 
     return both.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(batches, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' sets link."""
-    texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
-    where = nodes.select("node", "key", "version")
-
-    def with_text(p: DataFrame, side: str) -> DataFrame:
-        p = p.join(where.toDF(side, "_key", "_version"), side)
-        return p.join(texts.toDF("_k", "_v", f"text_{side}"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_version") == F.col("_v"))).drop("_key", "_version", "_k", "_v")
+    """Those of the pairs (a, b) whose texts' sets link. Only texts that are in some pair are shuffled, once and by pair."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    used = cut(used.join(nodes.select("node", F.col("key").alias("_key"), F.col("version").alias("_version")), "node"), "used")
+    used = F.broadcast(used) if used.count() <= BROADCAST_KEYS else used
+    texts = docs.select(key, text, F.xxhash64(text).alias("_v"))
+    texts = texts.join(used, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_v") == F.col("_version"))).select("node", F.col(text).alias("text")).dropDuplicates(["node"])
+    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -151,7 +184,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
                     ok.append(100 * shared >= percent * (len(s) + len(t) - shared))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    return with_text(with_text(pairs, "b"), "a").select("a", "b", "text_a", "text_b").mapInArrow(batches, "a bigint, b bigint")
+    return both.mapInArrow(batches, "a bigint, b bigint")
 
 
 class CountTree:
@@ -197,7 +230,7 @@ class CountTree:
 def block_pairs(node: np.ndarray, n: np.ndarray, point: np.ndarray, component: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one block that may link."""
     order = np.argsort(n, kind="stable")
-    node, tree = node[order], CountTree(n[order], wide(point[order]), component[order])
+    node, tree = node[order], CountTree(n[order], point[order], component[order])
     for leaf in range(len(tree.levels[0][0])):
         for i, j in tree.query(leaf, percent):
             yield node[i], node[j]
@@ -213,7 +246,7 @@ def small_pairs(block: np.ndarray, node: np.ndarray, n: np.ndarray, point: np.nd
         lo, hi = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j])
         ok = (component[i] != component[j]) & (100 * lo >= percent * hi)
         i, j = i[ok], j[ok]
-        shared = np.minimum(wide(point[i]), wide(point[j])).sum(1, dtype=np.int64)
+        shared = np.minimum(point[i], point[j]).sum(1, dtype=np.int64)
         ok = enough(shared, n[i].astype(np.int64) + n[j], percent)
         if ok.any():
             yield node[i[ok]], node[j[ok]]
@@ -241,7 +274,7 @@ def tree_pairs(blocks: DataFrame, percent: int) -> DataFrame:
             if not b.num_rows:
                 continue
             key, node, n, component = (b.column(i).to_numpy() for i in (0, 1, 2, 4))
-            point = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, GROUPS)
+            point = coarse(b.column(3))
             if held and held[-1][0][-1] != key[0]:
                 yield from solve(held)
                 held = []
@@ -280,7 +313,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     placed = placed.repartition("key")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     left = placed.join(mixed, "key").join(nodes.select("node", "n", "point"), "node")
-    second = cut(tree_pairs(left, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    second = cut(bounded(tree_pairs(left, percent).join(first, ["a", "b"], "left_anti"), nodes, percent), "pairs")
     more = cut(verified(second, nodes, docs, key, text, k, percent), "verified")
     label = components(links.unionByName(more)) if not more.isEmpty() else label
 

@@ -66,7 +66,7 @@ def test_tree_finds_all_pairs():
     pick = np.random.default_rng(3)
     base = pick.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
     sets = [np.unique(np.concatenate([pick.choice(base[i % 4 * 100 : i % 4 * 100 + 100], 90, False), pick.integers(0, 1 << 63, 5).astype(np.uint64)])) for i in range(300)]
-    n, point = np.array([len(s) for s in sets]), np.stack([jaccard_join.points(s) for s in sets])
+    n, point = np.array([len(s) for s in sets]), np.stack([jaccard_join.wide(jaccard_join.points(s)[None])[0] for s in sets])
     component = np.where(np.arange(300) % 4 == 0, 0, np.arange(300))
     got = {tuple(sorted(p)) for x in jaccard_join.block_pairs(np.arange(300), n, point, component, 85) for p in zip(*(y.tolist() for y in x))}
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if component[i] != component[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
