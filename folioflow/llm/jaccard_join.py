@@ -31,8 +31,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .components import components
-from .store import cut
+from ..operators.graph import components
+from ..store import cut
 from .words import BLANK, shingles, slices, word_hashes
 
 #: Groups of shingles, the dimensions of the tree.

@@ -8,7 +8,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from folioflow.llm import components, decontaminate, hash_forest, jaccard_join, line_dedup
+from folioflow.llm import decontaminate, hash_forest, jaccard_join, line_dedup
+from folioflow.operators.graph import components
 
 
 def sentence(pick, n):
@@ -51,9 +52,8 @@ def brute_classes(texts, k, percent):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("k, percent, leaf, seed", [(4, 85, 64, 1), (5, 80, 2, 2), (4, 85, 2, 3)])
-def test_jaccard_join(spark, monkeypatch, k, percent, leaf, seed):
-    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+@pytest.mark.parametrize("k, percent, seed", [(4, 85, 1), (5, 80, 2)])
+def test_jaccard_join(spark, k, percent, seed):
     texts = documents(seed)
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(3, texts[3], "x", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string, n int").repartition(3)
@@ -81,7 +81,7 @@ def test_jaccard_join_empty_and_null_keys(spark):
 
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (900, 900)], "a long, b long")
-    got = {r.node: r.label for r in components.components(links).collect()}
+    got = {r.node: r.label for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
 
 
