@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 BLANKS = r"(?U)^\s+"
@@ -80,26 +82,36 @@ _WHOLE = rf"^(.+?)\s*(?:[（(]\s*({_VOLUME})\s*[)）]|(?:[-–—_·:：]\s*|\s+
 _COMPLETE = r"\s*[\[（(【]\s*(?:完结版|完结|完|全|终)\s*[\]）)】]\s*$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: keeps long expressions from being written out again and again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def volume_marker(m: Column) -> Column:
     """A volume with its number first: ``卷02`` and ``第02卷`` are ``02卷``, ``Vol.3`` is ``3卷``."""
-    flat = F.regexp_replace(m, r"(?U)\s+", "")
-    return (
-        F.when(flat.rlike(rf"^[卷部册集]{_NUM}$"), F.regexp_replace(flat, rf"^([卷部册集])({_NUM})$", "$2$1"))
+    return let(
+        F.regexp_replace(m, r"(?U)\s+", ""),
+        lambda flat: F.when(flat.rlike(rf"^[卷部册集]{_NUM}$"), F.regexp_replace(flat, rf"^([卷部册集])({_NUM})$", "$2$1"))
         .when(flat.rlike(rf"^第{_NUM}[卷部册集]$"), F.regexp_replace(flat, rf"^第({_NUM})([卷部册集])$", "$1$2"))
         .when(flat.rlike(r"^[Vv][Oo][Ll]\.?[0-9]+$"), F.concat(F.regexp_replace(flat, r"^[Vv][Oo][Ll]\.?", ""), F.lit("卷")))
-        .otherwise(flat)
+        .otherwise(flat),
     )
 
 
 def canonical_name(stem: Column) -> Column:
     """A book's name without the tail of its file name, and with its volume in one form; the same when applied again."""
-    stem = trim_all(stem)
-    first = trim_all(F.split(stem, " -- ", 2)[0])
-    plain = trim_all(F.regexp_replace(first, _COMPLETE, ""))
     pattern = "(?U)" + _WHOLE
-    volume = F.concat(*(F.regexp_extract(plain, pattern, g) for g in (2, 3, 4)))
-    title = trim_all(F.regexp_replace(trim_all(F.regexp_extract(plain, pattern, 1)), "[-–—_·:：]+$", ""))
-    return F.when(first == "", stem).when((title != "") & (volume != ""), F.concat(title, F.lit(" - "), volume_marker(volume))).otherwise(plain)
+
+    def named(plain: Column) -> Column:
+        volume = F.concat(*(F.regexp_extract(plain, pattern, g) for g in (2, 3, 4)))
+        title = trim_all(F.regexp_replace(trim_all(F.regexp_extract(plain, pattern, 1)), "[-–—_·:：]+$", ""))
+        return let(F.struct(title.alias("title"), volume.alias("volume")), lambda x: F.when((x["title"] != "") & (x["volume"] != ""), F.concat(x["title"], F.lit(" - "), volume_marker(x["volume"]))).otherwise(plain))
+
+    def whole(stem: Column) -> Column:
+        first = trim_all(F.split(stem, " -- ", 2)[0])
+        return let(first, lambda x: F.when(x == "", stem).otherwise(let(trim_all(F.regexp_replace(x, _COMPLETE, "")), named)))
+
+    return let(trim_all(stem), whole)
 
 
 def canonical_file_name(name: Column) -> Column:
@@ -129,7 +141,10 @@ def file_stem(name: Column) -> Column:
 
 
 #: Media types by extension.
-MIME = {"epub": "application/epub+zip", "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "html": "text/html", "json": "application/json", "md": "text/markdown", "txt": "text/plain", "zip": "application/zip"}
+MIME = {
+    "epub": "application/epub+zip", "pdf": "application/pdf", "zip": "application/zip", "rmdoc": "application/zip", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml",
+    "ttf": "font/ttf", "otf": "font/otf", "ttc": "font/collection", "json": "application/json", "md": "text/markdown; charset=utf-8", "txt": "text/plain; charset=utf-8", "html": "text/html; charset=utf-8", "htm": "text/html; charset=utf-8",
+}
 
 
 def file_mime(name: Column) -> Column:
@@ -215,3 +230,57 @@ def fnv64(c: Column) -> Column:
     data = F.transform(places, lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
     out = F.aggregate(data, F.lit("14695981039346656037").cast("decimal(38,0)"), step)
     return F.lower(F.lpad(F.conv(out.cast("string"), 10, 16), 16, "0"))
+
+
+#: How files of a kind begin, in hexadecimal.
+MAGIC = {"89504E47": "png", "FFD8FF": "jpg", "25504446": "pdf", "504B0304": "zip", "47494638": "gif", "00010000": "ttf", "74727565": "ttf", "4F54544F": "otf", "74746366": "ttc"}
+
+
+def sniff_format(content: Column) -> Column:
+    """The format by a file's first bytes, whatever its name; null if unknown."""
+    head = F.hex(F.substring(content, 1, 12))
+    out = F.when(head.rlike("^52494646.{8}57454250"), "webp")
+    for start, kind in MAGIC.items():
+        out = out.when(head.startswith(start), kind)
+    return out
+
+
+def percent_decode(c: Column) -> Column:
+    """URL escapes resolved; a plus stays a plus, and a text with a broken escape stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
+def sidecar_name(name: Column, most: int = 255, kept: int = 200) -> Column:
+    """``.name.delivered``, or a cut name and a digest if that is too long for a file name (in bytes)."""
+    plain = F.concat(F.lit("."), name, F.lit(".delivered"))
+    places = F.sequence(F.lit(0), F.length(name))
+    cut = F.element_at(F.filter(F.transform(places, lambda n: F.substring(name, F.lit(1), n)), lambda s: F.octet_length(s) <= kept), -1)
+    return F.when(F.octet_length(plain) <= most, plain).otherwise(F.concat(F.lit("."), cut, F.lit("."), F.substring(F.sha2(name, 256), 1, 16), F.lit(".delivered")))
+
+
+def build_prompt(intro: Column, book: Column, chapter: Column, quote: Column, note: Column, question: Column) -> Column:
+    """Lines of context that aren't empty, each cut to its limit, and the question."""
+
+    def line(head: str, c: Column, limit: int, tail: str = "") -> Column:
+        return F.when(F.coalesce(trim_all(c), F.lit("")) != "", F.concat(F.lit(head), truncate_chars(trim_all(c), limit), F.lit(tail + "\n"))).otherwise("")
+
+    context = (line("书名：", book, 100), line("章节：", chapter, 100), line("勾画原文：「", quote, 500, "」"), line("旁边的批注：", note, 500))
+    return F.concat(intro, F.lit("\n\n"), *context, F.lit("\n问题："), truncate_chars(trim_all(question), 500))
+
+
+#: Codes of tools and colours.
+TOOLS = {0: "brush", 12: "brush", 1: "pencil", 14: "pencil", 2: "ballpoint", 15: "ballpoint", 3: "marker", 16: "marker", 4: "fineliner", 17: "fineliner", 5: "highlighter", 18: "highlighter", 6: "eraser", 7: "mechanical_pencil", 13: "mechanical_pencil", 8: "eraser_area", 9: "erase_all", 10: "selection_brush", 11: "selection_brush", 21: "calligraphy"}
+COLOURS = {0: "black", 1: "grey", 2: "white", 3: "yellow", 4: "green", 5: "pink", 6: "blue", 7: "red", 8: "grey_overlap"}
+#: Codes of paragraph styles.
+STYLES = {"body": 1, "bullet": 4, "numbered": 10, "checkbox": 6, "heading1": 3, "heading2": 3}
+
+
+def named(code: Column, table: dict[int, str]) -> Column:
+    """The name of a code; an unknown code is kept."""
+    names = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.coalesce(names[code.cast("int")], F.concat(F.lit("unknown:"), code.cast("string")))
+
+
+def colour_name(code: Column, red: Column, green: Column, blue: Column) -> Column:
+    """The same for colours; an unknown one with its parts is ``#rrggbb``."""
+    return F.when(~code.isin(*COLOURS) & red.isNotNull(), F.format_string("#%02x%02x%02x", red, green, blue)).otherwise(named(code, COLOURS))

@@ -72,17 +72,16 @@ def lockout_window(failures: DataFrame, seconds: int = 86400, limit: int = 5) ->
     return failures.withColumn("micros", micros).withColumn("n", n).select("ip", "ts", "n", (F.col("n") >= limit).alias("locked"))
 
 
-def lockout_fold(failures: DataFrame, seconds: int = 60, limit: int = 5, locked_for: int = 300) -> DataFrame:
-    """Per source the times at which it was locked. A failure while it is locked is ignored and doesn't prolong the lock,
-    so what counts depends on what was before: a fold over the sorted times (``at``, seconds)."""
-    zero = F.expr("struct(CAST(array() AS array<bigint>) AS recent, CAST(0 AS bigint) AS until, CAST(array() AS array<bigint>) AS locks)")
+def lockout_fold(failures: DataFrame, seconds: int = 60, limit: int = 5) -> DataFrame:
+    """Per source the times (``at``, seconds) at which it was locked. It stays locked until its failures are older than the
+    window, and a failure meanwhile is ignored, so what counts depends on what was before: a fold over the sorted times."""
+    zero = F.expr("struct(CAST(array() AS array<bigint>) AS recent, CAST(array() AS array<bigint>) AS locks)")
 
     def step(state, t):
-        recent = F.concat(F.filter(state["recent"], lambda x: x > t - seconds), F.array(t))
-        lock = F.size(recent) >= limit
-        none = F.array().cast("array<bigint>")
-        after = F.struct(F.when(lock, none).otherwise(recent).alias("recent"), F.when(lock, t + locked_for).otherwise(state["until"]).alias("until"), F.when(lock, F.concat(state["locks"], F.array(t))).otherwise(state["locks"]).alias("locks"))
-        return F.when(t < state["until"], state).otherwise(after)
+        recent = F.filter(state["recent"], lambda x: x > t - seconds)
+        full = F.size(recent) >= limit
+        locks = F.when(~full & (F.size(recent) + 1 >= limit), F.concat(state["locks"], F.array(t))).otherwise(state["locks"])
+        return F.struct(F.when(full, recent).otherwise(F.concat(recent, F.array(t))).alias("recent"), locks.alias("locks"))
 
     times = F.array_sort(F.collect_list(F.col("at").cast("long")))
     return failures.withColumn("ip", E.canonical_ip(F.col("ip").cast("string"))).groupBy("ip").agg(F.aggregate(times, zero, step)["locks"].alias("locks"))
