@@ -63,11 +63,11 @@ def _seconds(t) -> float:
 class Lockout(StatefulProcessor):
     """Failures and successes of a source to the moments at which it is locked."""
 
-    def __init__(self, limit: int = 5, seconds: int = 60):
-        self.limit, self.seconds = limit, seconds
+    def __init__(self, limit: int = 5, seconds: int = 60, ttl_ms: int | None = None):
+        self.limit, self.seconds, self.ttl_ms = limit, seconds, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "at double", ttlDurationMs=86_400_000)
+        self.recent = handle.getListState("recent", "at double", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         recent = [x[0] for x in self.recent.get()] if self.recent.exists() else []
@@ -82,16 +82,16 @@ class Lockout(StatefulProcessor):
             self.recent.put([(x,) for x in recent])
         else:
             self.recent.clear()
-        if locks:
-            yield pd.DataFrame({"ip": [key[0]] * len(locks), "locked_at": pd.to_datetime(pd.Series(locks, dtype="float64"), unit="s")})
+        yield pd.DataFrame({"ip": pd.Series([key[0]] * len(locks), dtype=object), "locked_at": pd.to_datetime(pd.Series(locks, dtype="float64"), unit="s")})
 
     def close(self) -> None:
         pass
 
 
-def lockout_stream(attempts: DataFrame, limit: int = 5, seconds: int = 60) -> DataFrame:
-    """(ip, at, ok) to (ip, locked_at). State that nothing touched for a day goes by itself."""
-    return attempts.groupBy("ip").transformWithStateInPandas(Lockout(limit, seconds), "ip string, locked_at timestamp", "Append", "ProcessingTime")
+def lockout_stream(attempts: DataFrame, limit: int = 5, seconds: int = 60, ttl_ms: int | None = None) -> DataFrame:
+    """(ip, at, ok) to (ip, locked_at). With ``ttl_ms``, state that nothing touched for that time goes by itself (only in
+    streams that run on: a stream of what is available now has no end then)."""
+    return attempts.groupBy("ip").transformWithStateInPandas(Lockout(limit, seconds, ttl_ms), "ip string, locked_at timestamp", "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 class Retry(StatefulProcessor):
@@ -111,8 +111,7 @@ class Retry(StatefulProcessor):
                 n, last = n + 1, at
                 out.append("hand" if n <= self.most else "give_up")
         self.tries.update((n, last))
-        if out:
-            yield pd.DataFrame({"item": [key[0]] * len(out), "action": out})
+        yield pd.DataFrame({"item": pd.Series([key[0]] * len(out), dtype=object), "action": pd.Series(out, dtype=object)})
 
     def close(self) -> None:
         pass
@@ -140,8 +139,7 @@ class Gate(StatefulProcessor):
                 out.append(at)
         if out:
             self.fired.update((last,))
-        if out:
-            yield pd.DataFrame({"user": [key[0]] * len(out), "fired_at": pd.to_datetime(pd.Series(out, dtype="float64"), unit="s")})
+        yield pd.DataFrame({"user": pd.Series([key[0]] * len(out), dtype=object), "fired_at": pd.to_datetime(pd.Series(out, dtype="float64"), unit="s")})
 
     def close(self) -> None:
         pass
