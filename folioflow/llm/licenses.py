@@ -108,3 +108,24 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
         )
         .drop("row")
     )
+
+
+def oracle(phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, gap: int = GAP, coverage: float = COVERAGE) -> str:
+    """DuckDB SQL for the same rows."""
+    rows = []
+    for t, (wording, label, base) in enumerate([*((p, x, True) for p, x in phrases.items()), *((p, x, False) for p, x in notices.items())]):
+        words = wording.split()
+        rows += [f"({t}, '{label}', {base}, {len(words) - 1}, {i}, '{words[i]}', '{words[i + 1]}')" for i in range(len(words) - 1)]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH t(template, label, base, pairs, pos, a, b) AS (VALUES {", ".join(rows)}),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{WORD}') AS w FROM documents),
+p AS (SELECT r, i, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT r, w, unnest(range(0, len(w) - 1)) AS i FROM d)),
+v AS (SELECT r, template, label, base, pairs, i - pos AS diagonal, count(*) AS votes FROM p JOIN t USING (a, b) GROUP BY ALL),
+g AS (SELECT *, sum(CASE WHEN diagonal - before > CASE WHEN base THEN 0 ELSE {gap} END THEN 1 ELSE 0 END) OVER (PARTITION BY r, template ORDER BY diagonal) AS band FROM (SELECT *, lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) AS before FROM v)),
+s AS (SELECT r, template, label, base, least(sum(votes), pairs) / pairs AS covered, count(*) FILTER (base AND votes = pairs) AS wholes, min(diagonal) FILTER (base AND votes = pairs) AS low, max(diagonal) FILTER (base AND votes = pairs) AS high FROM g GROUP BY r, template, label, base, pairs, band),
+f AS (SELECT *, CASE WHEN base THEN wholes > 0 ELSE covered >= {coverage} END AS found FROM s)
+SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, CAST(coalesce(sum(wholes), 0) AS BIGINT) AS n_base, min(low) AS first_word, max(high) AS last_word,
+ coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (base AND found))), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (found))), ','), '') AS labels,
+ coalesce(max(CASE WHEN found OR NOT base THEN CAST(covered AS DOUBLE) ELSE 0 END), 0.0::DOUBLE) AS score FROM d LEFT JOIN f USING (r) GROUP BY d.r, d.doc_id
+"""

@@ -76,4 +76,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_benchmark_leaks": decontaminate.ORACLE,
+        "op9_license_scan": licenses.oracle(),
+        "op10_jaccard_join": jaccard_join.ORACLE,
     }
