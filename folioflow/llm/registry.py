@@ -76,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_benchmark_leaks": decontaminate.ORACLE,
+        "op8_secret_scan": secrets.oracle(),
         "op9_license_scan": licenses.oracle(),
         "op10_jaccard_join": jaccard_join.ORACLE,
     }

@@ -111,3 +111,26 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
         .join(verdicts, "row", "left")
         .select(key, "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(_joined(F.col("shown")), F.lit("")).alias("spans"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"), F.coalesce("most_repositories", F.lit(0)).cast("long").alias("most_repositories"))
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL for the rows of ``scan`` on ``documents``. Between the matches of a pattern stand the parts that it splits
+    the text into, so their lengths give the matches' places."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    parts = [("assign", 0, ASSIGN, 1, 2), ("access", 1, ACCESS, 0, 0), ("hex", 2, HEX, 0, 0), ("further", 3, FURTHER, 0, 0)]
+    each = " UNION ALL ".join(f"SELECT r, '{k}' AS kind, {n} AS pattern, string_split_regex(t, {quoted(p)}) AS g, regexp_extract_all(t, {quoted(p)}, {a}) AS m, regexp_extract_all(t, {quoted(p)}, {b}) AS v FROM d" for k, n, p, a, b in parts)
+    ranks = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS))
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, source AS owner, coalesce(text, '') AS t FROM documents),
+k AS ({each}),
+x AS (SELECT r, kind, pattern, i, g[i] AS g, m[i] AS m, v[i] AS v FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k WHERE len(m) > 0)),
+y AS (SELECT r, CASE WHEN kind <> 'further' THEN kind WHEN m LIKE 'gh%' THEN 'github' WHEN m LIKE 'xox%' THEN 'slack' WHEN m LIKE 'sk_%' THEN 'stripe' WHEN m LIKE 'AIza%' THEN 'google' WHEN m LIKE 'eyJ%' THEN 'jwt' ELSE 'pem' END AS kind, v,
+ sum(length(g) + length(m)) OVER w - length(m) AS s, sum(length(g) + length(m)) OVER w AS e FROM x WINDOW w AS (PARTITION BY r, pattern ORDER BY i)),
+z AS (SELECT r, kind, CASE kind {ranks} END AS rank, s, e, v FROM y WHERE kind <> 'assign' OR length(v) >= 12),
+o AS (SELECT v, count(*) AS owners, sum(n) AS repositories FROM (SELECT v, owner, count(DISTINCT coalesce(CAST(d.doc_id AS VARCHAR), '-')) AS n FROM z JOIN d USING (r) GROUP BY v, owner) GROUP BY v),
+f AS (SELECT z.*, owners >= {COPIED_OWNERS} AS copied, len(list_distinct(string_split(z.v, ''))) >= {LIVE_CHARACTERS} AS varied, repositories FROM z JOIN o USING (v))
+SELECT d.doc_id, CAST(count(*) FILTER (kind = 'assign') AS BIGINT) AS n_assign, CAST(count(*) FILTER (kind = 'access') AS BIGINT) AS n_access, CAST(count(*) FILTER (kind = 'hex') AS BIGINT) AS n_hex,
+ sha256(coalesce(string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256,
+ coalesce(string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ',' ORDER BY s, rank) FILTER (rank < 3 OR NOT copied), '') AS spans,
+ CAST(count(*) FILTER (NOT copied AND varied) AS BIGINT) AS n_live, CAST(count(*) FILTER (copied) AS BIGINT) AS n_copied, CAST(coalesce(max(repositories), 0) AS BIGINT) AS most_repositories FROM d LEFT JOIN f USING (r) GROUP BY d.r, d.doc_id
+"""
