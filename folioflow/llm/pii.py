@@ -30,8 +30,8 @@ LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S",
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "υ": "u", "ι": "i", "κ": "k", "ɑ": "a", "ɡ": "g", "ı": "i",
-    "․": ".", "。": ".", "‧": ".", "﹒": ".", "﹫": "@", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", " ": " ", " ": " ", " ": " ",
-    "​": "", "‌": "", "‍": "", "⁠": "", "﻿": "", "­": "",
+    "\u2024": ".", "\u3002": ".", "\u2027": ".", "\ufe52": ".", "\ufe6b": "@", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u00a0": " ", "\u202f": " ", "\u2009": " ",
+    "\u200b": "", "\u200c": "", "\u200d": "", "\u2060": "", "\ufeff": "", "\u00ad": "",
 }
 #: Spelled digits.
 DIGITS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
@@ -49,11 +49,14 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _NAMES = "|".join(DIGITS)
+#: Ends of domains that a plain "at" before a dotted name is read by.
+_ENDS = "com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es"
 #: Words after a plain "at" that no address begins with.
 _PROSE = r"(?!(?:the|a|an|this|that|my|our|your|his|her|their)\b)"
 _REWRITE = re.compile(
-    rf"""(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*)
-    |(?P<dot>\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*)
+    rf"""(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*|&\#64;|&commat;|%40|(?<=[a-z0-9])(?:\s+@\s*|\s*@\s+)(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{_ENDS})\b))
+    |(?P<dot>\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*|&\#46;|&period;)
+    |(?P<named_at>(?<=[a-z0-9])\s+at\s+{_PROSE}(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{_ENDS})\b))
     |(?P<plain_at>(?<=[a-z0-9])\s+at\s+{_PROSE}(?=[a-z0-9-]+(?:(?:\.|\s+dot\s+|\s*[\[({{<]\s*dot\s*[\])}}>]\s*)[a-z0-9-]+)*(?:\s+dot\s+|\s*[\[({{<]\s*dot\s*[\])}}>]\s*)[a-z]{{2,}}))
     |(?P<plain_dot>(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9-]{{2,}}|[0-9]))
     |(?P<digits>\b(?:plus[\s-]+)?(?:{_NAMES})(?:[\s-]+(?:{_NAMES}|[0-9]+))+\b)""",
@@ -61,7 +64,9 @@ _REWRITE = re.compile(
 )
 _TOKEN = re.compile(rf"plus[\s-]+|{_NAMES}|[0-9]+|[\s-]+", re.I)
 _SPELLED = re.compile(rf"(?:{_NAMES})[\s-]+(?:{_NAMES}|[0-9])").search
-_SIGNS = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.I)
+_SIGNS = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|&#(?:64|46);|&commat;|&period;|%40")
+_NAMED = re.compile(rf"\sat\s+[a-z0-9.-]+\.(?:{_ENDS})\b").search
+_SPACED = re.compile(r"\s@|@\s").search
 
 _chars: dict[int, str] = {}
 
@@ -175,7 +180,7 @@ def disguised(text: str) -> bool:
     if odd(text):
         return True
     low = text.lower()
-    return "dot" in low or bool(_SIGNS.search(low)) or (sum(map(low.count, DIGITS)) >= SPELLED_RUN and bool(_SPELLED(low)))
+    return "dot" in low or bool(_SIGNS.search(low)) or ("@" in low and bool(_SPACED(low))) or (" at " in low and bool(_NAMED(low))) or (sum(map(low.count, DIGITS)) >= SPELLED_RUN and bool(_SPELLED(low)))
 
 
 def normalise(text: str) -> Tape:
@@ -184,7 +189,7 @@ def normalise(text: str) -> Tape:
         tape.replace([(i, i + 1, table[ord(c)]) for i, c in enumerate(text) if c > "\x7f" and ord(c) in table])
     edits: list[tuple[int, int, str]] = []
     for m in _REWRITE.finditer(tape.text):
-        if m.lastgroup in ("at", "plain_at"):
+        if m.lastgroup in ("at", "named_at", "plain_at"):
             edits.append((*m.span(), "@"))
         elif m.lastgroup in ("dot", "plain_dot"):
             edits.append((*m.span(), "."))
@@ -210,7 +215,7 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
         return base, []
     tape, added = normalise(text), []
     for k, a, b in detect(tape.text):
-        if any(tape.new[a:b]):
+        if any(tape.new[a:b]) or tape.end[b - 1] - tape.start[a] != b - a:  # written anew, or something dropped in between
             span = (k, tape.start[a], tape.end[b - 1])
             if not any(x[0] == k and x[1] <= span[1] and span[2] <= x[2] for x in base):
                 added.append(span)

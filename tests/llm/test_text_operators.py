@@ -108,6 +108,11 @@ def test_personal_data_base_spans():
         ("plus one five five five zero one nine nine two two", "phone", "plus one five five five zero one nine nine two two"),
         ("card ４１１１ １１１１ １１１１ １１１１ end", "card", "４１１１ １１１１ １１１１ １１１１"),
         ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"),
+        ("ask jane.roe at mail.example.com, please", "email", "jane.roe at mail.example.com"),
+        ("jane @ example.org", "email", "jane @ example.org"),
+        ("x jane&#64;example.com y", "email", "jane&#64;example.com"),
+        ("jane(at)example(dot)com", "email", "jane(at)example(dot)com"),
+        ("ja\u200bne@exam\u200bple.com", "email", "ja\u200bne@exam\u200bple.com"),
         ("ip 10 [.] 0 (dot) 0 dot 1", "ip", "10 [.] 0 (dot) 0 dot 1"),
     ],
 )
@@ -115,7 +120,7 @@ def test_personal_data_disguises(text, kind, found):
     assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.scan_text(text)[1]] == [(kind, found)]
 
 
-@pytest.mark.parametrize("text", ["look at the dot com", "one or two at a time", "Привет, мир", "three one"])
+@pytest.mark.parametrize("text", ["look at the dot com", "one or two at a time", "Привет, мир", "three one", "at home. Come in", "he was at it.Then", "a @ b"])
 def test_personal_data_leaves_prose(text):
     assert pii.scan_text(text) == ([], [])
 
