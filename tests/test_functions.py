@@ -152,3 +152,13 @@ def test_merge_twice_changes_nothing(spark):
     assert {r.outcome for r in first.collect()} == {"added"} and {r.outcome for r in lifecycle.merge_claim(drafts, stored).collect()} == {"unchanged"}
     ids = lifecycle.new_ids(first, drafts.select("book", "page", "pos", F.lit("s").alias("seed"))).collect()
     assert len({r.id for r in ids}) == 9
+
+
+def test_spread_join(spark):
+    from folioflow.operators.skew import spread_join
+
+    many = spark.createDataFrame([(0, i) for i in range(1000)] + [(1, 5000), (2, 6000), (9, 7000)], "k long, v long")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (3, "d")], "k long, t string")
+    got = sorted((r.k, r.v, r.t) for r in spread_join(many, one, "k", "v").collect())
+    assert got == sorted((r.k, r.v, r.t) for r in many.join(one, "k").collect()) and len(got) == 1002
+    assert spread_join(many.where("k > 0"), one, "k", "v").count() == 2
