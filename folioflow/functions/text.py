@@ -284,3 +284,9 @@ def named(code: Column, table: dict[int, str]) -> Column:
 def colour_name(code: Column, red: Column, green: Column, blue: Column) -> Column:
     """The same for colours; an unknown one with its parts is ``#rrggbb``."""
     return F.when(~code.isin(*COLOURS) & red.isNotNull(), F.format_string("#%02x%02x%02x", red, green, blue)).otherwise(named(code, COLOURS))
+
+
+def provider_of_url(url: Column, providers: dict[str, str]) -> Column:
+    """The provider whose address this is, whatever slashes end either; null if it is none of them."""
+    table = F.create_map(*[F.lit(x) for k, v in providers.items() for x in (k.rstrip("/"), v)])
+    return table[F.regexp_replace(url, "/+$", "")]

@@ -1,4 +1,4 @@
 """Every query of the library, by name."""
 
-from .operators import entries, ledger, lifecycle, mining, publishing, shelf, structure, texts  # noqa: F401
+from .operators import catalog, entries, ledger, lifecycle, mining, publishing, shelf, structure, texts  # noqa: F401
 from .plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -148,3 +148,19 @@ class Gate(StatefulProcessor):
 def auto_review_gate(checks: DataFrame, hours: float = 20) -> DataFrame:
     """(user, at, due) to (user, fired_at)."""
     return checks.groupBy("user").transformWithStateInPandas(Gate(hours), "user string, fired_at timestamp", "Append", "None")
+
+
+def inbox(spark, path: str, archive: str, quiet: str = "5 seconds", most_bytes: int = 50_000_000) -> DataFrame:
+    """(path, modified, content, reason) of files dropped into a folder, once they were left alone for ``quiet``: reason is
+    null for those to take, else why not. Files that were read move to ``archive``."""
+    files = spark.readStream.format("binaryFile").option("cleanSource", "archive").option("sourceArchiveDir", archive).schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
+    settled = files.where(F.col("modificationTime") <= F.current_timestamp() - F.expr(f"INTERVAL {quiet}"))
+    reason = F.when(F.col("length") > most_bytes, "too large")
+    return settled.select("path", F.col("modificationTime").alias("modified"), "content", reason.alias("reason"))
+
+
+def ingest_stream(changes: DataFrame, run, checkpoint: str):
+    """Start ``run(pages, batch_id)`` on every micro-batch of changed pages (page_key, book, page), distinct by page: the
+    batch operators do the work, and since a merge of the same scan changes nothing, a batch may run twice."""
+    once = lambda batch, n: run(batch.groupBy("book", "page").agg(F.max("page_key").alias("page_key")), n)
+    return changes.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -148,3 +148,50 @@ def test_snapshot_expiry(spark):
     got = S.snapshot_expiry(p, spark.createDataFrame([("a",)], "uuid string"), 10_000_000_001).collect()
     assert [tuple(r) for r in got] == [("a", 10_000_000_000)]
     assert S.late_rows(spark.createDataFrame([(at(0),), (at(9),)], "at timestamp"), "at", at(5)).count() == 1
+
+
+def test_names_claims_and_choices(spark):
+    from folioflow.operators import catalog as C
+
+    asked = spark.createDataFrame([("f", "A", 1), ("f", "A", 2), ("f", "B", 3), ("g", "A", 4), ("f", "C", 5), ("f", "C", 6)], "folder string, name string, seq int")
+    taken = spark.createDataFrame([("f", "A"), ("f", "A 2"), ("f", "A 4"), ("f", "C 2")], "folder string, name string")
+    assert {r.seq: r.given for r in C.unique_names(asked, taken).collect()} == {1: "A 3", 2: "A 5", 3: "B", 4: "A", 5: "C", 6: "C 3"}
+    docs = "uuid string, created_ms long, name string, size long, hash string"
+    ups = spark.createDataFrame([("u", 5000, "n", 3, "h"), ("v", 5000, "m", 4, "i"), ("w", 5000, "k", 9, "z")], "upload string, at_ms long, name string, size long, hash string")
+    after = spark.createDataFrame([("old", 4000, "n", 3, "h"), ("new", 4500, "n", 3, "h"), ("late", 100, "m", 4, "i"), ("a", 6000, "q", 9, "z"), ("b", 6000, "q", 9, "z")], docs)
+    before = after.where("uuid = 'old'")
+    assert {r.upload: r.uuid for r in C.claim_new_docs(ups, before, after).collect()} == {"u": "new", "v": None, "w": None}
+    files = spark.createDataFrame([("b", "x/Nav.xhtml", 2, None, "t.ncx"), ("b", "mynav.xhtml", 1, None, "t.ncx"), ("b", "o.ncx", 0, None, "t.ncx"), ("c", "n1nav.xhtml", 0, "d.xhtml", None), ("c", "d.xhtml", 1, "d.xhtml", None)], "book string, path string, pos int, declared_nav string, declared_ncx string")
+    assert {r.book: (r.nav, r.ncx) for r in C.toc_source_choice(files).collect()} == {"b": ("x/Nav.xhtml", "o.ncx"), "c": ("d.xhtml", None)}
+    items = spark.createDataFrame([("b", 0, "p.png", True, False, True), ("b", 1, "d.png", True, True, False), ("c", 0, "x.html", False, False, False)], "book string, pos int, path string, is_image boolean, declared boolean, cover_property boolean")
+    images = spark.createDataFrame([("c", 0, True, 0, "nav.png"), ("c", 1, False, 0, None), ("c", 2, False, 1, "second.png"), ("c", 2, False, 0, "first.png")], "book string, spine_pos int, is_nav boolean, pos int, path string")
+    assert {r.book: r.cover for r in C.cover_choice(items, images).collect()} == {"b": "d.png", "c": "first.png"}
+
+
+def test_ingest_stream_and_claims(spark, tmp_path):
+    from folioflow.operators import catalog as C
+
+    box = "page long, stroke_no long, tool string, n_points long, x0 double, y0 double, x1 double, y1 double"
+    strokes = spark.createDataFrame([(1, 1, "ballpoint", 3, 0.0, 0.0, 9.0, 9.0), (1, 2, "ballpoint", 3, 12.0, 0.0, 20.0, 9.0), (2, 3, "ballpoint", 3, 0.0, 0.0, 9.0, 9.0)], box)
+    marks = spark.createDataFrame([(1, 7, 0.0, 20.0, 9.0, 30.0), (1, 8, 900.0, 900.0, 910.0, 910.0)], "page long, hl_no long, x0 double, y0 double, x1 double, y1 double")
+    stored = spark.createDataFrame([], "book string, page long, seq long, id string, status string, ink_hash string, strokes array<string>, quote_id string")
+    state = spark.createDataFrame([("b", 2, 99)], "book string, page long, mtime long")
+    seen = []
+
+    def run(pages, n):
+        seen.extend((r.page, r.pos, r.outcome) for r in C.scan_to_claims(strokes, marks, stored, pages, state).collect())
+
+    changes = stream(spark, str(tmp_path / "in"), [(5, "b", 1), (6, "b", 1), (7, "b", 2)], "page_key long, book string, page long")
+    S.ingest_stream(changes, run, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(seen) == [(1, 1, "added"), (1, (1 << 60) + 8, "added")]
+
+
+def test_inbox(spark, tmp_path):
+    import os
+    import time
+
+    put(tmp_path / "drop", {"a.epub": "content", "b.epub": "too long a content"})
+    for name in ("a.epub", "b.epub"):
+        os.utime(tmp_path / "drop" / name, (time.time() - 60,) * 2)
+    got = drain(S.inbox(spark, str(tmp_path / "drop"), str(tmp_path / "done"), most_bytes=10), "dropped", tmp_path)
+    assert {(r.path.rsplit("/", 1)[1], r.reason) for r in got} == {("a.epub", None), ("b.epub", "too large")}
