@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.skew import spread_join
 from ..store import cut
 
 MIN_WORDS = 25
@@ -142,8 +143,11 @@ def deletions(outlined: DataFrame, least: int) -> DataFrame:
     runs = outlined.where(F.size("runs") > 0).select(me.alias("later"), F.explode(F.array_distinct("runs")).alias("run"))
     holders = runs.groupBy("run").agg(F.min("later").alias("earlier"), F.max("later").alias("last")).where(F.col("earlier") != F.col("last"))
     pairs = runs.join(holders.select("run", "earlier"), "run").where(F.col("earlier") != F.col("later")).select("earlier", "later").distinct()
+    pairs = cut(pairs, "pairs")
     each = outlined.where(F.size("runs") > 0).select(me.alias("id"), "lines", "words", "places").dropDuplicates(["id"])
-    both = pairs.join(each.select(F.col("id").alias("later"), "lines", "words", "places"), "later").join(each.select(F.col("id").alias("earlier"), F.col("lines").alias("first_lines")), "earlier")
+    own = each.select(F.col("id").alias("later"), "lines", "words", "places")
+    # a passage of many documents has one first holder: its lines go to several partitions
+    both = spread_join(pairs, each.select(F.col("id").alias("earlier"), F.col("lines").alias("first_lines")), "earlier", "later").join(own, "later")
 
     def align(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
