@@ -116,11 +116,11 @@ def page_recency(entries: DataFrame) -> DataFrame:
  FROM v_entries e JOIN v_books b ON e.book = b.uuid WHERE e.status = 'reviewed' AND trim(e.text) <> '' AND e.updated + 86400 <= 1708000000) ORDER BY due, title, page_index, id LIMIT 5""",
 )
 def due_reviews(entries: DataFrame, books: DataFrame, now: int = 1708000000, k: int = 5) -> DataFrame:
-    """The first ``k`` due entries, and how many are due. The total is one aggregated row, so the top k stays partial."""
+    """The first ``k`` due entries, and how many are due. The total is a scalar subquery, so the top k stays partial."""
     due = entries.where(E.reviewable(F.col("status"), F.col("text"))).withColumn("due", E.review_due(F.lit(None).cast("long"), F.col("updated"))).where(F.col("due") <= now)
     due = due.join(books.select(F.col("uuid").alias("book"), "title"), "book")
     top = due.orderBy("due", "title", "page_index", "id").limit(k)
-    return top.crossJoin(F.broadcast(due.agg(F.count(F.lit(1)).alias("total")))).select("id", "title", "page_index", "due", "total")
+    return top.select("id", "title", "page_index", "due", due.agg(F.count(F.lit(1))).scalar().alias("total"))
 
 
 @query("review_due", "v_entries", sql="SELECT id, coalesce(CASE WHEN page_index % 2 = 0 THEN updated + page_index END, updated + 86400) AS due FROM v_entries")
