@@ -216,3 +216,62 @@ def merge_scan(strokes: DataFrame) -> DataFrame:
     drafts = inked_drafts(strokes).select(book, "page", F.col("cluster").alias("pos"), "ink_hash", "strokes", none)
     stored = inked_drafts(strokes.where("stroke_no % 5 <> 0")).select(book, "page", F.col("cluster").alias("seq"), F.col("cluster").cast("string").alias("id"), state.alias("status"), "ink_hash", "strokes", none)
     return merge_claim(drafts, stored)
+
+
+TERMINAL_SQL = "status IN ('skipped','revoked','archived')"
+
+
+def one_command(entries: DataFrame, cmd: str, arg: Column) -> DataFrame:
+    """(id, state) of every entry after one command."""
+    log = entries.select("id", F.lit(1).cast("long").alias("seq"), F.lit(cmd).alias("cmd"), arg.cast("string").alias("arg"), F.lit(1800000000).cast("long").alias("at"))
+    return apply_commands(state_of(entries), log).select("id", "state.*")
+
+
+@query("draft", "v_entries", sql=f"SELECT id, CASE WHEN {TERMINAL_SQL} OR text IS NOT NULL THEN status ELSE 'draft' END AS status, CASE WHEN {TERMINAL_SQL} OR text IS NOT NULL THEN 'body' ELSE 'bullet' END AS style, CASE WHEN {TERMINAL_SQL} THEN draft0 ELSE 'new words' END AS newest FROM v_entries")
+def draft(entries: DataFrame) -> DataFrame:
+    """A transcription that begins with a bullet comes in for every entry."""
+    return one_command(entries, "draft", F.lit("- new words")).select("id", "status", "style", F.get("drafts", 0)["text"].alias("newest"))
+
+
+@query("answer", "v_entries", sql=f"SELECT id, status, CASE WHEN {TERMINAL_SQL} THEN NULL ELSE 'because' END AS answer FROM v_entries")
+def answer(entries: DataFrame) -> DataFrame:
+    return one_command(entries, "answer", F.lit("because")).select("id", "status", "answer")
+
+
+@query("patch", "v_entries", sql=f"SELECT id, CASE WHEN NOT {TERMINAL_SQL} AND id % 2 = 0 THEN 'why' END AS question, CASE WHEN {TERMINAL_SQL} THEN updated ELSE 1800000000 END AS updated FROM v_entries")
+def patch(entries: DataFrame) -> DataFrame:
+    """A question for every second entry, and a blank one, which clears it, for the others."""
+    return one_command(entries, "ask", F.when(F.col("id") % 2 == 0, "why").otherwise("  ")).select("id", "question", "updated")
+
+
+@query("edit_text", "v_entries", sql=f"SELECT id, CASE WHEN {TERMINAL_SQL} THEN status WHEN id % 2 = 0 THEN 'reviewed' WHEN draft0 IS NOT NULL THEN 'draft' ELSE 'pending' END AS status, CASE WHEN {TERMINAL_SQL} THEN text WHEN id % 2 = 0 THEN 'fixed' END AS text FROM v_entries")
+def edit_text(entries: DataFrame) -> DataFrame:
+    """A correction of every second entry; the others are cleared."""
+    return one_command(entries, "edit", F.when(F.col("id") % 2 == 0, "1. fixed ").otherwise(" ")).select("id", "status", "text")
+
+
+@query("restore", "v_entries", sql=f"SELECT id, CASE WHEN NOT {TERMINAL_SQL} THEN status WHEN status = 'skipped' THEN 'mined' WHEN text IS NOT NULL THEN 'reviewed' WHEN draft0 IS NOT NULL THEN 'draft' WHEN id % 2 = 0 THEN 'pending' ELSE 'mined' END AS status FROM v_entries")
+def restore(entries: DataFrame) -> DataFrame:
+    return one_command(entries, "restore", F.lit(None)).select("id", "status")
+
+
+@query("revoke", "v_entries", sql=f"SELECT id, CASE WHEN {TERMINAL_SQL} THEN status ELSE 'revoked' END AS status FROM v_entries")
+def revoke(entries: DataFrame) -> DataFrame:
+    return one_command(entries, "revoke", F.lit(None)).select("id", "status")
+
+
+@query("revive", "v_entries", sql="SELECT id, CASE WHEN status <> 'revoked' THEN status WHEN text IS NOT NULL THEN 'reviewed' WHEN draft0 IS NOT NULL THEN 'draft' ELSE 'mined' END AS status FROM v_entries")
+def revive(entries: DataFrame) -> DataFrame:
+    return one_command(entries, "revive", F.lit(None)).select("id", "status")
+
+
+@query("triage", "v_entries", sql=f"SELECT id, CASE WHEN {TERMINAL_SQL} THEN status WHEN text IS NOT NULL OR (id % 2 = 1 AND quote IS NOT NULL) THEN 'reviewed' WHEN id % 2 = 0 AND draft0 IS NOT NULL THEN 'draft' ELSE 'pending' END AS status FROM v_entries")
+def triage(entries: DataFrame) -> DataFrame:
+    """Every entry is asked for as a note."""
+    return one_command(entries, "request", F.lit(None)).select("id", "status")
+
+
+@query("review", "v_entries", sql="SELECT id, CASE WHEN status = 'reviewed' AND trim(text) <> '' THEN 1800000000 + 3 * 86400 END AS due FROM v_entries")
+def review(entries: DataFrame) -> DataFrame:
+    """Every entry is remembered once, which only a reviewed one can be."""
+    return one_command(entries, "remembered", F.lit(None)).select("id", "due")

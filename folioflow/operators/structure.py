@@ -181,3 +181,12 @@ def mineable_docs(library: DataFrame, pages: DataFrame) -> DataFrame:
 @query("plain_text", "pages", sql=r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS plain FROM pages""")
 def plain_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", T.plain_text(F.col("html")).alias("plain"))
+
+
+@query(
+    "toc_parent",
+    "pages",
+    sql=f"""WITH {NAV_SQL} SELECT page_id, pos, (SELECT max(p.pos) FROM items p WHERE p.page_id = i.page_id AND p.pos < i.pos AND p.level = i.level - 1 AND NOT EXISTS (SELECT 1 FROM items q WHERE q.page_id = i.page_id AND q.pos > p.pos AND q.pos < i.pos AND q.level < i.level - 1)) AS parent FROM items i""",
+)
+def toc_parent(pages: DataFrame) -> DataFrame:
+    return toc_parents(toc(pages)).select("page_id", "pos", "parent")

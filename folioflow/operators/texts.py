@@ -165,3 +165,25 @@ def fnv64(nation: DataFrame) -> DataFrame:
 def entry_id(entries: DataFrame) -> DataFrame:
     """The id of an entry from its book, page and first stroke."""
     return entries.select("id", T.fnv64(F.concat_ws("/", "book", F.col("page_index").cast("string"), F.col("id").cast("string"))).alias("entry_id"))
+
+
+@query("style_code", "v_lines", sql="SELECT id, CASE id % 6 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 10 WHEN 3 THEN 6 ELSE 3 END AS code FROM v_lines")
+def style_codes(lines: DataFrame) -> DataFrame:
+    style = F.element_at(F.array(*map(F.lit, T.STYLES)), (F.col("id") % 6 + 1).cast("int"))
+    return lines.select("id", F.create_map(*[F.lit(x) for kv in T.STYLES.items() for x in kv])[style].alias("code"))
+
+
+@query("pen_color", "events", sql="SELECT event_id, CASE user_id % 10 WHEN 0 THEN 'black' WHEN 1 THEN 'grey' WHEN 2 THEN 'white' WHEN 3 THEN 'yellow' WHEN 4 THEN 'green' WHEN 5 THEN 'pink' WHEN 6 THEN 'blue' WHEN 7 THEN 'red' WHEN 8 THEN 'grey_overlap' ELSE 'unknown:9' END AS colour FROM events")
+def pen_colours(events: DataFrame) -> DataFrame:
+    return events.select("event_id", T.named(F.col("user_id") % 10, T.COLOURS).alias("colour"))
+
+
+@query("cjk_first", "v_lines", sql="SELECT id, CASE WHEN regexp_matches(substring(raw, 1, 1), '[一-鿿㐀-䶿豈-﫿　-〿]') THEN 'exact' ELSE 'expand' END AS span FROM v_lines")
+def cjk_first(lines: DataFrame) -> DataFrame:
+    """A span that begins with an ideograph is kept as it is; others may grow to whole words."""
+    return lines.select("id", F.when(T.is_cjk(F.col("raw")), "exact").otherwise("expand").alias("span"))
+
+
+@query("eligible_format", "v_shelf", sql="SELECT doc_id FROM v_shelf WHERE format IN ('epub','pdf')")
+def eligible_format(shelf: DataFrame) -> DataFrame:
+    return shelf.where(F.col("format").isin("epub", "pdf")).select("doc_id")

@@ -72,7 +72,7 @@ def scan_page_table(spark: SparkSession, path: str) -> DataFrame:
     return one.unionByName(two).withColumn("pdf_page", pdf)
 
 
-def page_ids(table: DataFrame) -> DataFrame:
+def page_id_lookup(table: DataFrame) -> DataFrame:
     """(book, page_id, ordinal): layout 1 where it has ids, else layout 2, counted without its nameless pages."""
     named = table.where("page_id IS NOT NULL")
     has_first = named.where("version = 1").select("book").distinct()
@@ -128,7 +128,7 @@ ENTRY = "struct<id:string,page:string,page_index:int,chapter:int,text:string,sta
 BOOK = f"uuid string, title string, author string, chapters array<string>, entries array<{ENTRY}>"
 
 
-def read_books(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_entries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entries, quarantine): one JSON document a file. A document that can't be read is never an empty book: its name and
     text go to the quarantine, and ``write_entries`` leaves its book alone."""
     files = whole_files(spark, path, "*.json")

@@ -28,12 +28,12 @@ def tag_stream(*services: DataFrame) -> DataFrame:
     return tag_events(out)
 
 
-def wakeups(changes: DataFrame, within: str = "5 seconds") -> DataFrame:
+def coalesced_wakeups(changes: DataFrame, within: str = "5 seconds") -> DataFrame:
     """One row for many changes of one area (user_id, at) within a time."""
     return changes.withWatermark("at", within).dropDuplicatesWithinWatermark(["user_id"]).select("user_id", "at")
 
 
-def usage_totals(calls: DataFrame) -> DataFrame:
+def usage_stream(calls: DataFrame) -> DataFrame:
     """Running totals of each model; write in update mode."""
     return calls.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
 
@@ -150,7 +150,7 @@ def auto_review_gate(checks: DataFrame, hours: float = 20) -> DataFrame:
     return checks.groupBy("user").transformWithStateInPandas(Gate(hours), "user string, fired_at timestamp", "Append", "None")
 
 
-def inbox(spark, path: str, archive: str, quiet: str = "5 seconds", most_bytes: int = 50_000_000) -> DataFrame:
+def stream_inbox(spark, path: str, archive: str, quiet: str = "5 seconds", most_bytes: int = 50_000_000) -> DataFrame:
     """(path, modified, content, reason) of files dropped into a folder, once they were left alone for ``quiet``: reason is
     null for those to take, else why not. Files that were read move to ``archive``."""
     files = spark.readStream.format("binaryFile").option("cleanSource", "archive").option("sourceArchiveDir", archive).schema("path string, modificationTime timestamp, length bigint, content binary").load(path)

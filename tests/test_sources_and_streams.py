@@ -38,7 +38,7 @@ def test_page_tables(spark, tmp_path):
         "bad.content": "[",
     })
     table = L.scan_page_table(spark, path).cache()
-    ids = {(r.book, r.page_id): r.ordinal for r in L.page_ids(table).collect()}
+    ids = {(r.book, r.page_id): r.ordinal for r in L.page_id_lookup(table).collect()}
     assert ids == {("one", "x"): 0, ("one", "y"): 1, ("one", "z"): 2, ("two", "p2"): 0, ("two", "p1"): 1}
     ask = spark.createDataFrame([("one", 0), ("one", 1), ("one", 9), ("two", 1), ("two", 2), ("none", 4)], "book string, page int")
     assert {(r.book, r.page): r.pdf_page for r in L.pdf_of(ask, table).collect()} == {("one", 0): 1, ("one", 1): 1, ("one", 9): 9, ("two", 1): 6, ("two", 2): 5, ("none", 4): 4}
@@ -58,7 +58,7 @@ def test_logs_and_lists(spark, tmp_path):
 def test_books_and_quarantine(spark, tmp_path):
     book = lambda u, texts: {"uuid": u, "title": u, "entries": [{"id": str(i), "page": "p", "text": t, "status": "mined"} for i, t in enumerate(texts)]}
     path = put(tmp_path / "books", {"a.json": book("a", ["x", "y"]), "b.json": book("b", ["z"]), "bad.json": '{"uuid": "bad", "entries": [', "empty.json": book("e", [])})
-    entries, quarantine = L.read_books(spark, path)
+    entries, quarantine = L.read_entries(spark, path)
     assert {(r.book, r.text) for r in entries.collect()} == {("a", "x"), ("a", "y"), ("b", "z")} and [r.book for r in quarantine.collect()] == ["bad"]
     new = entries.withColumn("text", F.when(F.col("book") == "b", "new").otherwise(F.col("text"))).union(entries.limit(1).withColumn("book", F.lit("bad")))
     assert [r.book for r in L.changed_books(new, entries, quarantine).collect()] == ["b"]
@@ -112,7 +112,7 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
 
 def test_usage_and_tags(spark, tmp_path):
     schema = "model string, prompt_tokens long, completion_tokens long"
-    got = drain(S.usage_totals(stream(spark, str(tmp_path / "u"), [("m", 1, 2), ("m", 3, 4), ("n", 5, 6)], schema)), "usage", tmp_path, "complete")
+    got = drain(S.usage_stream(stream(spark, str(tmp_path / "u"), [("m", 1, 2), ("m", 3, 4), ("n", 5, 6)], schema)), "usage", tmp_path, "complete")
     assert {tuple(r) for r in got} == {("m", 2, 4, 6), ("n", 1, 5, 6)}
     schema = "event_id long, event_type string"
     a, b = (stream(spark, str(tmp_path / x), [(i, t)], schema) for i, x, t in ((1, "t1", "click"), (2, "t2", "odd")))
@@ -127,7 +127,7 @@ def test_await_render(spark, tmp_path):
 
 
 def test_wakeups(spark, tmp_path):
-    got = drain(S.wakeups(stream(spark, str(tmp_path / "w"), [(1, at(0)), (1, at(1)), (2, at(1))], "user_id long, at timestamp")), "woken", tmp_path)
+    got = drain(S.coalesced_wakeups(stream(spark, str(tmp_path / "w"), [(1, at(0)), (1, at(1)), (2, at(1))], "user_id long, at timestamp")), "woken", tmp_path)
     assert sorted(r.user_id for r in got) == [1, 2]
 
 
@@ -193,5 +193,5 @@ def test_inbox(spark, tmp_path):
     put(tmp_path / "drop", {"a.epub": "content", "b.epub": "too long a content"})
     for name in ("a.epub", "b.epub"):
         os.utime(tmp_path / "drop" / name, (time.time() - 60,) * 2)
-    got = drain(S.inbox(spark, str(tmp_path / "drop"), str(tmp_path / "done"), most_bytes=10), "dropped", tmp_path)
+    got = drain(S.stream_inbox(spark, str(tmp_path / "drop"), str(tmp_path / "done"), most_bytes=10), "dropped", tmp_path)
     assert {(r.path.rsplit("/", 1)[1], r.reason) for r in got} == {("a.epub", None), ("b.epub", "too large")}
