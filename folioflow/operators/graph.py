@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..store import cut
@@ -27,3 +30,50 @@ def components(links: DataFrame) -> DataFrame:
         if new.where("label != old").isEmpty():
             return labels
     raise RuntimeError("labels did not settle")
+
+
+def _least_members(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """The least member of every node's component."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in parent}
+
+
+def components_within(links: DataFrame, group: str) -> DataFrame:
+    """(node, label) for links (``group``, a, b) that never leave their group, such as strokes of a page: one shuffle by
+    group, and each group is solved where it lands. For groups of any size use ``components``."""
+
+    def solve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            found = _least_members(pairs)
+            return pa.RecordBatch.from_pydict({"node": pa.array(found.keys(), pa.int64()), "label": pa.array(found.values(), pa.int64())})
+
+        held: list[tuple[int, int]] = []
+        last = None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            groups = batch.column(0).to_pylist()
+            pairs = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            if held and groups[0] != last:
+                yield out(held)
+                held = []
+            last = groups[-1]
+            whole = next(i for i in range(len(groups)) if groups[i] == last)  # the last group may go on in the next batch
+            if whole:
+                yield out(held + pairs[:whole])
+                held = []
+            held += pairs[whole:]
+        if held:
+            yield out(held)
+
+    return links.select(group, F.col("a").cast("long"), F.col("b").cast("long")).repartition(group).sortWithinPartitions(group).mapInArrow(solve, "node bigint, label bigint")

@@ -1,7 +1,8 @@
 """Annotation mining: pen strokes and highlights of a page to clusters, pairs and fingerprints.
 
 Everything is keyed by page and then by cluster, so pages spread over the cluster. Strokes meet in the cells of a grid
-and not as all pairs of a page; clusters are connected components by label propagation over the edges.
+and not as all pairs of a page; clusters are the connected components of a page's edges,
+found where the page's edges are.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import entries as E, text as T
 from ..plans.registry import query
-from .graph import components
+from .graph import components_within
 
 CLUSTER_GAP, PAIR_GAP, CELL = 40.0, 160.0, 128.0
 
@@ -75,7 +76,7 @@ def stroke_edges(strokes: DataFrame) -> DataFrame:
 
 def labelled(strokes: DataFrame) -> DataFrame:
     """Handwriting with its cluster: the least stroke that it is linked with."""
-    label = components(edges(strokes).select("a", "b")).toDF("stroke_no", "label")
+    label = components_within(edges(strokes), "page").toDF("stroke_no", "label")
     return strokes.where(E.handwriting(F.col("tool"))).join(label, "stroke_no", "left").withColumn("cluster", F.coalesce("label", "stroke_no")).drop("label")
 
 

@@ -92,6 +92,19 @@ def test_components_of_a_chain(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_components_within_groups(spark):
+    from folioflow.operators.graph import components_within
+
+    links = [(g, g * 1000 + i, g * 1000 + i + 1) for g in range(40) for i in range(0, 60, 1) if i % 7 != 6]
+    frame = spark.createDataFrame(links, "page long, a long, b long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {(r.node, r.label) for r in components_within(frame, "page").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(r.node, r.label) for r in components(frame.select("a", "b")).collect()}
+
+
 def test_lockout_fold(spark):
     times = [("::ffff:10.0.0.1", t) for t in (0, 10, 20, 30, 40, 45, 61, 200)] + [("10.0.0.2", t) for t in range(0, 1000, 20)]
     got = {r.ip: r.locks for r in ledger.lockout_fold(spark.createDataFrame(times, "ip string, at long")).collect()}
