@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import components
+from ..operators.skew import spread_join
 from ..store import cut
 from .words import BLANK, shingles, slices, word_hashes
 
@@ -172,7 +173,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     used = F.broadcast(used) if used.count() <= BROADCAST_KEYS else used
     texts = docs.select(key, text, F.xxhash64(text).alias("_v"))
     texts = texts.join(used, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_v") == F.col("_version"))).select("node", F.col(text).alias("text")).dropDuplicates(["node"])
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    # a leader is in many pairs: its text goes to several partitions
+    both = spread_join(pairs, texts.toDF("a", "text_a"), "a", "b").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
