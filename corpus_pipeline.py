@@ -2,7 +2,8 @@
 
 1. language: documents whose language is rejected go.
 2. line dedup: lines that repeat an earlier document go; so do documents of which nothing is left.
-3. near duplicates: of each group of documents that link, directly or not, the one with the least key stays.
+3. near duplicates: of each group of documents that link, directly or not, one row stays: that with the least key (null is
+   the last), then the least hash of its text, then the least of the other columns. Texts without words all stay.
 4. decontamination: documents that hold a test item go.
 5. tokens: ids of the texts, and the texts that these decode to.
 
@@ -22,6 +23,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "word_bpe_49k.json"
 #: Near duplicates: shingles of five words, a similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
+#: A text without this has no shingles and is a near duplicate of nothing.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +40,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    classes = jaccard_join.near_duplicates(docs, k=SHINGLE, percent=PERCENT)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_key"), F.col("version").alias("_version")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_key")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left_semi")
+    stay = jaccard_join.leaders(docs, k=SHINGLE, percent=PERCENT).select(F.struct("no_key", "key", "version").alias("_own"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_key"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("version"))
+    some = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    # rows that repeat key and text become one before they are shuffled
+    once = docs.where(some).groupBy(own.alias("_own")).agg(F.min(F.struct("doc_id", "lang", "source", "n_chars", "text")).alias("_row"))
+    return once.join(stay, "_own", "left_semi").select("_row.*").select(*COLUMNS).unionByName(docs.where(~some))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

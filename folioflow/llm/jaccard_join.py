@@ -293,8 +293,8 @@ def tree_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(batches, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, sample: int = SAMPLE_DOCS) -> DataFrame:
-    """Per row: its key, a hash of its text (``version``), the size of its set and its component's least key."""
+def grouped(docs: DataFrame, key: str, text: str, k: int, percent: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """The outlines of all rows; and per node its digest, the least key and version of its rows, and its component."""
     docs = docs.select(key, text)
     frequent = frequent_shingles(docs, key, text, k, sample, FREQUENT)
     rows = cut(outlines(docs, key, text, k, percent, frequent), "sets")
@@ -319,13 +319,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     more = cut(verified(second, nodes, docs, key, text, k, percent), "verified")
     label = components(links.unionByName(more)) if not more.isEmpty() else label
 
-    whole = nodes.select("high", "low", "key", "node").join(label, "node", "left").select("high", "low", "key", F.coalesce("label", "node").alias("component"))
+    return rows, nodes.select("high", "low", "key", "version", "node").join(label, "node", "left").select("high", "low", "key", "version", F.coalesce("label", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, sample: int = SAMPLE_DOCS) -> DataFrame:
+    """Per row: its key, a hash of its text (``version``), the size of its set and its component's least key."""
+    rows, whole = grouped(docs, key, text, k, percent, sample)
     least = whole.groupBy("component").agg(F.min("key").alias("least"))
     classes = whole.select("high", "low", "component").join(least, "component").select("high", "low", "least")
     found = rows.select("key", "version", "n", "high", "low").join(classes, ["high", "low"], "left")
     return found.select(F.col("key").alias(key), "version", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
 
 
+def leaders(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, sample: int = SAMPLE_DOCS) -> DataFrame:
+    """(no_key, key, version) of one document of each component: the least key that isn't null, of its texts the one with
+    the least hash. Documents without shingles are in no component."""
+    own = F.struct(F.col("key").isNull().alias("no_key"), "key", "version")
+    return grouped(docs, key, text, k, percent, sample)[1].groupBy("component").agg(F.min(own).alias("own")).select("own.*")
+
+
 #: DuckDB SQL for the rows of ``near_duplicates`` without ``version``, with shingles of four words and 85 percent.
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

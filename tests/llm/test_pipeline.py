@@ -32,3 +32,23 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs_out = stage(spark, docs.limit(0), str(tmp_path))
         assert docs_out.count() == 0 and docs_out.columns[:5] == docs.columns
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    pick = random.Random(2)
+    say = lambda n: " ".join("".join(pick.choices("etaoinshr", k=pick.randint(2, 6))) for _ in range(n))
+    near = lambda t, w: " ".join([w, *t.split()[1:]])
+    a, b, c, d, e, f = (say(80) for _ in range(6))
+    rows = [(1, a), (1, a), (1, near(a, "zz")), (9, near(a, "yy"))]  # repeated rows, and similar texts under one key
+    rows += [(None, b), (None, b), (None, near(b, "zz"))]  # a group of null keys alone
+    rows += [(None, c), (4, c), (4, c)]  # a group with a key and without
+    rows += [(1, d), (None, e), (7, f)]  # other texts of keys that have groups stay
+    bare = [(5, " "), (5, " "), (None, ""), (6, None)]  # nothing is similar to these
+    docs = spark.createDataFrame([(k, t, "en", s, len(t or "")) for s in "sr" for k, t in rows] + [(k, t, "en", "s", 0) for k, t in bare], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs.repartition(3), str(tmp_path)).collect()
+    found = sorted((str(r.doc_id), r.text) for r in got if (r.text or "").strip())
+    of_a, of_b = [x for x in found if x[1].split()[1:] == a.split()[1:]], [x for x in found if x[1].split()[1:] == b.split()[1:]]
+    assert len(of_a) == 1 and of_a[0][0] == "1" and len(of_b) == 1 and of_b[0][0] == "None"
+    assert sorted(x for x in found if x not in of_a + of_b) == sorted([("4", c), ("1", d), ("None", e), ("7", f)])
+    assert {r.source for r in got if (r.text or "").strip()} == {"r"}
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got if not (r.text or "").strip()))) == sorted(map(str, bare))
