@@ -156,18 +156,23 @@ def search(items: Items, data: np.ndarray, offsets: np.ndarray, threshold: float
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of a document and a test item of which it holds at least ``threshold``."""
-    kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    schema = f"{key} {kinds[0]}, {item} {kinds[1]}, n_item_shingles bigint, n_shared bigint, containment double"
+def item_blocks(benchmark: DataFrame, item: str, item_text: str) -> Iterator[Items]:
+    """All test items, in blocks."""
     rows = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
     n = rows.count()
     blocks = max(1, -(-n // ITEMS_PER_BLOCK))
-    found = None
     for i in range(blocks):
         # a block is a share of the items by hash; one and a half times the mean bounds it, and a hash of the text parts them further
         held = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).collect() if blocks > 1 else rows.collect()
-        block = Items([r["item"] for r in held], [r["text"] for r in held])
+        yield Items([r["item"] for r in held], [r["text"] for r in held])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of a document and a test item of which it holds at least ``threshold``."""
+    kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
+    schema = f"{key} {kinds[0]}, {item} {kinds[1]}, n_item_shingles bigint, n_shared bigint, containment double"
+    found = None
+    for block in item_blocks(benchmark, item, item_text):
 
         def batches(it: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for b in it:
@@ -182,6 +187,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return found
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose own text holds less than ``threshold`` of every test item, whatever their keys are."""
+    at = docs.columns.index(text)
+    for block in item_blocks(benchmark, item, item_text):
+
+        def batches(it: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                stays = np.ones(b.num_rows, bool)
+                for row, data, offsets in slices(b.column(at)):
+                    stays[[row + doc for doc, *_ in search(block, data, offsets, threshold)]] = False
+                yield b.filter(pa.array(stays))
+
+        docs = docs.mapInArrow(batches, docs.schema)
+    return docs
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 q AS (SELECT item_id, row_number() OVER () AS q, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -52,3 +52,17 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
     assert sorted(x for x in found if x not in of_a + of_b) == sorted([("4", c), ("1", d), ("None", e), ("7", f)])
     assert {r.source for r in got if (r.text or "").strip()} == {"r"}
     assert sorted(map(str, ((r.doc_id, r.text) for r in got if not (r.text or "").strip()))) == sorted(map(str, bare))
+
+
+def test_only_rows_that_leak_go(spark, tmp_path, monkeypatch):
+    pick = random.Random(3)
+    say = lambda n: " ".join("".join(pick.choices("etaoinshr", k=pick.randint(2, 6))) for _ in range(n))
+    items = [say(30), say(6), say(3)]
+    spark.createDataFrame([*enumerate(items), (9, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(k, say(40)) for k in (None, None, 1, 1, 2)] + [(None, None), (3, "")]
+    leaking = [(k, f"{say(20)} {x} {say(5)}") for k, x in zip((None, 1, 4), items)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in clean + leaking], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for per_block in (20_000, 1):
+        monkeypatch.setattr(corpus_pipeline.decontaminate, "ITEMS_PER_BLOCK", per_block)
+        got = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+        assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, clean)) and got.columns == docs.columns
