@@ -2,8 +2,10 @@
 
 A text is the vector of its character n-grams (one to three letters, with word edges), hashed to ``BUCKETS`` places,
 weighted by TF-IDF and normalised. Each language has a few centroids, found by spherical k-means; a text gets the language
-of the centroid with the largest cosine, and is rejected when it is farther from that centroid than any text that the
-language's centroids were made of, by a wide margin: a text of one word is far from every centroid.
+of the centroid with the largest cosine, and is rejected when it is farther from that centroid than texts of its size are
+in that language. A text of one word is far from every centroid, a page is near to one; so each language has a floor for
+every size class (the distinct n-grams, by powers of two): a low quantile of the cosines that the texts of the sample and
+their beginnings have, of which one odd text moves little.
 
 Document frequencies are counted over all labelled rows. The centroids are fitted on a bounded sample: about
 ``SAMPLE_PER_LANGUAGE`` rows of each language, chosen by a hash of the key.
@@ -28,8 +30,11 @@ BUCKETS = 4096
 SAMPLE_PER_LANGUAGE = 1500
 CLUSTERS = 4
 ROUNDS = 8
-#: A text is rejected below this part of the least cosine that any text of the sample has with its centroid of that language.
-MARGIN = 0.25
+#: A text is rejected below this part of the low quantile of the cosines that texts of its size have in that language.
+MARGIN, QUANTILE = 0.6, 0.01
+#: Size classes, the cosines that a quantile is taken of at least, and the lengths of the beginnings that stand for short texts.
+CLASSES, LEAST_COSINES = BUCKETS.bit_length() + 1, 100
+BEGINNINGS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 UNKNOWN = "und"
 #: Texts whose vectors are dense at a time.
 ROWS = 128
@@ -87,11 +92,16 @@ def weighted(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
+def size_class(tf: np.ndarray) -> np.ndarray:
+    """The bit length of the number of distinct n-grams of each row."""
+    return np.frexp((tf > 0).sum(1))[1]
+
+
 @dataclass
 class Centroids:
     languages: list[str]  # of each centroid
     vectors: np.ndarray
-    floors: np.ndarray  # least cosine of a text of the sample with its centroid, by language
+    floors: np.ndarray  # low quantile of the cosines of the language, by centroid and size class
     idf: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
@@ -102,11 +112,11 @@ class Centroids:
         for a, b in groups_of_rows(known):
             tf = tf_vectors(known[a:b])
             cosine = weighted(tf, self.idf) @ self.vectors.T
-            best = cosine.argmax(1)
+            best, size = cosine.argmax(1), size_class(tf)
             for i in np.flatnonzero(tf.any(1)).tolist():
                 k = best[i]
                 label[a + i], score[a + i] = self.languages[k], float(min(1.0, max(0.0, cosine[i, k])))
-                out[a + i] = bool(cosine[i, k] < MARGIN * self.floors[k])
+                out[a + i] = bool(cosine[i, k] < MARGIN * self.floors[k, size[i]])
         return label, score, out
 
 
@@ -134,7 +144,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     rows = labelled.where(F.col(label).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("string")).count().collect()}
     if not sizes:
-        return Centroids([], np.zeros((0, BUCKETS), np.float32), np.zeros(0), np.ones(BUCKETS))
+        return Centroids([], np.zeros((0, BUCKETS), np.float32), np.zeros((0, CLASSES)), np.ones(BUCKETS))
 
     def frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0
@@ -164,13 +174,41 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([np.frombuffer(v, np.float32) for v in sorted(group["vector"])])
         c, own = k_means(x, clusters)
-        cosine = (x * c[own]).sum(1)
-        return pd.DataFrame([{"label": group["label"].iloc[0], "cluster": k, "vector": c[k].tobytes(), "floor": float(cosine[own == k].min())} for k in range(len(c)) if (own == k).any()])
+        return pd.DataFrame([{"label": group["label"].iloc[0], "cluster": k, "vector": c[k].tobytes()} for k in range(len(c)) if (own == k).any()])
 
-    found = chosen.select(F.col(label).cast("string").alias("label"), text).mapInArrow(vectors, "label string, vector binary").groupBy("label").applyInPandas(centroids, "label string, cluster int, vector binary, floor double").collect()
+    labelled_texts = chosen.select(F.col(label).cast("string").alias("label"), text)
+    found = labelled_texts.mapInArrow(vectors, "label string, vector binary").groupBy("label").applyInPandas(centroids, "label string, cluster int, vector binary").collect()
     found.sort(key=lambda r: (r["label"], r["cluster"]))
-    floor = {x: min(r["floor"] for r in found if r["label"] == x) for x in {r["label"] for r in found}}
-    return Centroids([r["label"] for r in found], np.stack([np.frombuffer(r["vector"], np.float32) for r in found]) if found else np.zeros((0, BUCKETS), np.float32), np.array([floor[r["label"]] for r in found]), idf)
+    of = {x: np.stack([np.frombuffer(r["vector"], np.float32) for r in found if r["label"] == x]) for x in {r["label"] for r in found}}
+
+    def cosines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = [(x, t.strip()) for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x in of and t]
+            parts = [(x, p) for x, t in rows for p in (t, *(t[:m] for m in BEGINNINGS if m < len(t)))]
+            for x, y in groups_of_rows([p for _, p in parts]):
+                tf = tf_vectors([p for _, p in parts[x:y]])
+                v = weighted(tf, idf)
+                some, size = np.flatnonzero(tf.any(1)), size_class(tf)
+                names = [parts[x + i][0] for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(size[some], pa.int32()), pa.array([float((of[name] @ v[i]).max()) for name, i in zip(names, some)], pa.float64())], names=["label", "size", "cosine"])
+
+    def quantiles(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"label": group["label"].iloc[0], "floors": floors_by_size(group["size"].to_numpy(), group["cosine"].to_numpy()).tolist()}])
+
+    floors = {r["label"]: r["floors"] for r in labelled_texts.mapInArrow(cosines, "label string, size int, cosine double").groupBy("label").applyInPandas(quantiles, "label string, floors array<double>").collect()}
+    return Centroids([r["label"] for r in found], np.stack([np.frombuffer(r["vector"], np.float32) for r in found]) if found else np.zeros((0, BUCKETS), np.float32), np.array([floors[r["label"]] for r in found]).reshape(-1, CLASSES), idf)
+
+
+def floors_by_size(size: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """The low quantile of every size class. A class with few cosines is taken together with those of smaller texts, whose
+    cosines are lower; sizes below all that were seen have the floor of the smallest."""
+    out = np.empty(CLASSES)
+    for k in range(CLASSES):
+        low = high = max(k, int(size.min()))
+        while low > 0 and ((size >= low) & (size <= high)).sum() < LEAST_COSINES:
+            low -= 1
+        out[k] = np.quantile(cosine[(size >= low) & (size <= high)], QUANTILE)
+    return out
 
 
 def held_out(key: str = "doc_id") -> Column:

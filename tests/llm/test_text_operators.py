@@ -224,3 +224,30 @@ def test_language_without_labels(spark):
     model = language.fit(docs)
     assert [tuple(r) for r in language.identify(docs, model).select("lang_pred", "lang_score").collect()] == [("und", 0.0)] * 2
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+UNSEEN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "code": "def find(x):\n    while parent[x] != x:\n        x = parent[x]\n    return x\n\nfor i, s in enumerate(sets):\n    if s and len(s) > 3:\n        queue.append((i, s))\n",
+    "base64": "SGVyZSBpcyBhIHRleHQgdGhhdCBub2JvZHkgcmVhZHMgYXMgaXQgc3RhbmRzLCBzaW5jZSBpdCB3YXMgZW5jb2RlZCBmb3IgYSBtYWlsIHByb2dyYW0uCg==",
+    "junk": "qxzj wvkp bbrt zzxq jkwv pqmn xxcv bnmk qwrt plkj hgfd szxc vbnm qwpl kjhg fdsz",
+}
+
+
+def test_language_rejects_unseen_latin_script(spark):
+    rows = language_rows()
+    odd = (1000, "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.", "aa")  # one text doesn't set the floor of all
+    docs = spark.createDataFrame([*rows, odd], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.predict([*UNSEEN.values()])[2] == [True] * len(UNSEEN)
+    clean = [t for _, t, _ in rows] + [" ".join(t.split()[:n]) for _, t, _ in rows for n in (1, 2, 5)]
+    assert not any(model.predict(clean)[2])
+
+
+def test_floors_by_size():
+    size, cosine = np.repeat([3, 5, 6], [200, 300, 20]), np.repeat([0.3, 0.6, 0.9], [200, 300, 20])
+    cosine[200] = 0.01  # one odd text
+    floors = language.floors_by_size(size, cosine)
+    assert floors[[0, 3, 5]].tolist() == [0.3, 0.3, 0.6] and floors[6] == 0.6 and (floors[7:] >= 0.3).all()
