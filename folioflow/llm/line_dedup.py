@@ -5,6 +5,7 @@ Each document is the sequence of the hashes of its lines. From every line on, th
 (by key) is paired with the first document that has it, however many others have it too. The two line sequences are
 aligned by patience diff (lines that are unique in both, longest increasing sequence, neighbours that agree), again on
 what is left until nothing more aligns, and aligned blocks of at least ``MIN_WORDS`` words are deleted from the later one.
+So are common blocks of that length that the alignment has missed, as lines have other places in the earlier document too.
 
 Only hashes are shuffled for this, one per line; a run in a third of all documents gives one pair for each of them and no
 more. Texts are shuffled once, to meet the deletions.
@@ -90,8 +91,51 @@ def patience(a: list[int], b: list[int], where: list[int]) -> list[tuple[int, in
     return out
 
 
+def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[bool]:
+    """Which places of b are in a block of at least ``least`` words that a has anywhere: a suffix automaton of a reads b."""
+    link, length, after, last = [-1], [0], [{}], 0
+    for x in a:
+        new, p = len(length), last
+        length.append(length[last] + 1)
+        link.append(0)
+        after.append({})
+        while p >= 0 and x not in after[p]:
+            after[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = after[p][x]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                twin = len(length)
+                length.append(length[p] + 1)
+                link.append(link[q])
+                after.append(dict(after[q]))
+                while p >= 0 and after[p].get(x) == q:
+                    after[p][x] = twin
+                    p = link[p]
+                link[q] = link[new] = twin
+        last = new
+    out = [False] * len(b)
+    state, first, held, marked = 0, 0, 0, 0  # b[first : j + 1] is the longest end that a has
+    for j, x in enumerate(b):
+        begin = first
+        while state and x not in after[state]:
+            state = link[state]
+            first = j - length[state]
+        state = after[state].get(x, 0)
+        first = first if state else j + 1
+        held += words[j] - sum(words[begin:first])
+        if state and held >= least:
+            for i in range(max(first, marked), j + 1):
+                out[i] = True
+            marked = j + 1
+    return out
+
+
 def blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
-    """Ranges of b (end exclusive) that align with a and have at least ``least`` words."""
+    """Ranges of b (end exclusive) that align with a and have at least ``least`` words; and what is left of such blocks of
+    b that a has elsewhere."""
     out: list[tuple[int, int]] = []
     where = [*range(len(b))]
     while where:
@@ -110,6 +154,22 @@ def blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[tup
             break
         out += found
         where = [j for j in where if j not in gone]
+    # a block that is missed has only lines of a, one of them not yet in ``out``
+    known, left = set(a), [True] * len(b)
+    for x, y in out:
+        left[x:y] = [False] * (y - x)
+    missed, n = False, 0
+    while n < len(b) and not missed:
+        m = n
+        while m < len(b) and b[m] in known:
+            m += 1
+        missed = any(left[n:m]) and sum(words[n:m]) >= least
+        n = m + 1
+    if missed:
+        more = [x and y for x, y in zip(left, common_blocks(a, b, words, least))]
+        starts = [j for j in range(len(b)) if more[j] and not (j and more[j - 1])]
+        ends = [j + 1 for j in range(len(b)) if more[j] and not (j + 1 < len(b) and more[j + 1])]
+        out += zip(starts, ends)
     return sorted(out)
 
 

@@ -161,6 +161,24 @@ def test_patience_blocks():
     assert line_dedup.blocks(a, [7, 8], [10] * 2, 25) == [] == line_dedup.blocks(a, [], [], 25)
 
 
+def test_blocks_of_lines_that_also_stand_alone(spark):
+    a, b = [1, 90, 2, 91, 3, 92, 1, 2, 3], [1, 2, 3]
+    assert line_dedup.blocks(a, b, [10] * 3, 25) == [(0, 3)]
+    assert line_dedup.blocks([1, 90, 2, 91, 3, 92, 1, 2, 3], [8, 1, 2, 3, 9], [10, 20, 20, 4, 10], 25) == [(1, 4)]  # to its end
+    pick = random.Random(4)
+    for _ in range(400):
+        a, b = ([pick.randrange(4) for _ in range(pick.randint(0, 14))] for _ in range(2))
+        words = [5 * x + 4 for x in b]
+        found = line_dedup.blocks(a, b, words, 25)
+        got = [j for x, y in found for j in range(x, y)]
+        inside = lambda x, y: any(a[i : i + y - x] == b[x:y] for i in range(len(a)))
+        want = {j for x in range(len(b)) for y in range(x + 1, len(b) + 1) if sum(words[x:y]) >= 25 and inside(x, y) for j in range(x, y)}
+        assert sorted(want) == sorted(got)
+    line = [sentence(pick, 10) for _ in range(8)]
+    docs = spark.createDataFrame([(1, "\n".join([line[0], line[3], line[1], line[4], line[2], line[5], *line[:3]])), (2, "\n".join([*line[:3], line[7]]))], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.dedupe_lines(docs).collect()} == {1: "", 2: "0-2"}
+
+
 def vectors(spark, n=1200, seed=0):
     pick = np.random.default_rng(seed)
     x = pick.standard_normal((n, 16)).astype(np.float32)
