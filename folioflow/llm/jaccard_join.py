@@ -40,6 +40,8 @@ from .words import BLANK, shingles, slices, word_hashes
 GROUPS = 64
 #: Single pairs are bounded by finer points: a group for every so many shingles, MOST_GROUPS at most.
 SHINGLES_PER_GROUP, MOST_GROUPS = 8, 4096
+#: What a full member counts: more than a text has shingles in a group, and 64 of them (``MOST_GROUPS`` / ``GROUPS``) fit.
+UNBOUNDED = np.uint32(1 << 25)
 #: So many documents' keys (16 bytes each) at most are broadcast to select the texts to verify; more are shuffled.
 BROADCAST_KEYS = 500_000
 #: Documents of the sample by which frequent shingles are known, and how many of it make a shingle frequent.
@@ -72,16 +74,16 @@ def points(s: np.ndarray) -> np.ndarray:
 
 def wide(p: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """Points (a row each) with fewer groups, and room for sums; a group with a full member is as good as unbounded."""
-    p = np.where(p == 255, np.uint16(20_000), p.astype(np.uint16))
+    p = np.where(p == 255, UNBOUNDED, p.astype(np.uint32))
     if p.shape[1] > groups:
-        p = np.minimum(p.reshape(len(p), groups, -1).sum(2, dtype=np.int64), 20_000).astype(np.uint16)
+        p = p.reshape(len(p), groups, -1).sum(2, dtype=np.uint32)
     return p
 
 
 def coarse(column: pa.Array) -> np.ndarray:
     """The points of a column with ``GROUPS`` groups."""
     found = column.to_pylist()
-    out = np.empty((len(found), GROUPS), np.uint16)
+    out = np.empty((len(found), GROUPS), np.uint32)
     size = np.array([len(x) for x in found])
     for n in np.unique(size):
         at = np.flatnonzero(size == n)

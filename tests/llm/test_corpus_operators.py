@@ -73,6 +73,15 @@ def test_tree_finds_all_pairs():
     assert want <= got
 
 
+def test_bound_of_very_long_texts():
+    whole = np.unique(np.random.default_rng(6).integers(0, 1 << 63, 1_600_000).astype(np.uint64) * np.uint64(2))
+    p, q = (jaccard_join.wide(jaccard_join.points(s)[None]) for s in (whole[1:], whole[:-1]))
+    shared, sizes = np.minimum(p, q).sum(1, dtype=np.int64), np.array([2 * len(whole) - 2])
+    assert shared[0] >= len(whole) - 2 and jaccard_join.enough(shared, sizes, 85).all()
+    n = np.array([len(whole) - 1] * 2)
+    assert [(x.tolist(), y.tolist()) for x, y in jaccard_join.block_pairs(np.arange(2), n, np.concatenate([p, q]), np.arange(2), 85)] == [([0], [1])]
+
+
 def test_jaccard_join_empty_and_null_keys(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (7, "A b c d e"), (None, None)], "doc_id long, text string")
     assert sorted(map(str, (tuple(r) for r in jaccard_join.near_duplicates(docs).drop("version").collect()))) == ["(7, 2, 7)", "(None, 0, None)", "(None, 2, 7)"]
