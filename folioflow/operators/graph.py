@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..store import cut
+from ..store import Steps
+from .skew import ROWS_PER_PART, spread_join
 
 #: Labels halve their distance to the least one each round; more rounds than this mean that something is wrong.
 MAX_ROUNDS = 60
@@ -17,18 +18,24 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b): the least node that it is linked with, directly or not.
 
     Each round takes the least label among the neighbours and then the label of that label. All tables stay distributed
-    and are written to the shared folder each round; links of one node meet by a pre-aggregated minimum.
+    and are written to the shared folder each round; links of one node meet by a pre-aggregated minimum, and a node that
+    many are linked with is dealt out when it gives them its label.
     """
-    both = cut(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).where("node != other").distinct(), "links")
-    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
-    for _ in range(MAX_ROUNDS):
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("lower"))
-        roots = labels.select(F.col("node").alias("lower"), F.col("label").alias("root"))
-        new = cut(lower.join(roots, "lower", "left").select("node", F.least("lower", F.coalesce("root", "lower")).alias("label"), F.col("label").alias("old")), "labels")
-        labels = new.select("node", "label")
-        if new.where("label != old").isEmpty():
-            return labels
+    with Steps(links.sparkSession) as steps:
+        both = steps.cut(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).where("node != other").distinct(), "links")
+        degrees = steps.cut(both.groupBy("other").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ROWS_PER_PART), "degrees")
+        labels = steps.cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
+        for _ in range(MAX_ROUNDS):
+            near = spread_join(both, labels.withColumnRenamed("node", "other"), "other", "node", sizes=degrees).groupBy("node").agg(F.min("label").alias("near"))
+            lower = steps.cut(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("lower")), "lower")
+            roots = labels.select(F.col("node").alias("lower"), F.col("label").alias("root"))
+            found = spread_join(lower, roots, "lower", "node", how="left")
+            new = steps.cut(found.select("node", F.least("lower", F.coalesce("root", "lower")).alias("label"), F.col("label").alias("old")), "labels")
+            steps.drop(lower, labels)
+            labels = new
+            if new.where("label != old").isEmpty():
+                steps.keep(new)
+                return new.select("node", "label")
     raise RuntimeError("labels did not settle")
 
 

@@ -2,24 +2,81 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_left: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session on a single
+    machine (``local[...]``, as in tests) gets a folder of its own; a cluster has none that would do, so that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-folio-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _left.pop(path, None)
+
+
+def _delete_all() -> None:
+    for path, spark in list(_left.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended before the program
+            return
+
+
+atexit.register(_delete_all)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: whatever follows starts from files."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: whatever follows starts from files. They go
+    when the program ends, or before by ``Steps``."""
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Steps:
+    """The cuts of one computation. ``drop`` deletes those that nothing reads any more, once what was made from them has
+    been cut itself; leaving the block deletes all but the tables that were given to ``keep``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def cut(self, df: DataFrame, name: str = "step") -> DataFrame:
+        table, path = _written(df, name)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def keep(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self.paths.pop(id(t), None)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _delete(self.spark, self.paths.pop(id(t))[1])
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(t for t, _ in list(self.paths.values())))
