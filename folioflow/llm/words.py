@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are held as numpy arrays at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))

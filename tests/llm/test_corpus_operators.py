@@ -6,6 +6,7 @@ import string
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioflow.llm import decontaminate, hash_forest, jaccard_join, line_dedup
@@ -62,24 +63,49 @@ def test_jaccard_join(spark, k, percent, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(texts, k, percent)
 
 
-def test_tree_finds_all_pairs():
+def test_trees_find_all_pairs():
     pick = np.random.default_rng(3)
     base = pick.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
-    sets = [np.unique(np.concatenate([pick.choice(base[i % 4 * 100 : i % 4 * 100 + 100], 90, False), pick.integers(0, 1 << 63, 5).astype(np.uint64)])) for i in range(300)]
-    n, point = np.array([len(s) for s in sets]), np.stack([jaccard_join.wide(jaccard_join.points(s)[None])[0] for s in sets])
+    sets = [np.unique(np.concatenate([pick.choice(base[i % 4 * 100 : i % 4 * 100 + 100], 97, False), pick.integers(0, 1 << 63, 2).astype(np.uint64)])) for i in range(300)]
+    n, point = np.array([len(s) for s in sets]), np.stack([jaccard_join.corner(s) for s in sets])
     component = np.where(np.arange(300) % 4 == 0, 0, np.arange(300))
-    got = {tuple(sorted(p)) for x in jaccard_join.block_pairs(np.arange(300), n, point, component, 85) for p in zip(*(y.tolist() for y in x))}
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if component[i] != component[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
-    assert want <= got
+    tree = np.array([0] * 150 + [2] * 40 + [3] * 60 + [4] + [7] * 9 + [9] * 10 + [10] * 30)  # 2 meets 3; 7 and 9 have nobody to meet
+    got = [tuple(sorted(p)) for x in jaccard_join.block_pairs(tree, np.arange(300), n, point, component, 85) for p in zip(*(y.tolist() for y in x))]
+    meet = lambda i, j: tree[i] == tree[j] in (0, 4, 10) or (tree[i], tree[j]) == (2, 3)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if meet(i, j) and component[i] != component[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    assert len(want) > 100 and want <= {*got} and len({*got}) == len(got)
+    assert all(meet(i, j) for i, j in got) and len(got) < 150 * 149 // 2 / 3
 
 
 def test_bound_of_very_long_texts():
-    whole = np.unique(np.random.default_rng(6).integers(0, 1 << 63, 1_600_000).astype(np.uint64) * np.uint64(2))
-    p, q = (jaccard_join.wide(jaccard_join.points(s)[None]) for s in (whole[1:], whole[:-1]))
-    shared, sizes = np.minimum(p, q).sum(1, dtype=np.int64), np.array([2 * len(whole) - 2])
-    assert shared[0] >= len(whole) - 2 and jaccard_join.enough(shared, sizes, 85).all()
+    whole = np.unique(np.random.default_rng(6).integers(0, 1 << 63, 5_000_000).astype(np.uint64) * np.uint64(2))
     n = np.array([len(whole) - 1] * 2)
-    assert [(x.tolist(), y.tolist()) for x, y in jaccard_join.block_pairs(np.arange(2), n, np.concatenate([p, q]), np.arange(2), 85)] == [([0], [1])]
+    binary = lambda f: pa.array([f(s).tobytes() for s in (whole[1:], whole[:-1])], pa.binary())
+    p = binary(jaccard_join.points)
+    shared = jaccard_join.shared_at_most(p.slice(0, 1), p.slice(1, 1))
+    assert shared[0] >= len(whole) - 2 and jaccard_join.enough(shared, n.sum(keepdims=True), 85).all()
+    corners = np.stack([jaccard_join.corner(s) for s in (whole[1:], whole[:-1])])
+    assert corners.max() == 65535
+    assert [(x.tolist(), y.tolist()) for x, y in jaccard_join.block_pairs(np.zeros(2, int), np.arange(2), n, corners, np.arange(2), 85)] == [([0], [1])]
+
+
+def test_large_blocks_are_dealt_out(spark, monkeypatch):
+    """With tiles of a few nodes the result is the same: no pair is lost between strata or parts."""
+    monkeypatch.setattr(jaccard_join, "TILE", 3)
+    texts = documents(4, 120)
+    texts += [" ".join(["the same words in a row"] * 9 + [x]) for x in sentence(random.Random(8), 40).split()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()} == brute_classes(texts, 4, 85)
+
+
+def test_pairs_that_only_the_trees_find(spark):
+    """Steps of a chain: neighbours link, and no node of a block but the next ones is near its leader."""
+    words = sentence(random.Random(9), 400).split()
+    texts = [" ".join(words[i : i + 120]) for i in range(0, 200, 6)]
+    want = brute_classes(texts, 4, 85)
+    assert {c for _, c in want.values()} == {0}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()} == want
 
 
 def test_jaccard_join_empty_and_null_keys(spark):
