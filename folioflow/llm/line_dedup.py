@@ -1,18 +1,25 @@
 """Line deduplication by pairwise alignment (operator 1).
 
-Each document is the sequence of the hashes of its lines. From every line on, the shortest run of lines with at least
-``MIN_WORDS`` words is hashed: such a run is rare unless it is copied. A document that has a run of an earlier document
-(by key) is paired with the first document that has it, however many others have it too. The two line sequences are
-aligned by patience diff (lines that are unique in both, longest increasing sequence, neighbours that agree), again on
-what is left until nothing more aligns, and aligned blocks of at least ``MIN_WORDS`` words are deleted from the later one.
-So are common blocks of that length that the alignment has missed, as lines have other places in the earlier document too.
-
-Only hashes are shuffled for this, one per line; a run in a third of all documents gives one pair for each of them and no
-more. Texts are shuffled once, to meet the deletions.
-
-Edge cases: a null text stays null and an empty one empty; rows with equal key and text are one document with one result;
-rows with equal key and different texts are ordered by a hash of the text; null keys come last; lines are compared without
-blanks at their ends, and blank lines neither match nor interrupt a block; other columns are kept.
+Each document is the sequence of the hashes of its lines. A run is a block of lines with at least ``MIN_WORDS`` words that
+has fewer without its last line, or without its first: so long a run is rare unless it is copied, and runs stand for rare
+lines here, as a rare line may be too short to matter and a copied passage is rarely one line. A document that has a run of an
+earlier document (by key) is paired with the first document that has that run. The two line sequences are aligned by
+patience diff (common ends, then lines that are unique in both, their longest increasing sequence, and the same between
+them), and aligned blocks of at least ``MIN_WORDS`` words are deleted from the later one. Runs that the two share but the
+alignment, which keeps the order, has left are deleted as well.
+
+That is as good as aligning with every earlier document. Let a block of enough words be common to this document and some
+earlier one. Each of its lines is in a run that lies in the block: the shortest one that ends with the line if what is before
+the line in the block is enough, and else the shortest one that begins with the block. That earlier document has the run, so
+the run's first holder is paired with this document and the line is deleted.
+
+Only hashes are shuffled for this, one for each run; a run in a third of all documents gives one pair for each of them and no
+more, and is dealt out when it is joined. Texts are shuffled once, to meet the deletions.
+
+Edge cases: a null text stays null and an empty one empty; a very long text is taken whole, in time near-linear in its lines;
+rows with equal key and text are one document with one result; rows with equal key and different texts (ties) are ordered by
+a hash of the text; null keys come last; lines are compared without blanks at their ends, and blank lines neither match nor
+interrupt a block; other columns are kept, but for ``n_lines``, ``n_removed`` and ``removed``, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,48 +31,61 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.skew import spread_join
-from ..store import cut
+from ..operators.skew import ROWS_PER_PART, spread_join
+from ..store import Steps, cut
 
 MIN_WORDS = 25
+#: How often the alignment goes on between the lines that it has aligned; what is left then is found by its runs.
+MAX_DEPTH = 32
 
 
-def line_runs(hashes: list[int], words: list[int], least: int) -> list[int]:
-    """The hash of the shortest run of at least ``least`` words from each line on."""
+def runs(words: list[int], least: int) -> list[tuple[int, int]]:
+    """The ranges (end exclusive) of the runs: the shortest from each line on, and the shortest up to each line."""
     out, end, held = [], 0, 0
-    for i in range(len(hashes)):
-        while held < least and end < len(hashes):
+    for i in range(len(words)):
+        while held < least and end < len(words):
             held += words[end]
             end += 1
         if held < least:
             break
-        out.append(hashes[i] if end == i + 1 else xxhash.xxh3_64_intdigest(np.array(hashes[i:end], np.int64).tobytes()) - (1 << 63))
+        out.append((i, end))
         held -= words[i]
+    first, held = 0, 0
+    for j in range(len(words)):
+        held += words[j]
+        while held - words[first] >= least:
+            held -= words[first]
+            first += 1
+        if held >= least:
+            out.append((first, j + 1))
     return out
 
 
-def patience(a: list[int], b: list[int], where: list[int]) -> list[tuple[int, int]]:
-    """Matched places (of a, of b), increasing in both; ``where`` lists the places of b that are still free.
-
-    Anchors are the lines that occur once in both; where there are none, first occurrences stand in for them.
-    """
-    times_a, times_b = Counter(a), Counter(b[j] for j in where)
-    common = [x for x in times_b if x in times_a]
-    unique = {x for x in common if times_a[x] == 1 and times_b[x] == 1} or set(common)
-    first_a: dict[int, int] = {}
-    for i, x in enumerate(a):
-        if x in unique:
-            first_a.setdefault(x, i)
-    seen, pairs = set(), []
-    for j in where:
-        if b[j] in unique and b[j] not in seen:
-            seen.add(b[j])
-            pairs.append((first_a[b[j]], j))
+def run_hashes(hashes: list[int], ranges: list[tuple[int, int]]) -> list[int]:
+    """The hash of each run; a line's own for a run of one."""
+    lines = np.array(hashes, np.int64)
+    return [hashes[i] if j == i + 1 else xxhash.xxh3_64_intdigest(lines[i:j].tobytes()) - (1 << 63) for i, j in ranges]
+
+
+def anchors(a: list[int], b: list[int], low: tuple[int, int], high: tuple[int, int]) -> list[tuple[int, int]]:
+    """The longest sequence, increasing in both, of lines that occur once in a[low:high] and once in b[low:high]; of first
+    occurrences where no line does."""
+    times_a, times_b = Counter(a[low[0] : high[0]]), Counter(b[low[1] : high[1]])
+    common = {x for x in times_b if x in times_a}
+    unique = {x for x in common if times_a[x] == 1 and times_b[x] == 1} or common
+    place: dict[int, int] = {}
+    for i in range(low[0], high[0]):
+        if a[i] in unique:
+            place.setdefault(a[i], i)
+    pairs = []
+    for j in range(low[1], high[1]):
+        if (i := place.pop(b[j], -1)) >= 0:
+            pairs.append((i, j))
     tails: list[int] = []
     last: list[int] = []
-    back: list[int] = [-1] * len(pairs)
+    back = [-1] * len(pairs)
     for p, (i, _) in enumerate(pairs):
         k = bisect_left(tails, i)
         back[p] = last[k - 1] if k else -1
@@ -74,102 +94,65 @@ def patience(a: list[int], b: list[int], where: list[int]) -> list[tuple[int, in
     while p >= 0:
         chain.append(pairs[p])
         p = back[p]
-    chain.reverse()
-    free, out, low = set(where), [], (-1, -1)
-    for n, (i, j) in enumerate(chain):
-        high = chain[n + 1] if n + 1 < len(chain) else (len(a), len(b))
-        x, y, before = i - 1, j - 1, []
-        while x > low[0] and y > low[1] and y in free and a[x] == b[y]:
-            before.append((x, y))
-            x, y = x - 1, y - 1
-        out += [*reversed(before), (i, j)]
-        x, y = i + 1, j + 1
-        while x < high[0] and y < high[1] and y in free and a[x] == b[y]:
-            out.append((x, y))
-            x, y = x + 1, y + 1
-        low = out[-1]
-    return out
-
-
-def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[bool]:
-    """Which places of b are in a block of at least ``least`` words that a has anywhere: a suffix automaton of a reads b."""
-    link, length, after, last = [-1], [0], [{}], 0
-    for x in a:
-        new, p = len(length), last
-        length.append(length[last] + 1)
-        link.append(0)
-        after.append({})
-        while p >= 0 and x not in after[p]:
-            after[p][x] = new
-            p = link[p]
-        if p >= 0:
-            q = after[p][x]
-            if length[q] == length[p] + 1:
-                link[new] = q
-            else:
-                twin = len(length)
-                length.append(length[p] + 1)
-                link.append(link[q])
-                after.append(dict(after[q]))
-                while p >= 0 and after[p].get(x) == q:
-                    after[p][x] = twin
-                    p = link[p]
-                link[q] = link[new] = twin
-        last = new
-    out = [False] * len(b)
-    state, first, held, marked = 0, 0, 0, 0  # b[first : j + 1] is the longest end that a has
-    for j, x in enumerate(b):
-        begin = first
-        while state and x not in after[state]:
-            state = link[state]
-            first = j - length[state]
-        state = after[state].get(x, 0)
-        first = first if state else j + 1
-        held += words[j] - sum(words[begin:first])
-        if state and held >= least:
-            for i in range(max(first, marked), j + 1):
-                out[i] = True
-            marked = j + 1
-    return out
+    return chain[::-1]
+
+
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Aligned places (of a, of b), increasing in both."""
+    out, todo = [], [((0, 0), (len(a), len(b)), 0)]
+    while todo:
+        (i, j), (m, n), depth = todo.pop()
+        while i < m and j < n and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            out.append((m, n))
+        if i < m and j < n and depth < MAX_DEPTH:
+            chain = anchors(a, b, (i, j), (m, n))
+            if chain:
+                for x, y in zip([(i, j), *chain], [*chain, (m, n)]):
+                    todo.append((x, y, depth + 1))
+    return sorted(out)
 
 
 def blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
-    """Ranges of b (end exclusive) that align with a and have at least ``least`` words; and what is left of such blocks of
-    b that a has elsewhere."""
-    out: list[tuple[int, int]] = []
-    where = [*range(len(b))]
-    while where:
-        matched, found = patience(a, b, where), []
-        n = 0
-        while n < len(matched):
-            m = n + 1
-            while m < len(matched) and matched[m] == (matched[m - 1][0] + 1, matched[m - 1][1] + 1):
-                m += 1
-            if sum(words[j] for _, j in matched[n:m]) >= least:
-                found.append((matched[n][1], matched[m - 1][1] + 1))
-            n = m
-        # what aligned in blocks too short is set aside as well, so that other lines can be anchors
-        gone = {j for _, j in matched}
-        if not gone:
-            break
-        out += found
-        where = [j for j in where if j not in gone]
-    # a block that is missed has only lines of a, one of them not yet in ``out``
-    known, left = set(a), [True] * len(b)
-    for x, y in out:
-        left[x:y] = [False] * (y - x)
-    missed, n = False, 0
-    while n < len(b) and not missed:
-        m = n
-        while m < len(b) and b[m] in known:
+    """Ranges of b (end exclusive) that align with a and have at least ``least`` words; and what else of b is in runs that a
+    has too. ``words`` are those of b's lines."""
+    matched, out, n = patience(a, b), [], 0
+    left = [True] * len(b)
+    while n < len(matched):
+        m = n + 1
+        while m < len(matched) and matched[m] == (matched[m - 1][0] + 1, matched[m - 1][1] + 1):
             m += 1
-        missed = any(left[n:m]) and sum(words[n:m]) >= least
-        n = m + 1
-    if missed:
-        more = [x and y for x, y in zip(left, common_blocks(a, b, words, least))]
-        starts = [j for j in range(len(b)) if more[j] and not (j and more[j - 1])]
-        ends = [j + 1 for j in range(len(b)) if more[j] and not (j + 1 < len(b) and more[j + 1])]
-        out += zip(starts, ends)
+        first, end = matched[n][1], matched[m - 1][1] + 1
+        if sum(words[first:end]) >= least:
+            out.append((first, end))
+            left[first:end] = [False] * (end - first)
+        n = m
+    size, known, i = dict(zip(b, words)), set(), 0
+    while i < len(a):  # the runs of a that b can have, between lines that b hasn't
+        j = i
+        while j < len(a) and a[j] in size:
+            j += 1
+        if j > i:
+            known.update(run_hashes(a[i:j], runs([size[x] for x in a[i:j]], least)))
+        i = j + 1
+    ranges = runs(words, least)
+    more = [0] * (len(b) + 1)
+    for (i, j), h in zip(ranges, run_hashes(b, ranges)):
+        if h in known:
+            more[i] += 1
+            more[j] -= 1
+    depth, begin = 0, -1
+    for j in range(len(b) + 1):
+        depth += more[j]
+        inside = j < len(b) and depth > 0 and left[j]
+        if inside and begin < 0:
+            begin = j
+        elif not inside and begin >= 0:
+            out.append((begin, j))
+            begin = -1
     return sorted(out)
 
 
@@ -188,7 +171,7 @@ def outlines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
                             hashes.append(xxhash.xxh3_64_intdigest(line.strip().encode()) - (1 << 63))
                             words.append(n)
                             places.append(place)
-                    for column, x in zip(columns, (hashes, words, places, line_runs(hashes, words, least))):
+                    for column, x in zip(columns, (hashes, words, places, sorted({*run_hashes(hashes, runs(words, least))}))):
                         column.append(x)
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds))], names=["key", "version", "lines", "words", "places", "runs"])
@@ -197,28 +180,37 @@ def outlines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), text).mapInArrow(batches, f"key {kind}, version bigint, lines array<bigint>, words array<int>, places array<int>, runs array<bigint>")
 
 
-def deletions(outlined: DataFrame, least: int) -> DataFrame:
+def identity(key: str | Column) -> Column:
+    """What tells documents apart, in their order: rows with equal key and text are one document."""
+    return F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col("version"))
+
+
+def deletions(outlined: DataFrame, least: int, steps: Steps) -> DataFrame:
     """Per later document: the ranges of its lines (first, last) that an earlier document has."""
-    me = F.struct(F.col("key").isNull().alias("no_key"), "key", "version")
-    runs = outlined.where(F.size("runs") > 0).select(me.alias("later"), F.explode(F.array_distinct("runs")).alias("run"))
-    holders = runs.groupBy("run").agg(F.min("later").alias("earlier"), F.max("later").alias("last")).where(F.col("earlier") != F.col("last"))
-    pairs = runs.join(holders.select("run", "earlier"), "run").where(F.col("earlier") != F.col("later")).select("earlier", "later").distinct()
-    pairs = cut(pairs, "pairs")
-    each = outlined.where(F.size("runs") > 0).select(me.alias("id"), "lines", "words", "places").dropDuplicates(["id"])
+    some = outlined.where(F.size("runs") > 0)
+    held = some.select(identity("key").alias("later"), F.explode("runs").alias("run"))
+    holders = held.groupBy("run").agg(F.min("later").alias("earlier"), F.max("later").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("earlier") != F.col("last"))
+    holders = steps.cut(holders.select("run", "earlier", "n"), "holders")
+    # a passage of many documents is a run that many rows have
+    pairs = spread_join(held, holders.select("run", "earlier"), "run", "later", sizes=holders)
+    pairs = steps.cut(pairs.where(F.col("earlier") != F.col("later")).select("earlier", "later").distinct(), "pairs")
+    each = some.select(identity("key").alias("id"), "lines", "words", "places").dropDuplicates(["id"])
     own = each.select(F.col("id").alias("later"), "lines", "words", "places")
-    # a passage of many documents has one first holder: its lines go to several partitions
+    # and it has one first holder, whose lines go to several partitions
     both = spread_join(pairs, each.select(F.col("id").alias("earlier"), F.col("lines").alias("first_lines")), "earlier", "later").join(own, "later")
 
     def align(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            later, out = [], []
-            lines, words, places, first = (b.column(i) for i in range(1, 5))
-            for i in range(b.num_rows):
-                place = places[i].as_py()
-                if found := blocks(first[i].as_py(), lines[i].as_py(), words[i].as_py(), least):
-                    later.append(i)
-                    out.append([{"first": place[x], "last": place[y - 1]} for x, y in found])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(later, pa.int64())), pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["later", "ranges"])
+        for whole in it:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                later, out = [], []
+                lines, words, places, first = (b.column(i) for i in range(1, 5))
+                for i in range(b.num_rows):
+                    place = places[i].as_py()
+                    if found := blocks(first[i].as_py(), lines[i].as_py(), words[i].as_py(), least):
+                        later.append(i)
+                        out.append([{"first": place[x], "last": place[y - 1]} for x, y in found])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(later, pa.int64())), pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["later", "ranges"])
 
     kind = both.schema["later"].dataType.simpleString()
     found = both.select("later", "lines", "words", "places", "first_lines").mapInArrow(align, f"later {kind}, ranges array<struct<first:int,last:int>>")
@@ -228,23 +220,33 @@ def deletions(outlined: DataFrame, least: int) -> DataFrame:
 def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the lines that an earlier document has taken out of ``text``; ``n_lines``, ``n_removed`` and ``removed``
     (ranges of lines, as ``first-last``) say what became of it."""
-    outlined = cut(outlines(docs, key, text, least), "outlines")
-    gone = deletions(outlined, least).select(F.col("later.key").alias("_key"), F.col("later.version").alias("_version"), F.col("ranges").alias("_ranges"))
-    own = docs.drop("n_lines", "n_removed", "removed").withColumn("_v", F.xxhash64(text))
-    met = own.join(gone, own[key].eqNullSafe(gone["_key"]) & (own["_v"] == gone["_version"]), "left")
+    named = ["_dedup_none", "_dedup_key", "_dedup_version"]
+
+    def id_columns(no_key: Column, key: Column, version: Column) -> list[Column]:
+        return [c.alias(n) for c, n in zip((no_key, F.coalesce(key.cast("string"), F.lit("")), version), named)]
+
+    with Steps(docs.sparkSession) as steps:
+        outlined = steps.cut(outlines(docs, key, text, least), "outlines")
+        gone = deletions(outlined, least, steps).select(*id_columns(F.col("later.no_key"), F.col("later.key"), F.col("later.version")), F.col("ranges").alias("_dedup_ranges"))
+        gone = cut(gone, "deletions")
+        rows = outlined.select(*id_columns(F.col("key").isNull(), F.col("key"), F.col("version"))).groupBy(*named).agg(F.count(F.lit(1)).alias("n"))
+        rows = cut(rows.where(F.col("n") > ROWS_PER_PART), "repeats")
+    own = docs.drop("n_lines", "n_removed", "removed")
+    met = own.select("*", *id_columns(F.col(key).isNull(), F.col(key), F.xxhash64(text)))
+    met = spread_join(met, gone, named, F.monotonically_increasing_id(), sizes=rows, how="left")
     lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("_ranges", lambda r: (i >= r["first"]) & (i <= r["last"])))
-    some = F.col("_ranges").isNotNull()
+    kept = F.filter(lines, lambda _, i: ~F.exists("_dedup_ranges", lambda r: (i >= r["first"]) & (i <= r["last"])))
+    some = F.col("_dedup_ranges").isNotNull()
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     return met.withColumns(
         {
             "n_lines": F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n_lines),
-            "_kept": F.when(some, kept),
-            "removed": F.coalesce(F.array_join(F.transform("_ranges", lambda r: F.concat_ws("-", r["first"], r["last"])), ","), F.lit("")),
+            "_dedup_kept": F.when(some, kept),
+            "removed": F.coalesce(F.array_join(F.transform("_dedup_ranges", lambda r: F.concat_ws("-", r["first"], r["last"])), ","), F.lit("")),
         }
     ).select(
-        *[F.when(some, F.array_join("_kept", "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in own.columns if c != "_v"],
+        *[F.when(some, F.array_join("_dedup_kept", "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in own.columns],
         "n_lines",
-        F.when(some, F.col("n_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        F.when(some, F.col("n_lines") - F.size("_dedup_kept")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         "removed",
     )

@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -214,6 +215,65 @@ def test_blocks_of_lines_that_also_stand_alone(spark):
     assert {r.doc_id: r.removed for r in line_dedup.dedupe_lines(docs).collect()} == {1: "", 2: "0-2"}
 
 
+def brute_dedup(docs, least=25):
+    """(key, text) -> places of the lines that are in a block of ``least`` words that any earlier document has."""
+    order = sorted({(k is None, k or 0, v, t or "") for k, t, v in docs})
+    lines = [[(i, x.strip()) for i, x in enumerate(t.split("\n")) if x.split()] for *_, t in order]
+    out = {}
+    for d, (none, key, _, text) in enumerate(order):
+        mine, gone = [x for _, x in lines[d]], set()
+        for e in range(d):
+            whole = "\n" + "\n".join(x for _, x in lines[e]) + "\n"
+            for i in range(len(mine)):
+                for j in range(i + 1, len(mine) + 1):
+                    if "\n" + "\n".join(mine[i:j]) + "\n" not in whole:
+                        break
+                    if sum(len(x.split()) for x in mine[i:j]) >= least:
+                        gone.update(range(i, j))
+        out[None if none else key, text] = {lines[d][i][0] for i in gone}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_equals_all_pairs(spark, seed):
+    pick = random.Random(seed)
+    pool = [sentence(pick, n) for n in (2, 3, 4, 5, 6, 8, 10, 12, 20, 30) for _ in range(3)]
+    passages = [[pick.choice(pool) for _ in range(pick.randint(2, 6))] for _ in range(8)]
+    docs = []
+    for i in range(60):
+        lines = []
+        for _ in range(pick.randint(0, 4)):
+            lines += pick.choice(passages) if pick.random() < 0.7 else [pick.choice(pool)] if pick.random() < 0.5 else [sentence(pick, pick.randint(1, 40)), "", " "]
+        docs.append((pick.choice([i, i, i // 2, None]), "\n".join(lines)))
+    a, b = sentence(pick, 30), sentence(pick, 5)
+    docs += [(100, a), (101, f"{a}\n{b}"), (102, f"{a}\n{b}")]  # the third has all of the second
+    docs += [docs[3], docs[3], (None, None), (None, None), (55, "")] + [(103, "\n".join([*passages[0], *pool, *passages[1]]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    version = {(r.doc_id, r.text): r.v for r in frame.selectExpr("doc_id", "text", "xxhash64(text) v").collect()}
+    want = brute_dedup([(k, t, version[k, t]) for k, t in docs if t is not None])
+    got = line_dedup.dedupe_lines(frame.withColumn("_key", frame["doc_id"]).withColumn("run", frame["text"])).collect()
+    assert len(got) == len(docs) and all(r._key == r.doc_id for r in got)
+    assert sum(map(len, want.values())) > 100
+    for r in got:
+        ranges = [tuple(map(int, x.split("-"))) for x in r.removed.split(",") if x]
+        gone = {i for x, y in ranges for i in range(x, y + 1)}
+        text = (r.run or "").split("\n")
+        assert {i for i in gone if text[i].split()} == (want[r.doc_id, r.run] if r.run is not None else set())
+        assert r.text is None if r.run is None else r.text == "\n".join(x for i, x in enumerate(text) if i not in gone)
+
+
+def test_alignment_of_very_long_texts():
+    n = 20_000
+    began = time.time()
+    assert line_dedup.blocks([*range(n)], [*range(n)], [5] * n, 25) == [(0, n)]
+    assert line_dedup.blocks([*range(n)], [*range(n)][::-1], [5] * n, 25) == []  # a reversed copy
+    found = line_dedup.blocks([*range(n)], [*range(n)][::-1], [30] * n, 25)  # each line is enough
+    assert {j for x, y in found for j in range(x, y)} == {*range(n)}
+    same = line_dedup.blocks([7, 8] * (n // 2), [8, 7] * (n // 2), [5] * n, 25)
+    assert {j for x, y in same for j in range(x, y)} == {*range(n)}
+    assert time.time() - began < 10
+
+
 def vectors(spark, n=1200, seed=0):
     pick = np.random.default_rng(seed)
     x = pick.standard_normal((n, 16)).astype(np.float32)
