@@ -24,10 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words of more parts than this use a heap: a scan's time grows with the square of the length.
+#: Words of more parts than this keep their ranks in a heap: a scan's time grows with the square of the length, and the
+#: rank array is for short words. The ids are the same.
 SCAN_LIMIT = 96
-#: Encoded blank-free runs that a Python worker remembers; it forgets all of them when there are more.
-CACHE_ENTRIES = 400_000
+#: Encoded blank-free runs that a Python worker remembers: so many new ones, and those that it remembered before them.
+CACHE_ENTRIES = 100_000
 #: Longer runs are not remembered.
 CACHE_CHARS = 64
 
@@ -72,6 +73,7 @@ class WordBpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.blank = regex.compile(r"\s+").split
         self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def normal(text: str) -> str:
@@ -123,13 +125,15 @@ class WordBpe:
 
     def run(self, run: str) -> bytes:
         """The ids of a text without blanks, as little-endian 32-bit numbers."""
-        out: list[int] = []
-        for w in self.words(self.normal(run)):
-            out += self.word(w)
-        ids = np.array(out, "<u4").tobytes()
+        ids = self.older.get(run)
+        if ids is None:
+            out: list[int] = []
+            for w in self.words(self.normal(run)):
+                out += self.word(w)
+            ids = np.array(out, "<u4").tobytes()
         if len(run) <= CACHE_CHARS:
             if len(self.runs) >= CACHE_ENTRIES:
-                self.runs.clear()
+                self.older, self.runs = self.runs, {}
             self.runs[run] = ids
         return ids
 
@@ -144,8 +148,7 @@ class WordBpe:
             parts = [p for p in self.blank(text) if p]
         else:
             parts = text.split()
-        known = self.runs.get
-        return b"".join([known(p) or self.run(p) for p in parts])
+        return b"".join([self.runs.get(p) or self.run(p) for p in parts])
 
     def decode(self, ids: bytes) -> str:
         """The library's text for ids without a decoder: the tokens with a space between."""
