@@ -74,12 +74,22 @@ def md_line(line: Column) -> Column:
     return F.struct(style.alias("style"), strip_inline(trim_all(text)).alias("text"))
 
 
-#: Numbers and volume words in file names.
-_NUM = "[0-9０-９一二三四五六七八九十百零〇两]+"
-_VOLUME = rf"(?:第\s*{_NUM}\s*[卷部册集话回季篇]|[卷部册集]\s*{_NUM}|{_NUM}\s*[卷部册集]|[上中下](?:[册部卷篇])?|[Vv][Oo][Ll]\.?\s*[0-9]+)"
-_GLUED = rf"(?:第\s*{_NUM}\s*[卷部册集]|[卷部册]\s*{_NUM}|[Vv][Oo][Ll]\.?\s*[0-9]+)"
-_WHOLE = rf"^(.+?)\s*(?:[（(]\s*({_VOLUME})\s*[)）]|(?:[-–—_·:：]\s*|\s+)({_VOLUME})|({_GLUED}))\s*$"
-_COMPLETE = r"\s*[\[（(【]\s*(?:完结版|完结|完|全|终)\s*[\]）)】]\s*$"
+#: How file names count volumes, say that a series is complete, and part a title from what follows.
+NUMERALS = "0123456789０１２３４５６７８９一二三四五六七八九十百零〇两"
+VOLUME_UNITS, CHAPTER_UNITS, PARTS, PART_UNITS = "卷部册集", "话回季篇", "上中下", "册部卷篇"
+COMPLETE = ("完结版", "完结", "完", "全", "终")
+SEPARATORS = "-–—_·:："
+
+_N = f"[{NUMERALS}]+"
+#: The forms of a volume without blanks, what each becomes, and whether it may follow the title without a separator.
+FORMS = (
+    (f"第({_N})([{VOLUME_UNITS}])", "$1$2", True),
+    (f"([{VOLUME_UNITS}])({_N})", "$2$1", True),
+    ("[Vv][Oo][Ll][.]?([0-9]+)", "$1卷", True),
+    (f"({_N}[{VOLUME_UNITS}])", "$1", False),
+    (f"(第{_N}[{CHAPTER_UNITS}])", "$1", False),
+    (f"([{PARTS}][{PART_UNITS}]?)", "$1", False),
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -87,29 +97,48 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def volume_marker(m: Column) -> Column:
-    """A volume with its number first: ``卷02`` and ``第02卷`` are ``02卷``, ``Vol.3`` is ``3卷``."""
-    return let(
-        F.regexp_replace(m, r"(?U)\s+", ""),
-        lambda flat: F.when(flat.rlike(rf"^[卷部册集]{_NUM}$"), F.regexp_replace(flat, rf"^([卷部册集])({_NUM})$", "$2$1"))
-        .when(flat.rlike(rf"^第{_NUM}[卷部册集]$"), F.regexp_replace(flat, rf"^第({_NUM})([卷部册集])$", "$1$2"))
-        .when(flat.rlike(r"^[Vv][Oo][Ll]\.?[0-9]+$"), F.concat(F.regexp_replace(flat, r"^[Vv][Oo][Ll]\.?", ""), F.lit("卷")))
-        .otherwise(flat),
-    )
+def volume(tail: Column) -> Column:
+    """What a tail of a name becomes if it is a volume in one of the forms (``卷02`` and ``第02卷`` are ``02卷``), else null."""
+
+    def formed(flat: Column) -> Column:
+        return F.coalesce(*(F.when(flat.rlike(f"^{form}$"), F.regexp_replace(flat, f"^{form}$", to)) for form, to, _ in FORMS))
+
+    return let(F.regexp_replace(tail, r"(?U)\s+", ""), formed)
 
 
 def canonical_name(stem: Column) -> Column:
-    """A book's name without the tail of its file name, and with its volume in one form; the same when applied again."""
-    pattern = "(?U)" + _WHOLE
+    """A book's name without the tail of its file name, and with its volume in one form; the same when applied again.
+
+    The name is cut before its last bracket, after its last separator, or where a volume begins that needs none; the first
+    of these cuts whose tail is a volume counts.
+    """
 
-    def named(plain: Column) -> Column:
-        volume = F.concat(*(F.regexp_extract(plain, pattern, g) for g in (2, 3, 4)))
-        title = trim_all(F.regexp_replace(trim_all(F.regexp_extract(plain, pattern, 1)), "[-–—_·:：]+$", ""))
-        return let(F.struct(title.alias("title"), volume.alias("volume")), lambda x: F.when((x["title"] != "") & (x["volume"] != ""), F.concat(x["title"], F.lit(" - "), volume_marker(x["volume"]))).otherwise(plain))
+    def bracketed(name: Column, opening: str, closing: str) -> tuple[Column, Column]:
+        whole = rf"(?U)^(.*)[{opening}]([^{opening}]*)[{closing}]$"
+        return F.regexp_extract(name, whole, 1), F.regexp_extract(name, whole, 2)
+
+    def complete_dropped(name: Column) -> Column:
+        before, inside = bracketed(name, r"\[（(【", r"\]）)】")
+        return F.when(trim_all(inside).isin(*COMPLETE), trim_all(before)).otherwise(name)
+
+    def joined(name: Column) -> Column:
+        """Blanks within a volume at the end go, so that a separator before it is the last one."""
+        for pattern in (rf"(第|[{VOLUME_UNITS}]|[Vv][Oo][Ll][.]?)\s+({_N}\s*[{VOLUME_UNITS}{CHAPTER_UNITS}]?)$", rf"({_N})\s+([{VOLUME_UNITS}{CHAPTER_UNITS}])$"):
+            name = F.regexp_replace(name, "(?U)" + pattern, "$1$2")
+        return name
+
+    def named(name: Column) -> Column:
+        apart = rf"(?U)^(.*)[{SEPARATORS}\s]([^{SEPARATORS}\s]+)$"
+        glued = "(?:" + "|".join(form for form, _, alone in FORMS if alone) + ")$"
+        last = joined(name)
+        cuts = [bracketed(name, "（(", "）)"), (F.regexp_extract(last, apart, 1), F.regexp_extract(last, apart, 2)), (F.regexp_replace(last, glued, ""), F.regexp_extract(last, glued, 0))]
+        tidy = lambda title: trim_all(F.regexp_replace(trim_all(title), f"[{SEPARATORS}]+$", ""))
+        out = [let(F.struct(tidy(title).alias("title"), volume(tail).alias("volume")), lambda x: F.when((x["title"] != "") & x["volume"].isNotNull(), F.concat(x["title"], F.lit(" - "), x["volume"]))) for title, tail in cuts]
+        return F.coalesce(*out, name)
 
     def whole(stem: Column) -> Column:
         first = trim_all(F.split(stem, " -- ", 2)[0])
-        return let(first, lambda x: F.when(x == "", stem).otherwise(let(trim_all(F.regexp_replace(x, _COMPLETE, "")), named)))
+        return let(first, lambda x: F.when(x == "", stem).otherwise(let(complete_dropped(x), named)))
 
     return let(trim_all(stem), whole)
 
@@ -253,7 +282,7 @@ def percent_decode(c: Column) -> Column:
 def sidecar_name(name: Column, most: int = 255, kept: int = 200) -> Column:
     """``.name.delivered``, or a cut name and a digest if that is too long for a file name (in bytes)."""
     plain = F.concat(F.lit("."), name, F.lit(".delivered"))
-    places = F.sequence(F.lit(0), F.length(name))
+    places = F.sequence(F.lit(0), F.least(F.length(name), F.lit(kept)))
     cut = F.element_at(F.filter(F.transform(places, lambda n: F.substring(name, F.lit(1), n)), lambda s: F.octet_length(s) <= kept), -1)
     return F.when(F.octet_length(plain) <= most, plain).otherwise(F.concat(F.lit("."), cut, F.lit("."), F.substring(F.sha2(name, 256), 1, 16), F.lit(".delivered")))
 

@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as T
 from ..plans.registry import query
 
-NUM = "[0-9０-９一二三四五六七八九十百零〇两]+"
-
 
 @query(
     "leading_marker",
@@ -46,17 +44,13 @@ def strip_inline(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", T.strip_inline(F.col("text")).alias("plain"))
 
 
-_VOLUME = rf"(?:第\s*{NUM}\s*[卷部册集话回季篇]|[卷部册集]\s*{NUM}|{NUM}\s*[卷部册集]|[上中下](?:[册部卷篇])?|[Vv][Oo][Ll]\.?\s*[0-9]+)"
-
-
 @query(
     "canonical_name",
     "v_book_files",
-    sql=rf"""SELECT doc_id, CASE WHEN title <> '' AND vol <> '' THEN concat(title, ' - ', CASE WHEN regexp_matches(vol, '^[卷部册集]{NUM}$') THEN regexp_replace(vol, '^([卷部册集])({NUM})$', '\2\1') ELSE vol END, '.epub') ELSE concat(plain, '.epub') END AS name FROM
- (SELECT doc_id, plain, trim(regexp_replace(trim(regexp_extract(plain, '^(.+?)\s*(?:[-–—_·:：]\s*|\s+)({_VOLUME})\s*$', 1)), '[-–—_·:：]+$', '')) AS title, regexp_replace(regexp_extract(plain, '^(.+?)\s*(?:[-–—_·:：]\s*|\s+)({_VOLUME})\s*$', 2), '\s+', '', 'g') AS vol
- FROM (SELECT doc_id, trim(split_part(trim(regexp_replace(name, '\.[^.]+$', '')), ' -- ', 1)) AS plain FROM v_book_files))""",
+    sql=r"""SELECT doc_id, concat(regexp_extract(name, '^(Annals|Book) [a-z0-9]+ [a-z]+', 0), ' - ', CASE doc_id % 4 WHEN 1 THEN concat(n, '部') WHEN 2 THEN concat('第', n, '话') ELSE concat(n, '卷') END, regexp_extract(name, '[.][^.]+$', 0)) AS name FROM (SELECT doc_id, name, CAST(doc_id % 30 AS VARCHAR) AS n FROM v_book_files)""",
 )
 def canonical_names(files: DataFrame) -> DataFrame:
+    """File names whose volumes are written in several forms."""
     return files.select("doc_id", T.canonical_file_name(F.col("name")).alias("name"))
 
 
@@ -66,16 +60,16 @@ def list_titles(files: DataFrame) -> DataFrame:
     return files.select("doc_id", title.alias("title"), T.series_of(title).alias("series"))
 
 
-@query("file_ext", "v_book_files", sql=r"SELECT doc_id, lower(regexp_extract(name, '^.+\.([^.]*)$', 1)) AS ext, regexp_replace(name, '\.[^.]*$', '') AS stem, 'application/epub+zip' AS mime, lower(regexp_extract(name, '^.+\.([^.]*)$', 1)) IN ('epub','pdf') AS eligible FROM v_book_files")
+@query("file_ext", "v_book_files", sql=r"""SELECT doc_id, ext, regexp_replace(name, '\.[^.]*$', '') AS stem, CASE ext WHEN 'epub' THEN 'application/epub+zip' WHEN 'pdf' THEN 'application/pdf' WHEN 'txt' THEN 'text/plain; charset=utf-8' END AS mime, ext IN ('epub','pdf') AS eligible FROM (SELECT doc_id, name, lower(regexp_extract(name, '^.+\.([^.]*)$', 1)) AS ext FROM v_book_files)""")
 def file_parts(files: DataFrame) -> DataFrame:
     name = F.col("name")
     return files.select("doc_id", T.file_ext(name).alias("ext"), T.file_stem(name).alias("stem"), T.file_mime(name).alias("mime"), T.file_ext(name).isin("epub", "pdf").alias("eligible"))
 
 
-@query("sniff_format", "v_lines", sql="SELECT id, CASE id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'gif' WHEN 2 THEN 'otf' END AS format FROM v_lines")
+@query("sniff_format", "v_lines", sql="SELECT id, CASE WHEN starts_with(c, '%PDF') THEN 'pdf' WHEN starts_with(c, 'GIF8') THEN 'gif' WHEN starts_with(c, 'OTTO') THEN 'otf' WHEN starts_with(c, 'true') THEN 'ttf' END AS format FROM (SELECT id, concat(CASE id % 4 WHEN 0 THEN '%PDF-1.7' WHEN 1 THEN 'GIF89a' WHEN 2 THEN 'OTTO' ELSE '' END, raw) AS c FROM v_lines)")
 def sniff_formats(lines: DataFrame) -> DataFrame:
-    """Formats of contents that are the lines with various beginnings."""
-    head = F.element_at(F.array(F.lit("%PDF-1.7"), F.lit("GIF89a"), F.lit("OTTO"), F.lit("~")), (F.col("id") % 4 + 1).cast("int"))
+    """Formats of contents that are the texts with various beginnings, and of the bare texts."""
+    head = F.element_at(F.array(F.lit("%PDF-1.7"), F.lit("GIF89a"), F.lit("OTTO"), F.lit("")), (F.col("id") % 4 + 1).cast("int"))
     return lines.select("id", T.sniff_format(F.encode(F.concat(head, F.col("raw")), "UTF-8")).alias("format"))
 
 
@@ -84,11 +78,18 @@ def folder_segments(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.array_join(T.folder_segments(F.col("url")), "|").alias("segments"))
 
 
-@query("path_normalise", "v_book_files", sql="SELECT doc_id, concat('a/', CAST(doc_id AS VARCHAR), '.html') AS path FROM v_book_files")
-def path_normalise(files: DataFrame) -> DataFrame:
+@query(
+    "path_normalise",
+    "pages",
+    sql="""WITH RECURSIVE p AS (SELECT page_id, string_split(CASE page_id % 4 WHEN 0 THEN '/' || url ELSE 'a//b/' || CASE page_id % 4 WHEN 1 THEN '../../../' || url WHEN 2 THEN './' || url || '/../z' ELSE url || '//./..' END END, '/') AS parts FROM pages),
+r AS (SELECT page_id, parts, 1 AS i, []::VARCHAR[] AS done FROM p UNION ALL SELECT page_id, parts, i + 1, CASE WHEN parts[i] IN ('', '.') THEN done WHEN parts[i] = '..' THEN list_slice(done, 1, len(done) - 1) ELSE list_append(done, parts[i]) END FROM r WHERE i <= len(parts))
+SELECT page_id, array_to_string(done, '/') AS path FROM r WHERE i = len(parts) + 1""",
+)
+def path_normalise(pages: DataFrame) -> DataFrame:
     """Paths that go up, stay and come back, from a base."""
-    path = F.concat(F.lit("../x/.././"), F.col("doc_id").cast("string"), F.lit(".html"))
-    return files.select("doc_id", T.path_normalise(F.lit("a//b"), path).alias("path"))
+    url = F.col("url")
+    paths = F.array(F.concat(F.lit("/"), url), F.concat(F.lit("../../../"), url), F.concat(F.lit("./"), url, F.lit("/../z")), F.concat(url, F.lit("//./..")))
+    return pages.select("page_id", T.path_normalise(F.lit("a//b"), F.element_at(paths, (F.col("page_id") % 4 + 1).cast("int"))).alias("path"))
 
 
 @query("xml_unescape", "pages", sql="""SELECT page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS text FROM pages""")
@@ -96,15 +97,15 @@ def xml_unescape(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", T.xml_unescape(F.col("html")).alias("text"))
 
 
-@query("percent_decode", "documents", sql="SELECT doc_id, substring(text, 1, 60) AS decoded FROM documents")
+@query("percent_decode", "documents", sql="SELECT doc_id, url_decode(url_encode(text)) AS decoded FROM documents")
 def percent_decode(docs: DataFrame) -> DataFrame:
-    """The beginnings of texts, escaped and resolved again: an exact round trip."""
-    return docs.select("doc_id", T.percent_decode(F.replace(F.url_encode(F.substring("text", 1, 60)), F.lit("+"), F.lit("%20"))).alias("decoded"))
+    """Texts escaped and resolved again: an exact round trip."""
+    return docs.select("doc_id", T.percent_decode(F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))).alias("decoded"))
 
 
-@query("yaml_quote", "documents", sql="""SELECT doc_id, concat('"', replace(replace(substring(text, 1, 300), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), '"') AS quoted FROM documents""")
+@query("yaml_quote", "documents", sql="""SELECT doc_id, concat('"', replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), '"') AS quoted FROM documents""")
 def yaml_quote(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", T.yaml_quote(F.substring("text", 1, 300)).alias("quoted"))
+    return docs.select("doc_id", T.yaml_quote(F.col("text")).alias("quoted"))
 
 
 @query("safe_filename", "pages", sql=r"SELECT page_id, CASE WHEN regexp_replace(url, '[/\\]', '_', 'g') IN ('', '.', '..') THEN '_' ELSE regexp_replace(url, '[/\\]', '_', 'g') END AS name FROM pages")
@@ -127,17 +128,25 @@ def mask_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", T.mask_key(F.col("source")).alias("masked"))
 
 
+def _cut(c: str) -> str:
+    return f"CASE WHEN length({c}) > 500 THEN concat(substring({c}, 1, 500), '…') ELSE {c} END"
+
+
 @query(
     "build_prompt",
     "v_entries",
-    sql="""SELECT id, concat('Answer.', chr(10), chr(10), '书名：', book, chr(10), CASE WHEN trim(quote) <> '' THEN concat('勾画原文：「', CASE WHEN length(trim(quote)) > 500 THEN concat(substring(trim(quote), 1, 500), '…') ELSE trim(quote) END, '」', chr(10)) ELSE '' END,
- CASE WHEN trim(text, chr(10) || ' ') <> '' THEN concat('旁边的批注：', trim(text, chr(10) || ' '), chr(10)) ELSE '' END, chr(10), '问题：', status) AS prompt FROM (SELECT * REPLACE (trim(quote, chr(10) || ' ') AS quote) FROM v_entries)""",
+    sql=f"""SELECT id, concat('Answer.', chr(10), chr(10), '书名：', book, chr(10), CASE WHEN quote <> '' THEN concat('勾画原文：「', {_cut('quote')}, '」', chr(10)) ELSE '' END,
+ CASE WHEN text <> '' THEN concat('旁边的批注：', {_cut('text')}, chr(10)) ELSE '' END, chr(10), '问题：', {_cut('question')}) AS prompt FROM (SELECT id, book, trim(quote, chr(10) || ' ') AS quote, trim(text, chr(10) || ' ') AS text, coalesce(trim(question, chr(10) || ' '), '') AS question FROM v_entries)""",
 )
 def build_prompt(entries: DataFrame) -> DataFrame:
-    return entries.select("id", T.build_prompt(F.lit("Answer."), F.col("book"), F.lit(""), F.col("quote"), F.col("text"), F.col("status")).alias("prompt"))
+    return entries.select("id", T.build_prompt(F.lit("Answer."), F.col("book"), F.lit(""), F.col("quote"), F.col("text"), F.coalesce("question", F.lit(""))).alias("prompt"))
 
 
-@query("sidecar_name", "v_book_files", sql="SELECT doc_id, concat('.', name, '.delivered') AS sidecar FROM v_book_files")
+@query(
+    "sidecar_name",
+    "v_book_files",
+    sql="""SELECT doc_id, CASE WHEN strlen(name) + 11 <= 255 THEN concat('.', name, '.delivered') ELSE concat('.', substring(name, 1, list_max(list_filter(range(0, length(name) + 1), lambda n: strlen(substring(name, 1, n)) <= 200))), '.', substring(sha256(name), 1, 16), '.delivered') END AS sidecar FROM v_book_files""",
+)
 def sidecar_name(files: DataFrame) -> DataFrame:
     return files.select("doc_id", T.sidecar_name(F.col("name")).alias("sidecar"))
 
@@ -156,21 +165,19 @@ def tool_names(events: DataFrame) -> DataFrame:
     return events.select("event_id", T.named(F.col("user_id") % 4, T.TOOLS).alias("tool"), T.colour_name(code, part(10), part(11), part(12)).alias("colour"))
 
 
-@query("fnv64", "nation")
-def fnv64(nation: DataFrame) -> DataFrame:
-    return nation.select("n_nationkey", T.fnv64(F.col("n_name")).alias("fnv"))
+def fnv_sql(c: str) -> str:
+    """SQL for FNV-1a of a text of ASCII characters."""
+    return f"format('{{:016x}}', CAST(list_reduce(list_transform(string_split({c}, ''), lambda x: CAST(unicode(x) AS HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, CAST(14695981039346656037 AS HUGEINT)) AS UBIGINT))"
 
 
-@query("entry_id", "v_entries")
-def entry_id(entries: DataFrame) -> DataFrame:
-    """The id of an entry from its book, page and first stroke."""
-    return entries.select("id", T.fnv64(F.concat_ws("/", "book", F.col("page_index").cast("string"), F.col("id").cast("string"))).alias("entry_id"))
+@query("fnv64", "customer", sql=f"SELECT c_custkey, {fnv_sql('c_name')} AS fnv FROM customer")
+def fnv64(customers: DataFrame) -> DataFrame:
+    return customers.select("c_custkey", T.fnv64(F.col("c_name")).alias("fnv"))
 
 
-@query("style_code", "v_lines", sql="SELECT id, CASE id % 6 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 10 WHEN 3 THEN 6 ELSE 3 END AS code FROM v_lines")
-def style_codes(lines: DataFrame) -> DataFrame:
-    style = F.element_at(F.array(*map(F.lit, T.STYLES)), (F.col("id") % 6 + 1).cast("int"))
-    return lines.select("id", F.create_map(*[F.lit(x) for kv in T.STYLES.items() for x in kv])[style].alias("code"))
+@query("style_code", "v_entries", sql="SELECT id, CASE style WHEN 'body' THEN 1 WHEN 'bullet' THEN 4 WHEN 'numbered' THEN 10 WHEN 'checkbox' THEN 6 WHEN 'heading1' THEN 3 WHEN 'heading2' THEN 3 END AS code FROM v_entries")
+def style_codes(entries: DataFrame) -> DataFrame:
+    return entries.select("id", F.create_map(*[F.lit(x) for kv in T.STYLES.items() for x in kv])[F.col("style")].alias("code"))
 
 
 @query("pen_color", "events", sql="SELECT event_id, CASE user_id % 10 WHEN 0 THEN 'black' WHEN 1 THEN 'grey' WHEN 2 THEN 'white' WHEN 3 THEN 'yellow' WHEN 4 THEN 'green' WHEN 5 THEN 'pink' WHEN 6 THEN 'blue' WHEN 7 THEN 'red' WHEN 8 THEN 'grey_overlap' ELSE 'unknown:9' END AS colour FROM events")

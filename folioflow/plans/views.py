@@ -21,8 +21,12 @@ VIEWS = {
     "v_entries": """SELECT doc_id AS id, source AS book, doc_id%300 AS page_index, CASE WHEN doc_id%11=0 THEN NULL ELSE doc_id%9 END AS chapter,
  CASE doc_id%7 WHEN 0 THEN 'mined' WHEN 1 THEN 'pending' WHEN 2 THEN 'draft' WHEN 3 THEN 'reviewed' WHEN 4 THEN 'skipped' WHEN 5 THEN 'revoked' ELSE 'archived' END AS status,
  CASE doc_id%3 WHEN 0 THEN 'notebook' WHEN 1 THEN 'obsidian' ELSE 'both' END AS destination,
- CASE WHEN doc_id%7=3 THEN substring(text,1,200) END AS text, CASE WHEN doc_id%7 IN (2,3) THEN substring(text,1,120) END AS draft0,
- CASE WHEN doc_id%5<>0 THEN substring(text,201,80) END AS quote, 1704067200+(doc_id*3600)%7776000 AS updated FROM documents""",
+ CASE doc_id%13 WHEN 0 THEN 'bullet' WHEN 1 THEN 'numbered' WHEN 2 THEN 'checkbox' WHEN 3 THEN 'heading1' WHEN 4 THEN 'heading2' ELSE 'body' END AS style,
+ CASE WHEN doc_id%4<>0 THEN concat('Part ',CAST(CAST(floor((doc_id%300)/60.0) AS BIGINT) AS VARCHAR(9))) END AS subhead,
+ CASE WHEN doc_id%7=3 THEN text END AS text, CASE WHEN doc_id%7 IN (2,3) THEN (CASE WHEN doc_id%4=0 THEN 'quoted ' ELSE 'written ' END) || text END AS draft0,
+ CASE WHEN doc_id%5<>0 THEN 'quoted ' || text END AS quote, CASE WHEN doc_id%6=0 THEN 'why ' || text END AS question, CASE WHEN doc_id%12=0 THEN 'because ' || text END AS answer,
+ CASE WHEN doc_id%10=0 THEN 3 ELSE doc_id%3 END AS attempts, 1704067200+(doc_id*3600)%7776000 AS updated FROM documents""",
+    "v_tried": "SELECT id, book, updated, 3 AS attempts FROM v_entries WHERE id%4=0 AND updated%7200=0",
     "v_books": "SELECT source AS uuid, concat('Book ',source) AS title, CASE WHEN min(doc_id)%2=0 THEN concat('Author ',min(lang)) ELSE '' END AS author FROM documents GROUP BY source",
     "v_usage_calls": "SELECT event_id AS called, concat('m',CAST(user_id%5 AS VARCHAR(9))) AS model, event_type<>'error' AS ok, CAST(floor(value*10) AS BIGINT) AS prompt_tokens, CAST(floor(value*3) AS BIGINT) AS completion_tokens, props AS err FROM events",
     "v_prices": "SELECT 'm0' AS model, CAST(0.5 AS DOUBLE) AS input_per1k, CAST(1.0 AS DOUBLE) AS output_per1k UNION ALL SELECT 'm1', CAST(0.0 AS DOUBLE), CAST(2.0 AS DOUBLE) UNION ALL SELECT 'm9', CAST(1.0 AS DOUBLE), CAST(1.0 AS DOUBLE)",
@@ -33,11 +37,19 @@ VIEWS = {
     "v_sections": "SELECT s_nationkey AS book, s_name AS file, (s_suppkey*7)%500 AS start_page FROM supplier",
     "v_pages": "SELECT o_orderkey AS page_key, o_custkey%25 AS book, o_orderkey%500 AS page FROM orders",
     "v_page_state": "SELECT book, page, max(page_key) AS mtime FROM v_pages WHERE page_key%3=0 GROUP BY book, page",
-    "v_book_files": "SELECT doc_id, concat(substring(replace(text,chr(10),' '),1,12),' - 卷',CAST(doc_id%30 AS VARCHAR(9)),' -- ',lang,' -- h',CAST(doc_id AS VARCHAR(9)),'.epub') AS name, n_chars AS bytes FROM documents",
+    "v_book_files": """SELECT doc_id, concat(CASE WHEN doc_id%3=0 THEN 'Annals ' ELSE 'Book ' END, source, ' ', lang, CASE doc_id%4 WHEN 0 THEN ' - 卷' WHEN 1 THEN '(第' WHEN 2 THEN ' 第' ELSE 'Vol.' END, CAST(doc_id%30 AS VARCHAR(9)), CASE doc_id%4 WHEN 1 THEN '部)' WHEN 2 THEN '话' ELSE '' END,
+ ' -- ', lang, ' -- ', CASE WHEN doc_id%50=0 THEN repeat('著者',50) ELSE concat('h',CAST(doc_id AS VARCHAR(18))) END, CASE doc_id%10 WHEN 0 THEN '.pdf' WHEN 1 THEN '.TXT' ELSE '.epub' END) AS name, n_chars AS bytes FROM documents""",
+    "v_kept_files": "SELECT * FROM v_book_files WHERE doc_id%5<>0",
     "v_shelf": """SELECT doc_id, name, bytes, 1704067200+doc_id*60 AS mtime, CASE WHEN doc_id%10=0 THEN 'pdf' WHEN doc_id%10=1 THEN 'other' ELSE 'epub' END AS format,
  CASE WHEN doc_id%4=0 THEN NULL ELSE 1704067200+doc_id*60+CASE WHEN doc_id%5=0 THEN -30 ELSE 30 END END AS native_at,
  CASE doc_id%6 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'cancelled' ELSE 'ok' END AS deliver_status, doc_id%13=0 AS busy FROM v_book_files""",
-    "v_lines": """SELECT doc_id AS id, concat(CASE doc_id%12 WHEN 0 THEN '- ' WHEN 1 THEN '1. ' WHEN 2 THEN '- [ ] ' WHEN 3 THEN '## ' WHEN 4 THEN '### ' WHEN 5 THEN '口 ' WHEN 6 THEN '3.14 ' WHEN 7 THEN '□ ' WHEN 8 THEN '12、' WHEN 9 THEN '# ' WHEN 10 THEN '-3 ' ELSE '' END, substring(text,1,40)) AS raw FROM documents""",
+    "v_lines": """SELECT doc_id AS id, concat(CASE doc_id%12 WHEN 0 THEN '- ' WHEN 1 THEN '1. ' WHEN 2 THEN '- [ ] ' WHEN 3 THEN '## ' WHEN 4 THEN '### ' WHEN 5 THEN '口 ' WHEN 6 THEN '3.14 ' WHEN 7 THEN '□ ' WHEN 8 THEN '12、' WHEN 9 THEN '# ' WHEN 10 THEN '-3 ' ELSE '' END, text) AS raw FROM documents""",
+    "v_page_table": """SELECT o_custkey%25 AS book, CAST(row_number() OVER (PARTITION BY o_custkey%25 ORDER BY o_orderkey)-1 AS INT) AS ordinal, CASE WHEN o_orderkey%7<>0 THEN concat('p',CAST(o_orderkey AS VARCHAR(18))) END AS page_id,
+ CASE WHEN o_custkey%25%4<>0 AND o_orderkey%5<>0 THEN CAST(o_orderkey%300 AS INT) END AS pdf_page, CAST(o_custkey%25%3%2+1 AS INT) AS version FROM orders""",
+    "v_package_files": """SELECT page_id AS book, CAST(page_id%5 AS INT) AS pos, concat('text/', CASE page_id%5 WHEN 0 THEN 'nav.xhtml' WHEN 1 THEN 'toc.ncx' WHEN 2 THEN 'my-nav.xhtml' ELSE concat('c', CAST(page_id AS VARCHAR(18)), '.xhtml') END) AS path,
+ CASE WHEN page_id%3=0 THEN concat('text/c', CAST(page_id AS VARCHAR(18)), '.xhtml') END AS declared_nav, CASE WHEN page_id%4=0 THEN 'text/toc.ncx' END AS declared_ncx, html FROM pages""",
+    "v_packages": """SELECT p_partkey AS uuid, concat('<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf"><!-- <item id="no"/> --><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>', p_name, '</dc:title><dc:creator>', p_brand, '</dc:creator></metadata><manifest><item id="a" href="a', CAST(p_partkey AS VARCHAR(18)),
+ '.html"/><item id="b" href="', p_type, '"/></manifest><spine', CASE p_partkey%3 WHEN 0 THEN ' page-progression-direction=" RTL "' WHEN 1 THEN ' page-progression-direction="ltr"' ELSE '' END, '><itemref idref="b"/><itemref idref="a"/></spine></package>') AS text FROM part""",
     "v_commands": "SELECT event_id AS seq, user_id AS entry, CASE event_type WHEN 'click' THEN 'request' WHEN 'view' THEN 'skip' WHEN 'signup' THEN 'draft' WHEN 'purchase' THEN 'restore' ELSE 'archive' END AS cmd, ts FROM events",
     "v_deploy_files": """SELECT p_partkey%20 AS device, concat('f',CAST(p_partkey AS VARCHAR(9))) AS path, concat(p_brand,'/',CAST(p_partkey AS VARCHAR(9))) AS recorded,
  CASE WHEN p_partkey%7=0 THEN NULL WHEN p_partkey%5=0 THEN 'x' ELSE concat(p_brand,'/',CAST(p_partkey AS VARCHAR(9))) END AS current_hash,

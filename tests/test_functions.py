@@ -27,9 +27,9 @@ def test_leading_marker(spark):
 
 
 NAMES = [
-    ("鏢人 - 卷02 -- 許先哲 -- 鏢人 - 卷02, 2022", "鏢人 - 02卷"), ("亂馬1⁄2 典藏版 - 20卷 [完] -- x", "亂馬1⁄2 典藏版 - 20卷"), ("镖人(卷二) -- 许先哲", "镖人 - 二卷"), ("疯探-空城", "疯探-空城"), ("雪人 上册", "雪人 - 上册"), ("雪人 - 下", "雪人 - 下"),
-    ("三体 - 第二部", "三体 - 二部"), ("某书Vol.3", "某书 - 3卷"), ("某书 Vol 12", "某书 - 12卷"), ("某书 - 册3", "某书 - 3册"), ("某书卷五", "某书 - 五卷"), ("某书 第十二卷", "某书 - 十二卷"), ("某书（完结）", "某书"), ("某书 第3话", "某书 - 第3话"),
-    ("某书（第十回）", "某书 - 第十回"), ("某书第3话", "某书第3话"), ("世界上", "世界上"), ("  带空格  ", "带空格"), (" -- 作者", "-- 作者"), ("", ""),
+    ("山路 - 卷07 -- somebody -- 山路 - 卷07, 1999", "山路 - 07卷"), ("山路 9卷 [完] -- x", "山路 - 9卷"), ("山路(卷三) -- 某人", "山路 - 三卷"), ("山路-海边", "山路-海边"), ("山路 中册", "山路 - 中册"), ("山路 - 上", "山路 - 上"),
+    ("山路 - 第四部", "山路 - 四部"), ("山路Vol.8", "山路 - 8卷"), ("山路 vol 15", "山路 - 15卷"), ("山路 - 集6", "山路 - 6集"), ("山路册两", "山路 - 两册"), ("山路 第二十卷", "山路 - 二十卷"), ("山路（终）", "山路"), ("山路 第9回", "山路 - 第9回"),
+    ("山路（第 七 季）", "山路 - 第七季"), ("山路第9回", "山路第9回"), ("路在山中", "路在山中"), ("  plain name  ", "plain name"), (" -- who", "-- who"), ("", ""), ("a-b: 第 12 册", "a-b - 12册"), ("卷5", "卷5"), ("x 3 卷", "x - 3卷"), ("x 第 3 次", "x 第 3 次"), ("山路(海) - 下卷 (完结)", "山路(海) - 下卷"),
 ]
 
 
