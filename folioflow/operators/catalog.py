@@ -15,14 +15,16 @@ def unique_names(requests: DataFrame, taken: DataFrame) -> DataFrame:
     ``taken`` has the names (folder, name) in use. Requests for one name get the free numbers in their order.
     """
     number = r"^(.*) ([1-9][0-9]{0,8})$"
-    plain = taken.select("folder", F.col("name").alias("base"), F.lit(1).alias("number"))
-    counted = taken.where(F.col("name").rlike(number)).select("folder", F.regexp_extract("name", number, 1).alias("base"), F.regexp_extract("name", number, 2).cast("int").alias("number"))
-    used = plain.unionByName(counted).groupBy("folder", F.col("base").alias("name")).agg(F.collect_set("number").alias("used"))
-    asked = requests.withColumn("n", F.row_number().over(W.partitionBy("folder", "name").orderBy("seq"))).join(used, ["folder", "name"], "left")
-    used_ = F.coalesce("used", F.array().cast("array<int>"))
-    free = F.filter(F.sequence(F.lit(1), F.size(used_) + F.col("n")), lambda k: ~F.array_contains(used_, k))
-    number_ = F.element_at(free, F.col("n"))
-    return asked.select("folder", "name", "seq", F.when(number_ == 1, F.col("name")).otherwise(F.concat_ws(" ", "name", number_.cast("string"))).alias("given"))
+    plain = taken.select("folder", "name", F.lit(1).alias("number"))
+    counted = taken.where(F.col("name").rlike(number)).select("folder", F.regexp_extract("name", number, 1).alias("name"), F.regexp_extract("name", number, 2).cast("int").alias("number"))
+    used = plain.unionByName(counted).distinct()
+    # The n-th free number is n plus how many used numbers have fewer than n free ones below them: a running count over both.
+    below = F.col("number") - F.row_number().over(W.partitionBy("folder", "name").orderBy("number"))
+    marks = used.select("folder", "name", below.alias("at"), F.lit(1).alias("mark"), F.lit(None).cast(requests.schema["seq"].dataType).alias("seq"))
+    asked = requests.select("folder", "name", (F.row_number().over(W.partitionBy("folder", "name").orderBy("seq")) - 1).alias("at"), F.lit(0).alias("mark"), "seq")
+    before = F.sum("mark").over(W.partitionBy("folder", "name").orderBy("at", F.desc("mark")).rowsBetween(W.unboundedPreceding, 0))
+    given = asked.unionByName(marks).withColumn("number", F.col("at") + 1 + before).where("mark = 0")
+    return given.select("folder", "name", "seq", F.when(F.col("number") == 1, F.col("name")).otherwise(F.concat_ws(" ", "name", F.col("number").cast("string"))).alias("given"))
 
 
 @query(
@@ -43,8 +45,13 @@ def claim_new_docs(uploads: DataFrame, before: DataFrame, after: DataFrame, by:
     taken for want of a better."""
     new = after.join(before.select("uuid"), "uuid", "left_anti")
     keys = {"hash": ["size", "hash"], "name": ["name"], "size": ["size"]}[by]
-    found = uploads.join(new.select("uuid", "created_ms", *keys), keys).where(F.col("created_ms") >= F.col("at_ms") - margin_ms)
-    only = found.groupBy("upload").agg(F.count(F.lit(1)).alias("n"), F.min("uuid").alias("uuid")).where("n = 1").drop("n")
+    # "exactly one, and late enough" needs only the two newest documents of a key, so copies make no pairs
+    pair = F.struct("created_ms", "uuid")
+    newest = new.groupBy(*keys).agg(F.max(pair).alias("first"), F.count(F.lit(1)).alias("n"))
+    second = new.join(newest.where("n > 1").select(*keys, "first"), keys).where(pair != F.col("first")).groupBy(*keys).agg(F.max("created_ms").alias("second_ms"))
+    found = uploads.join(newest.join(second, keys, "left"), keys)
+    late = F.col("at_ms") - margin_ms
+    only = found.where((F.col("first.created_ms") >= late) & (F.coalesce(F.col("second_ms"), late - 1) < late)).select("upload", F.col("first.uuid").alias("uuid"))
     # a document that two uploads would claim is claimed by neither
     sole = only.join(only.groupBy("uuid").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("uuid"), "uuid", "left_semi")
     return uploads.select("upload").join(sole, "upload", "left")
@@ -72,6 +79,20 @@ def toc_source_choice(files: DataFrame) -> DataFrame:
     return files.groupBy("book").agg(F.min(nav)["path"].alias("nav"), F.min(ncx)["path"].alias("ncx"))
 
 
+@query(
+    "toc_source_choice",
+    "v_package_files",
+    sql="""SELECT book, max(path) FILTER (nav_rank = best_nav) AS nav, max(path) FILTER (ncx_rank = best_ncx) AS ncx FROM (SELECT *, min(nav_rank) OVER (PARTITION BY book) AS best_nav, min(ncx_rank) OVER (PARTITION BY book) AS best_ncx FROM
+ (SELECT book, path, CASE WHEN path = declared_nav THEN 0 WHEN path LIKE '%/nav.xhtml' THEN 1 WHEN contains(path, 'nav') AND path LIKE '%.xhtml' THEN 2 END AS nav_rank, CASE WHEN path = declared_ncx THEN 0 WHEN path LIKE '%.ncx' THEN 1 END AS ncx_rank FROM
+ (SELECT book // 5 AS book, path, max(declared_nav) OVER (PARTITION BY book // 5) AS declared_nav, max(declared_ncx) OVER (PARTITION BY book // 5) AS declared_ncx FROM v_package_files))) GROUP BY book""",
+)
+def toc_sources(files: DataFrame) -> DataFrame:
+    """Five neighbouring pages stand for the files of a book; what any of them declares counts."""
+    book = F.floor(F.col("book") / 5)
+    declared = files.groupBy(book.alias("book")).agg(F.max("declared_nav").alias("declared_nav"), F.max("declared_ncx").alias("declared_ncx"))
+    return toc_source_choice(files.select(book.alias("book"), "path", "pos").join(declared, "book"))
+
+
 def cover_choice(items: DataFrame, images: DataFrame, pages: int = 12) -> DataFrame:
     """(book, cover): the declared image, or the one with the cover property, or the first image in the first spine pages.
 
@@ -83,6 +104,21 @@ def cover_choice(items: DataFrame, images: DataFrame, pages: int = 12) -> DataFr
     return named.unionByName(seen).groupBy("book").agg(F.min("c")["path"].alias("cover"))
 
 
+@query(
+    "cover_choice",
+    "v_package_files",
+    sql="""SELECT book, coalesce(max(path) FILTER (book % 6 = 0), max(path) FILTER (book % 6 = 1), max(path) FILTER (book % 6 NOT IN (0, 1) AND img <> '')) AS cover FROM (SELECT book, CASE WHEN book % 6 IN (0, 1) THEN path ELSE regexp_extract(html, '<img[^>]*src="([^"]*)"', 1) END AS path, regexp_extract(html, '<img[^>]*src="([^"]*)"', 1) AS img FROM v_package_files)
+ WHERE book % 6 IN (0, 1) OR img <> '' GROUP BY book""",
+)
+def covers(files: DataFrame) -> DataFrame:
+    """Books that declare an image, books whose image has the property, and books with an image in their first page."""
+    rest = F.col("book") % 6
+    items = files.where(rest < 2).select("book", "pos", "path", F.lit(True).alias("is_image"), (rest == 0).alias("declared"), (rest == 1).alias("cover_property"))
+    src = F.regexp_extract("html", '<img[^>]*src="([^"]*)"', 1)
+    images = files.where(rest >= 2).select("book", F.lit(0).alias("spine_pos"), F.lit(False).alias("is_nav"), F.lit(0).alias("pos"), F.when(src != "", src).alias("path"))
+    return cover_choice(items, images)
+
+
 def snapshot_policy(requests: DataFrame, previous: DataFrame, layouts: DataFrame) -> DataFrame:
     """(uuid, outcome) for requests (uuid, last_page, has_index): saved, kept (the snapshot before still waits for its new
     layout), or skipped (not read, or no index). previous: uuid, at_ms; layouts: uuid, laid_out_ms."""
@@ -108,18 +144,18 @@ def await_render(shelf: DataFrame, seconds: int = 600) -> DataFrame:
     return both.select("uuid", F.when(near, "ok").otherwise("timeout").alias("render"))
 
 
-@query("snapshot_expiry", "v_shelf", "v_book_files", sql="SELECT s.doc_id, s.mtime FROM v_shelf s WHERE s.mtime >= 1704100000 AND s.doc_id IN (SELECT doc_id FROM v_book_files WHERE doc_id % 5 <> 0)")
+@query("snapshot_expiry", "v_shelf", "v_kept_files", sql="SELECT s.doc_id, s.mtime FROM v_shelf s WHERE s.mtime >= 1704100000 AND s.doc_id IN (SELECT doc_id FROM v_kept_files)")
 def snapshot_expiry(shelf: DataFrame, files: DataFrame, oldest: int = 1704100000) -> DataFrame:
     """Snapshots that are young enough and whose book is still there."""
-    return shelf.where(F.col("mtime") >= oldest).join(files.where("doc_id % 5 <> 0").select("doc_id"), "doc_id", "left_semi").select("doc_id", "mtime")
+    return shelf.where(F.col("mtime") >= oldest).join(files.select("doc_id"), "doc_id", "left_semi").select("doc_id", "mtime")
 
 
-@query("provider_of_url", "pages", sql="SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'first' WHEN page_id % 3 = 1 THEN 'second' END AS provider FROM pages")
+@query("provider_of_url", "pages", sql="SELECT page_id, CASE rtrim(concat(regexp_replace(regexp_extract(url, '^https?://[^/]+', 0), '//.*[.]', '//'), CASE WHEN page_id % 2 = 0 THEN '//' ELSE '' END), '/') WHEN 'https://com' THEN 'first' WHEN 'https://net' THEN 'second' WHEN 'http://com' THEN 'third' END AS provider FROM pages")
 def provider_of_urls(pages: DataFrame) -> DataFrame:
-    """Providers of addresses with and without slashes at their end, one of them unknown."""
-    table = {"https://one.example/v1/": "first", "https://two.example": "second"}
-    url = F.element_at(F.array(F.lit("https://one.example/v1"), F.lit("https://two.example//"), F.lit("https://three.example")), (F.col("page_id") % 3 + 1).cast("int"))
-    return pages.select("page_id", T.provider_of_url(url, table).alias("provider"))
+    """Providers by the scheme and the last part of the sites of pages, with and without slashes at their end."""
+    table = {"https://com/": "first", "https://net": "second", "http://com//": "third"}
+    site = F.regexp_replace(F.regexp_extract("url", "^https?://[^/]+", 0), "//.*[.]", "//")
+    return pages.select("page_id", T.provider_of_url(F.concat(site, F.when(F.col("page_id") % 2 == 0, "//").otherwise("")), table).alias("provider"))
 
 
 def scan_to_claims(strokes: DataFrame, highlights: DataFrame, stored: DataFrame, pages: DataFrame, state: DataFrame) -> DataFrame:

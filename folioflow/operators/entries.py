@@ -140,31 +140,52 @@ def review_advance(entries: DataFrame) -> DataFrame:
     return entries.select("id", after.alias("r")).select("id", "r.streak", "r.interval_days", "r.due")
 
 
-@query(
-    "transcribe_batch",
-    "v_entries",
-    sql="""SELECT id, book, CASE WHEN exhausted THEN 'skipped' WHEN n <= 20 THEN 'picked' ELSE 'left' END AS fate FROM (SELECT id, book, page_index % 10 = 0 AS exhausted,
- sum(CASE WHEN page_index % 10 = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY book ORDER BY page_index, id ROWS UNBOUNDED PRECEDING) AS n FROM v_entries WHERE status IN ('pending','draft'))""",
-)
-def transcribe_batch(entries: DataFrame, limit: int = 20) -> DataFrame:
-    """What a run takes from each book, in page order: those that were tried too often are skipped, the rest is left."""
-    exhausted = F.col("page_index") % 10 == 0
-    place = F.sum(F.when(exhausted, 0).otherwise(1)).over(W.partitionBy("book").orderBy("page_index", "id").rowsBetween(W.unboundedPreceding, 0))
-    todo = entries.where(F.col("status").isin("pending", "draft")).withColumn("place", place)
-    return todo.select("id", "book", F.when(exhausted, "skipped").when(F.col("place") <= limit, "picked").otherwise("left").alias("fate"))
+#: The order in which a run takes entries; in the view, a run is a day, and a call fails for every fifth id and for all of every seventh day.
+_RUN_SQL = """WITH todo AS (SELECT *, updated // 86400 AS run, attempts >= 3 AS exhausted FROM v_entries WHERE status IN ('pending','draft')),
+placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY book, page_index, id) AS place, sum(CASE WHEN exhausted THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY book, page_index, id ROWS UNBOUNDED PRECEDING) AS n, id % 5 = 0 OR run % 7 = 0 AS fails FROM todo),
+stops AS (SELECT run, max(place) AS stop FROM placed WHERE NOT exhausted AND n <= 3 GROUP BY run HAVING count(*) = 3 AND bool_and(fails)),
+seen AS (SELECT p.*, CASE WHEN exhausted THEN 'skipped' WHEN n <= 20 THEN 'picked' ELSE 'left' END AS fate FROM placed p LEFT JOIN stops s ON p.run = s.run WHERE s.stop IS NULL OR p.place <= s.stop)"""
+
+
+def runs(entries: DataFrame, limit: int = 20, most: int = 3) -> DataFrame:
+    """What each run does with its entries (run, book, page_index, id, attempts, fails): in the order of books and pages, those that
+    were tried ``most`` times are ``skipped``, ``limit`` are ``picked`` and the rest is ``left``. A run whose first three
+    calls fail stops there; what comes after isn't seen.
+
+    Only the first entries of a run are ranked in full (a top-k), the others are compared with the last one picked.
+    """
+    todo = entries.withColumns({"exhausted": F.col("attempts") >= most, "at": F.struct("book", "page_index", "id")})
+    place = F.row_number().over(W.partitionBy("run").orderBy("at"))
+    first = todo.where("NOT exhausted").withColumn("n", place).where(F.col("n") <= limit)
+    early = F.col("n") <= 3
+    ends = first.groupBy("run").agg(F.max("at").alias("last"), F.max(F.when(early, F.col("at"))).alias("third"), (F.count_if(early & F.col("fails")) == 3).alias("stops"))
+    fate = F.when(F.col("exhausted"), "skipped").when(F.col("at") <= F.col("last"), "picked").otherwise("left")
+    return todo.join(ends, "run", "left").where(~F.coalesce("stops", F.lit(False)) | (F.col("at") <= F.col("third"))).withColumn("fate", fate)
+
+
+def runs_of_days(entries: DataFrame) -> DataFrame:
+    run = F.floor(F.col("updated") / 86400)
+    return runs(entries.where(F.col("status").isin("pending", "draft")).withColumns({"run": run, "fails": (F.col("id") % 5 == 0) | (run % 7 == 0)}))
+
+
+@query("transcribe_batch", "v_entries", sql=f"{_RUN_SQL} SELECT run, id, book, fate FROM seen")
+def transcribe_batch(entries: DataFrame) -> DataFrame:
+    """What becomes of every entry that a run sees."""
+    return runs_of_days(entries).select("run", "id", "book", "fate")
 
 
 @query(
     "run_report",
     "v_entries",
-    sql="""SELECT book, CAST(count(*) AS BIGINT) AS scanned, CAST(count(*) FILTER (status = 'reviewed') AS BIGINT) AS done, CAST(count(*) FILTER (status = 'draft') AS BIGINT) AS failed,
- CAST(count(*) FILTER (status IN ('skipped','archived')) AS BIGINT) AS skipped, CAST(count(*) FILTER (status = 'pending') AS BIGINT) AS waiting, CAST(coalesce(sum(length(draft0)), 0) AS BIGINT) AS tokens FROM v_entries GROUP BY book""",
+    sql=f"""{_RUN_SQL} SELECT run, CAST(count(*) AS BIGINT) AS scanned, CAST(count(*) FILTER (fate = 'picked' AND NOT fails) AS BIGINT) AS done, CAST(count(*) FILTER (fate = 'picked' AND fails) AS BIGINT) AS failed, CAST(count(*) FILTER (fate = 'skipped') AS BIGINT) AS skipped,
+ CAST(count(*) FILTER (fate = 'left') AS BIGINT) AS waiting, CAST(coalesce(sum(length(quote)) FILTER (fate = 'picked' AND NOT fails), 0) AS BIGINT) AS tokens FROM seen GROUP BY run""",
 )
 def run_report(entries: DataFrame) -> DataFrame:
-    """What became of the entries of each book's run; in the view, a state stands for an outcome and characters for tokens."""
-    s = F.col("status")
-    return entries.groupBy("book").agg(
-        F.count(F.lit(1)).alias("scanned"), F.count_if(s == "reviewed").alias("done"), F.count_if(s == "draft").alias("failed"), F.count_if(s.isin("skipped", "archived")).alias("skipped"), F.count_if(s == "pending").alias("waiting"), F.coalesce(F.sum(F.length("draft0")), F.lit(0)).alias("tokens")
+    """One row a run; in the view, a quote's characters stand for the tokens of a call."""
+    done = (F.col("fate") == "picked") & ~F.col("fails")
+    count = lambda c, name: F.count_if(c).alias(name)
+    return runs_of_days(entries).groupBy("run").agg(
+        F.count(F.lit(1)).alias("scanned"), count(done, "done"), count((F.col("fate") == "picked") & F.col("fails"), "failed"), count(F.col("fate") == "skipped", "skipped"), count(F.col("fate") == "left", "waiting"), F.coalesce(F.sum(F.when(done, F.length("quote"))), F.lit(0)).cast("long").alias("tokens")
     )
 
 
@@ -193,48 +214,48 @@ def chapter_entries(entries: DataFrame) -> DataFrame:
     return entries.select("id", "book", "chapter", F.row_number().over(W.partitionBy("book", "chapter").orderBy("page_index", "id")).cast("long").alias("place"))
 
 
-@query(
-    "merge_stats",
-    "v_entries",
-    sql="SELECT book, " + ", ".join(f"CAST(count(*) FILTER (status = '{s}') AS BIGINT) AS {n}" for n, s in (("added", "mined"), ("changed", "draft"), ("unchanged", "reviewed"), ("revoked", "revoked"), ("revived", "pending"))) + " FROM v_entries GROUP BY book",
-)
-def merge_stats(entries: DataFrame) -> DataFrame:
-    """Outcomes of a merge per book; in the view, a state stands for an outcome."""
-    outcome = {"added": "mined", "changed": "draft", "unchanged": "reviewed", "revoked": "revoked", "revived": "pending"}
-    return entries.groupBy("book").agg(*[F.count_if(F.col("status") == s).alias(n) for n, s in outcome.items()])
+FIELDS = ("quote", "text", "draft", "question", "answer")
 
 
-FIELDS = ("quote", "text", "draft")
+def _search_sql(q: str, limit: int = 50) -> str:
+    each = " UNION ALL ".join(f"SELECT id, book, page_index, {n} AS ord, '{f}' AS field, {'CASE WHEN text IS NULL THEN draft0 END' if f == 'draft' else f} AS body FROM v_entries WHERE status <> 'revoked'" for n, f in enumerate(FIELDS))
+    cut = f"concat(CASE WHEN pos > 31 THEN '…' ELSE '' END, replace(substring(body, greatest(pos - 30, 1), least(pos + {len(q) + 29}, length(body)) - greatest(pos - 30, 1) + 1), chr(10), ' '), CASE WHEN pos + {len(q) + 29} < length(body) THEN '…' ELSE '' END)"
+    return f"""WITH f AS ({each}), h AS (SELECT *, instr(lower(body), '{q}') AS pos FROM f WHERE contains(lower(body), '{q}')),
+one AS (SELECT h.*, title FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS rn FROM h) h JOIN v_books b ON h.book = b.uuid WHERE rn = 1),
+titled AS (SELECT e.id, e.book, e.page_index, 'title' AS field, b.title AS body, instr(lower(b.title), '{q}') AS pos, b.title FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY id) AS rn FROM v_entries WHERE status <> 'revoked') e JOIN v_books b ON e.book = b.uuid
+ WHERE rn = 1 AND contains(lower(b.title), '{q}') AND e.book NOT IN (SELECT book FROM one))
+SELECT id, title, page_index, field, {cut} AS snippet FROM (SELECT id, book, page_index, field, body, pos, title FROM one UNION ALL SELECT * FROM titled) ORDER BY title, book, id LIMIT {limit}"""
 
 
-@query(
-    "search_entries",
-    "v_entries",
-    "v_books",
-    sql="""WITH f AS (SELECT id, book, page_index, 1 AS ord, 'quote' AS field, quote AS body FROM v_entries WHERE status <> 'revoked' UNION ALL SELECT id, book, page_index, 2, 'text', text FROM v_entries WHERE status <> 'revoked'
- UNION ALL SELECT id, book, page_index, 3, 'draft', CASE WHEN text IS NULL THEN draft0 END FROM v_entries WHERE status <> 'revoked'),
-h AS (SELECT *, instr(lower(body), 'tion') AS pos FROM f WHERE body IS NOT NULL AND contains(lower(body), 'tion')),
-one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS rn FROM h) WHERE rn = 1)
-SELECT o.id, b.title, o.page_index, o.field, concat(CASE WHEN pos > 31 THEN '…' ELSE '' END, replace(substring(body, greatest(pos - 30, 1), least(pos + 33, length(body)) - greatest(pos - 30, 1) + 1), chr(10), ' '), CASE WHEN pos + 33 < length(body) THEN '…' ELSE '' END) AS snippet
- FROM one o JOIN v_books b ON o.book = b.uuid ORDER BY b.title, o.book, o.id LIMIT 50""",
-)
-def search_entries(entries: DataFrame, books: DataFrame, q: str = "tion", limit: int = 50) -> DataFrame:
-    """The first field of each entry that holds ``q`` in any case, with what stands around it; a book's title hit on its
-    first entry only if the book has no other. In the order of titles, ``limit`` at most."""
+def found_entries(entries: DataFrame, books: DataFrame, q: str, limit: int = 50) -> DataFrame:
+    """The first field of each entry that holds ``q`` in any case (quote, text, newest draft of an entry without text, question,
+    answer), with what stands around it; a book's title hit on its first entry only if the book has no other. In the order of
+    titles, ``limit`` at most (a feature). A blank ``q`` finds nothing."""
     q = q.strip().lower()
-    live = entries.where("status <> 'revoked'").select("id", "book", "page_index", "quote", "text", F.when(F.col("text").isNull(), F.col("draft0")).alias("draft"))
+    live = entries.where("status <> 'revoked'").select("id", "book", "page_index", "quote", "text", F.when(F.col("text").isNull(), F.col("draft0")).alias("draft"), "question", "answer")
     at = {f: F.locate(q, F.lower(F.col(f))) for f in FIELDS}
     hit = F.coalesce(*[F.when(at[f] > 0, F.struct(F.lit(f).alias("field"), T.snippet(F.col(f), at[f], F.lit(len(q))).alias("snippet"))) for f in FIELDS])
-    found = live.withColumn("hit", hit)
+    found = live.withColumn("hit", hit if q else F.lit(None).cast("struct<field:string,snippet:string>"))
     titled = found.join(books.select(F.col("uuid").alias("book"), "title"), "book")
     by_text = titled.where("hit IS NOT NULL").select("id", "book", "title", "page_index", "hit.field", "hit.snippet")
-    in_title = F.locate(q, F.lower(F.col("title")))
+    in_title = F.locate(q, F.lower(F.col("title"))) if q else F.lit(0)
     matching = books.where(in_title > 0).select(F.col("uuid").alias("book"), "title")
     first = live.groupBy("book").agg(F.min(F.struct("id", "page_index")).alias("first")).join(matching, "book").join(by_text.select("book"), "book", "left_anti")
     by_title = first.select("first.id", "book", "title", "first.page_index", F.lit("title").alias("field"), T.snippet(F.col("title"), in_title, F.lit(len(q))).alias("snippet"))
     return by_text.unionByName(by_title).orderBy("title", "book", "id").limit(limit).drop("book")
 
 
+@query("search_entries", "v_entries", "v_books", sql=_search_sql("tion"))
+def search_entries(entries: DataFrame, books: DataFrame) -> DataFrame:
+    return found_entries(entries, books, " Tion ")
+
+
+@query("search_titles", "v_entries", "v_books", sql=_search_sql("src1"))
+def search_titles(entries: DataFrame, books: DataFrame) -> DataFrame:
+    """A search that only titles answer."""
+    return found_entries(entries, books, "SRC1")
+
+
 @query(
     "search_snippet",
     "documents",

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import entries as E
 from ..plans.registry import query
@@ -63,28 +67,47 @@ def usage_key(calls: DataFrame, presets: DataFrame) -> DataFrame:
 @query(
     "lockout_window",
     "v_auth_failures",
-    sql="SELECT ip, ts, n, n >= 5 AS locked FROM (SELECT ip, ts, CAST(count(*) OVER (PARTITION BY ip ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM v_auth_failures)",
+    sql="""WITH RECURSIVE f AS (SELECT ip, ts, epoch_us(CAST(ts AS TIMESTAMP)) AS us, row_number() OVER (PARTITION BY ip ORDER BY ts) AS n FROM v_auth_failures),
+r AS (SELECT ip, CAST(0 AS BIGINT) AS n, []::BIGINT[] AS recent, CAST(NULL AS TIMESTAMP) AS ts, false AS locked, false AS locks FROM (SELECT DISTINCT ip FROM f)
+ UNION ALL SELECT ip, n, CASE WHEN len(kept) >= 5 THEN kept ELSE list_append(kept, us) END, ts, len(kept) >= 5, len(kept) = 4 FROM (SELECT f.ip, f.n, f.us, CAST(f.ts AS TIMESTAMP) AS ts, list_filter(r.recent, lambda x: f.us - x < 86400000000) AS kept FROM r JOIN f ON f.ip = r.ip AND f.n = r.n + 1))
+SELECT ip, ts, locked, locks FROM r WHERE n > 0""",
 )
 def lockout_window(failures: DataFrame, seconds: int = 86400, limit: int = 5) -> DataFrame:
-    """Failures of the source in the time before each one, and whether they are enough to lock it."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    n = F.count(F.lit(1)).over(W.partitionBy("ip").orderBy("micros").rangeBetween(-seconds * 1_000_000, 0))
-    return failures.withColumn("micros", micros).withColumn("n", n).select("ip", "ts", "n", (F.col("n") >= limit).alias("locked"))
+    """Each failure, whether its source was locked then, and whether it locks it."""
+    return lockouts(failures.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))), seconds * 1_000_000, limit).select("ip", "ts", "locked", "locks")
 
 
-def lockout_fold(failures: DataFrame, seconds: int = 60, limit: int = 5) -> DataFrame:
-    """Per source the times (``at``, seconds) at which it was locked. It stays locked until its failures are older than the
-    window, and a failure meanwhile is ignored, so what counts depends on what was before: a fold over the sorted times."""
-    zero = F.expr("struct(CAST(array() AS array<bigint>) AS recent, CAST(array() AS array<bigint>) AS locks)")
+def lockouts(failures: DataFrame, window: int, limit: int) -> DataFrame:
+    """Failures (ip, at, ...) with ``locked`` and ``locks``. A source is locked by ``limit`` failures within the window until the
+    first of them is older than that; failures meanwhile aren't counted, so what counts depends on what was before.
+
+    The rule is sequential within a source. Its failures are read in order, a batch at a time, and no more than ``limit`` of
+    them are held, however many a source has.
+    """
 
-    def step(state, t):
-        recent = F.filter(state["recent"], lambda x: x > t - seconds)
-        full = F.size(recent) >= limit
-        locks = F.when(~full & (F.size(recent) + 1 >= limit), F.concat(state["locks"], F.array(t))).otherwise(state["locks"])
-        return F.struct(F.when(full, recent).otherwise(F.concat(recent, F.array(t))).alias("recent"), locks.alias("locks"))
+    def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, recent = None, deque()
+        for batch in it:
+            locked, locks = [], []
+            for ip, at in zip(batch["ip"], batch["at"]):
+                if ip != source:
+                    source, recent = ip, deque()
+                while recent and at - recent[0] >= window:
+                    recent.popleft()
+                locked.append(len(recent) >= limit)
+                if not locked[-1]:
+                    recent.append(at)
+                locks.append(not locked[-1] and len(recent) >= limit)
+            yield batch.assign(locked=locked, locks=locks)
 
-    times = F.array_sort(F.collect_list(F.col("at").cast("long")))
-    return failures.withColumn("ip", E.canonical_ip(F.col("ip").cast("string"))).groupBy("ip").agg(F.aggregate(times, zero, step)["locks"].alias("locks"))
+    schema = T.StructType([*failures.schema.fields, T.StructField("locked", T.BooleanType()), T.StructField("locks", T.BooleanType())])
+    return failures.repartition("ip").sortWithinPartitions("ip", "at").mapInPandas(scan, schema)
+
+
+def lockout_fold(failures: DataFrame, seconds: int = 60, limit: int = 5) -> DataFrame:
+    """Per source the times (``at``, seconds) at which it was locked; a mapped IPv6 address is its IPv4 address."""
+    found = lockouts(failures.select(E.canonical_ip(F.col("ip").cast("string")).alias("ip"), F.col("at").cast("long")), seconds, limit)
+    return found.groupBy("ip").agg(F.array_sort(F.collect_list(F.when(F.col("locks"), F.col("at")))).alias("locks"))
 
 
 @query("canonical_ip", "v_auth_failures", sql="SELECT ip, ts, concat('10.0.0.', CAST(ip AS VARCHAR)) AS address FROM v_auth_failures")
@@ -111,10 +134,8 @@ def bursts(events: DataFrame, quiet: str) -> DataFrame:
     return events.groupBy("user_id", session).agg(F.count(F.lit(1)).alias("changes"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("names"))
 
 
-@query("exhausted_anti", "v_entries", sql="SELECT id, book FROM v_entries WHERE status IN ('pending','draft') AND NOT (id % 4 = 0 AND updated % 7200 = 0)")
-def exhausted_anti(entries: DataFrame) -> DataFrame:
-    """Work without what was tried three times for the same content; in the view, every fourth entry was, and its content
-    is the same if its time is a whole number of two hours."""
+@query("exhausted_anti", "v_entries", "v_tried", sql="SELECT id, book FROM v_entries e WHERE status IN ('pending','draft') AND NOT EXISTS (SELECT 1 FROM v_tried t WHERE t.attempts >= 3 AND t.book = e.book AND t.id = e.id AND t.updated = e.updated)")
+def exhausted_anti(entries: DataFrame, tried: DataFrame, most: int = 3) -> DataFrame:
+    """Work without what was tried ``most`` times for the same content."""
     todo = entries.where(F.col("status").isin("pending", "draft"))
-    tried = entries.where("id % 4 = 0 AND updated % 7200 = 0").select("book", "id", "updated", F.lit(3).alias("attempts"))
-    return todo.join(tried.where("attempts >= 3"), ["book", "id", "updated"], "left_anti").select("id", "book")
+    return todo.join(tried.where(F.col("attempts") >= most), ["book", "id", "updated"], "left_anti").select("id", "book")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import entries as E, text as T
 from ..plans.registry import query
 from . import mining
+from .texts import fnv_sql
 
 MAX_DRAFTS = 10
 STATE = "struct<status:string,text:string,style:string,drafts:array<struct<text:string,at:bigint>>,answer:string,question:string,destination:string,has_ink:boolean,quote:string,streak:int,due:bigint,updated:bigint,rejected:int>"
@@ -202,13 +205,34 @@ def new_ids(claims: DataFrame, seeds: DataFrame) -> DataFrame:
     return added.withColumn("n", n).select("book", "page", "pos", T.fnv64(F.concat_ws("/", F.col("book").cast("string"), F.col("page").cast("string"), seed)).alias("id"))
 
 
+@query(
+    "entry_id",
+    "v_entries",
+    sql=f"""SELECT book, page, pos, {fnv_sql("concat_ws('/', book, CAST(page AS VARCHAR), CASE WHEN n > 0 THEN concat(seed, '#', CAST(n AS VARCHAR)) ELSE seed END)")} AS id FROM (SELECT *, row_number() OVER (PARTITION BY book, page, seed ORDER BY pos) - 1 AS n FROM (SELECT book, page_index % 5 AS page, id AS pos, CAST(id % 3 AS VARCHAR) AS seed FROM v_entries))""",
+)
+def entry_ids(entries: DataFrame) -> DataFrame:
+    """Every entry of the view as a new draft; many have a seed in common with others of their page."""
+    drafts = entries.select("book", (F.col("page_index") % 5).alias("page"), F.col("id").alias("pos"), (F.col("id") % 3).cast("string").alias("seed"))
+    return new_ids(drafts.drop("seed").withColumn("outcome", F.lit("added")), drafts)
+
+
 def inked_drafts(strokes: DataFrame) -> DataFrame:
     """(page, cluster, ink_hash, strokes) of each cluster."""
     marked = mining.labelled(strokes)
     return marked.groupBy("page", "cluster").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("stroke_no")), lambda x: x.cast("string")), ";"), 256).alias("ink_hash"), F.collect_list(F.col("stroke_no").cast("string")).alias("strokes"))
 
 
-@query("merge_claim", "v_strokes")
+#: The clusters of all strokes, and again those of an earlier scan without every fifth stroke. Each of these lies in one of those,
+#: so a draft's claim is a choice among its own parts: not revoked before revoked, the same strokes before fewer, then the order.
+_EARLIER = re.sub(r"\b(ink|edges|both_ways|reach|label|clusters)\b", r"\1_", mining.REACH_SQL.split("WITH RECURSIVE ", 1)[1]).replace("FROM v_strokes WHERE", "FROM v_strokes WHERE stroke_no % 5 <> 0 AND")
+_CLAIM_SQL = f"""{mining.REACH_SQL}, {_EARLIER},
+parts AS (SELECT DISTINCT i.page, l.cluster AS draft, e.cluster AS stored FROM ink i JOIN label l USING (stroke_no) JOIN label_ e USING (stroke_no)),
+ranked AS (SELECT p.*, s.strokes = d.strokes AS same, stored % 4 AS state, row_number() OVER (PARTITION BY draft ORDER BY stored % 4 = 3, s.strokes <> d.strokes, stored) AS n FROM parts p JOIN clusters d ON p.draft = d.cluster JOIN clusters_ s ON p.stored = s.cluster),
+claims AS (SELECT c.page, c.cluster AS pos, CAST(r.stored AS VARCHAR) AS id, CASE WHEN r.stored IS NULL THEN 'added' WHEN state = 3 THEN 'revived' WHEN same THEN 'unchanged' ELSE 'changed' END AS outcome FROM clusters c LEFT JOIN ranked r ON c.cluster = r.draft AND r.n = 1
+ UNION ALL SELECT page, NULL, CAST(stored AS VARCHAR), 'revoked' FROM ranked WHERE n > 1 AND state IN (0, 1))"""
+
+
+@query("merge_claim", "v_strokes", sql=f"{_CLAIM_SQL} SELECT 'b' AS book, page, pos, id, outcome FROM claims")
 def merge_scan(strokes: DataFrame) -> DataFrame:
     """A scan of all strokes merged into entries from an earlier one that lacked every fifth."""
     book, none = F.lit("b").alias("book"), F.lit(None).cast("string").alias("quote_id")
@@ -218,6 +242,22 @@ def merge_scan(strokes: DataFrame) -> DataFrame:
     return merge_claim(drafts, stored)
 
 
+OUTCOMES = ("added", "changed", "unchanged", "revoked", "revived")
+
+
+def merge_counts(claims: DataFrame) -> DataFrame:
+    """How many drafts and entries of each page came to each outcome."""
+    return claims.groupBy("book", "page").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES))
+
+
+_COUNT_SQL = ", ".join(f"CAST(count(*) FILTER (outcome = '{o}') AS BIGINT) AS {o}" for o in OUTCOMES)
+
+
+@query("merge_stats", "v_strokes", sql=f"{_CLAIM_SQL} SELECT 'b' AS book, page, {_COUNT_SQL} FROM claims GROUP BY page")
+def merge_stats(strokes: DataFrame) -> DataFrame:
+    return merge_counts(merge_scan(strokes))
+
+
 TERMINAL_SQL = "status IN ('skipped','revoked','archived')"
 
 

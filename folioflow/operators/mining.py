@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import entries as E, text as T
 from ..plans.registry import query
+from ..store import cut
 from .graph import components_within
 
 CLUSTER_GAP, PAIR_GAP, CELL = 40.0, 160.0, 128.0
@@ -50,6 +51,8 @@ def page_boxes(strokes: DataFrame) -> DataFrame:
 
 @query("bbox_gap", "v_highlights", sql=f"SELECT a.hl_no AS a, b.hl_no AS b, {GAP_SQL} AS gap FROM v_highlights a JOIN v_highlights b ON a.page = b.page AND a.hl_no < b.hl_no")
 def highlight_gaps(highlights: DataFrame) -> DataFrame:
+    """The distance of every pair of highlights of a page: the pairs are what is asked for here; what only needs near ones
+    (clusters, the nearest highlight) goes by the grid."""
     box = ("hl_no", "x0", "y0", "x1", "y1")
     a, b = (highlights.select("page", *[F.col(c).alias(p + c) for c in box]) for p in ("a_", "b_"))
     return a.join(b, "page").where("a_hl_no < b_hl_no").select(F.col("a_hl_no").alias("a"), F.col("b_hl_no").alias("b"), E.box_gap("a_", "b_").alias("gap"))
@@ -75,9 +78,11 @@ def stroke_edges(strokes: DataFrame) -> DataFrame:
 
 
 def labelled(strokes: DataFrame) -> DataFrame:
-    """Handwriting with its cluster: the least stroke that it is linked with."""
-    label = components_within(edges(strokes), "page").toDF("stroke_no", "label")
-    return strokes.where(E.handwriting(F.col("tool"))).join(label, "stroke_no", "left").withColumn("cluster", F.coalesce("label", "stroke_no")).drop("label")
+    """Handwriting with its cluster: the least stroke that it is linked with. The strokes are written once and read three times:
+    as both sides of their edges, and to meet their labels."""
+    inked = cut(strokes.where(E.handwriting(F.col("tool"))), "ink")
+    label = components_within(edges(inked), "page").toDF("stroke_no", "label")
+    return inked.join(label, "stroke_no", "left").withColumn("cluster", F.coalesce("label", "stroke_no")).drop("label")
 
 
 def clusters(strokes: DataFrame) -> DataFrame:
@@ -89,17 +94,23 @@ def ink_clusters(strokes: DataFrame) -> DataFrame:
     return clusters(strokes)
 
 
-def nearest_highlight(found: DataFrame, highlights: DataFrame, gap: float = PAIR_GAP) -> DataFrame:
-    """(page, cluster, hl_no) with the nearest highlight within ``gap`` or null; of equally near ones the first."""
-    c = found.select("page", "cluster", *[F.col(x).alias("a_" + x) for x in ("x0", "y0", "x1", "y1")])
-    h = highlights.select("page", "hl_no", *[F.col(x).alias("b_" + x) for x in ("x0", "y0", "x1", "y1")])
-    best = c.join(h, "page").withColumn("gap", E.box_gap("a_", "b_")).where(F.col("gap") <= gap).groupBy("page", "cluster").agg(F.min(F.struct("gap", "hl_no")).alias("best"))
-    return found.select("page", "cluster").join(best, ["page", "cluster"], "left").select("page", "cluster", "best.hl_no")
+def nearest_highlight(found: DataFrame, highlights: DataFrame, gap: float = PAIR_GAP, cell: float = CELL) -> DataFrame:
+    """``found`` with the nearest highlight (``hl_no``) within ``gap`` or null; of equally near ones the first.
+
+    Boxes grown by half the gap meet in the cells of a grid. Clusters keep their rows in a left join, so they are computed once.
+    """
+    box = ("x0", "y0", "x1", "y1")
+    cells = lambda low, high: F.explode(F.sequence(F.floor((F.col(low) - gap / 2) / cell), F.floor((F.col(high) + gap / 2) / cell)))
+    grown = lambda rows, own, side: rows.select("page", *own, *[F.col(x).alias(side + x) for x in box]).withColumn("cx", cells(side + "x0", side + "x1")).withColumn("cy", cells(side + "y0", side + "y1"))
+    kept = [c for c in found.columns if c not in ("page", "cluster", *box)]
+    near = grown(found, ["cluster", *kept], "a_").join(grown(highlights, ["hl_no"], "b_"), ["page", "cx", "cy"], "left").withColumn("gap", E.box_gap("a_", "b_"))
+    first = [F.first(f"a_{c}").alias(c) for c in box] + [F.first(c).alias(c) for c in kept]
+    return near.groupBy("page", "cluster").agg(*first, F.min(F.when(F.col("hl_no").isNotNull() & (F.col("gap") <= gap), F.struct("gap", "hl_no")))["hl_no"].alias("hl_no"))
 
 
 @query("pair_nearest", "v_strokes", "v_highlights", sql=f"{PAIRED_SQL} SELECT c.page, c.cluster, p.hl_no FROM clusters c LEFT JOIN pairs p ON c.page = p.page AND c.cluster = p.cluster")
 def pair_nearest(strokes: DataFrame, highlights: DataFrame) -> DataFrame:
-    return nearest_highlight(clusters(strokes), highlights)
+    return nearest_highlight(clusters(strokes), highlights).select("page", "cluster", "hl_no")
 
 
 @query("unpaired_highlights", "v_strokes", "v_highlights", sql=f"{PAIRED_SQL} SELECT page, hl_no, text FROM v_highlights h WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.page = h.page AND p.hl_no = h.hl_no)")
@@ -133,6 +144,5 @@ def fingerprints(inked: DataFrame) -> DataFrame:
 @query("page_drafts", "v_strokes", "v_highlights", sql=f"{PAIRED_SQL} SELECT c.page, CAST(count(*) AS BIGINT) AS clusters, CAST(count(p.hl_no) AS BIGINT) AS paired, CAST(sum(strokes) AS BIGINT) AS strokes FROM clusters c LEFT JOIN pairs p ON c.page = p.page AND c.cluster = p.cluster GROUP BY c.page")
 def page_drafts(strokes: DataFrame, highlights: DataFrame) -> DataFrame:
     """What each page gives: clusters, how many found a highlight, and their strokes."""
-    found = clusters(strokes)
-    paired = nearest_highlight(found, highlights)
-    return found.join(paired, ["page", "cluster"]).groupBy("page").agg(F.count(F.lit(1)).alias("clusters"), F.count("hl_no").alias("paired"), F.sum("strokes").alias("strokes"))
+    paired = nearest_highlight(clusters(strokes), highlights)
+    return paired.groupBy("page").agg(F.count(F.lit(1)).alias("clusters"), F.count("hl_no").alias("paired"), F.sum("strokes").alias("strokes"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import entries as E, text as T
 from ..plans.registry import query
 
+#: What stands for a text that isn't there yet; headings and marks of the outputs below are fixed as well.
 PLACEHOLDER = "（待转写）"
 
 
@@ -23,16 +24,22 @@ def in_page_order(*columns: str | Column) -> Column:
 
 
 def fingerprints(entries: DataFrame, target: str) -> DataFrame:
-    """(book, chapter, fingerprint): SHA-256 over the chapter's title and all that is shown of its entries, in order."""
-    line = F.concat_ws("|", F.col("id").cast("string"), F.coalesce("shown", F.lit("")), F.coalesce("quote", F.lit("")))
-    listed = targeted(entries, target).withColumn("line", line).groupBy("book", "chapter").agg(in_page_order("line").alias("lines"))
+    """(book, chapter, fingerprint): a digest of the chapter's title and of all that is shown of its entries: id, place, style,
+    section, text, quote and answer. Entries are digested one by one and their digests are summed, so that a chapter is
+    never gathered; as each has its id and place, the sum tells their order, too."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    line = F.concat_ws("|", F.col("page_index").cast("string"), F.col("id").cast("string"), F.initcap("style"), empty(T.trim_all(F.col("subhead"))), empty(F.col("shown")), empty(F.col("quote")), empty(F.col("answer")))
+    part = lambda at: F.sum(F.conv(F.substring("digest", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    found = targeted(entries, target).select("book", "chapter", F.sha2(line, 256).alias("digest")).groupBy("book", "chapter").agg(F.count(F.lit(1)).cast("string").alias("n"), part(1).alias("a"), part(16).alias("b"))
     title = F.concat(F.lit("Chapter "), F.col("chapter").cast("string"))
-    return listed.select("book", "chapter", F.sha2(F.concat(title, F.lit("\u0002"), F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.lit("\u0001"))), "")), 256).alias("fingerprint"))
+    return found.select("book", "chapter", F.sha2(F.concat_ws("\u0002", title, "n", "a", "b"), 256).alias("fingerprint"))
 
 
 def _fp_sql(target: str) -> str:
-    return f"""(SELECT book, chapter, sha256(concat('Chapter ', CAST(chapter AS VARCHAR), chr(2), string_agg(concat_ws('|', CAST(id AS VARCHAR), coalesce(text, draft0, ''), coalesce(quote, '')) || chr(1), '' ORDER BY page_index, id))) AS fingerprint
- FROM v_entries WHERE chapter IS NOT NULL AND status IN ('pending','draft','reviewed') AND destination IN ('{target}','both') GROUP BY book, chapter)"""
+    part = "CAST(sum(CAST('0x' || substring(digest, {at}, 15) AS HUGEINT)) AS VARCHAR)"
+    return f"""(SELECT book, chapter, sha256(concat_ws(chr(2), 'Chapter ' || CAST(chapter AS VARCHAR), CAST(count(*) AS VARCHAR), {part.format(at=1)}, {part.format(at=16)})) AS fingerprint FROM
+ (SELECT book, chapter, sha256(concat_ws('|', CAST(page_index AS VARCHAR), CAST(id AS VARCHAR), upper(style[1]) || style[2:], coalesce(trim(subhead), ''), coalesce(text, draft0, ''), coalesce(quote, ''), coalesce(answer, ''))) AS digest
+ FROM v_entries WHERE chapter IS NOT NULL AND status IN ('pending','draft','reviewed') AND destination IN ('{target}','both')) GROUP BY book, chapter)"""
 
 
 @query("chapter_fingerprint", "v_entries", sql=f"SELECT * FROM {_fp_sql('notebook')}")
@@ -122,24 +129,17 @@ def subheads(entries: DataFrame) -> DataFrame:
     return entries.withColumn("_name", name).withColumn("new_subhead", F.when(F.col("_name").isNotNull() & ~F.col("_name").eqNullSafe(before), F.col("_name"))).drop("_name")
 
 
-_SUBHEAD = "CASE WHEN id % 4 <> 0 THEN concat('Part ', CAST(page_index // 60 AS VARCHAR)) END"
-
-
 @query(
     "subhead_breaks",
     "v_entries",
     sql=f"""SELECT id, book, chapter, CASE WHEN s IS NOT NULL AND s IS DISTINCT FROM prev THEN s END AS new_subhead FROM (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY book, chapter ORDER BY page_index, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
- FROM (SELECT *, {_SUBHEAD} AS s FROM v_entries WHERE chapter IS NOT NULL))""",
+ FROM (SELECT *, subhead AS s FROM v_entries WHERE chapter IS NOT NULL))""",
 )
 def subhead_breaks(entries: DataFrame) -> DataFrame:
-    return subheads(with_parts(entries).where("chapter IS NOT NULL")).select("id", "book", "chapter", "new_subhead")
-
+    return subheads(entries.where("chapter IS NOT NULL")).select("id", "book", "chapter", "new_subhead")
 
-def with_parts(entries: DataFrame) -> DataFrame:
-    return entries.withColumn("subhead", F.when(F.col("id") % 4 != 0, F.concat(F.lit("Part "), F.floor(F.col("page_index") / 60).cast("string"))))
 
-
-_TARGETED = f"(SELECT *, {_SUBHEAD} AS s, coalesce(text, draft0) AS shown FROM v_entries WHERE chapter IS NOT NULL AND status IN ('pending','draft','reviewed') AND destination IN ('{{target}}','both'))"
+_TARGETED = f"(SELECT *, subhead AS s, coalesce(text, draft0) AS shown FROM v_entries WHERE chapter IS NOT NULL AND status IN ('pending','draft','reviewed') AND destination IN ('{{target}}','both'))"
 _BROKEN = "(SELECT *, CASE WHEN s IS NOT NULL AND s IS DISTINCT FROM prev THEN s END AS new_subhead FROM (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY book, chapter ORDER BY page_index, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM {of}))"
 
 
@@ -152,7 +152,7 @@ _BROKEN = "(SELECT *, CASE WHEN s IS NOT NULL AND s IS DISTINCT FROM prev THEN s
 SELECT book, chapter, CAST(row_number() OVER (PARTITION BY book, chapter ORDER BY page_index, id, rank) AS BIGINT) AS seq, style, text FROM rows_""",
 )
 def project_chapter(entries: DataFrame) -> DataFrame:
-    return paragraphs(with_parts(entries))
+    return paragraphs(entries)
 
 
 def paragraphs(entries: DataFrame) -> DataFrame:
@@ -183,23 +183,34 @@ SELECT m.book, m.chapter, concat('---', chr(10), 'book: "', replace(replace(b.ti
  'chapter: "Chapter ', CAST(chapter AS VARCHAR), '"', chr(10), 'pages: "', CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE concat(CAST(lo AS VARCHAR), '–', CAST(hi AS VARCHAR)) END, '"', chr(10), 'status: ', CASE WHEN done THEN 'reviewed' ELSE 'draft' END, chr(10), 'tags: [reading-notes]', chr(10), '---', chr(10), chr(10), '[[', b.title, ']]', chr(10), chr(10), body) AS md FROM m JOIN v_books b ON m.book = b.uuid""",
 )
 def export_chapter_md(entries: DataFrame, books: DataFrame) -> DataFrame:
-    """A Markdown text for each chapter with something to export: front matter, link to the book, entries with anchors."""
+    """A Markdown text for each chapter with something to export. A text is as large as the file that it becomes; ``chapter_files``
+    has the same in pieces, for the sink."""
+    pieces = chapter_files(entries, books).groupBy("book", "chapter").agg(in_page_order("piece").alias("pieces"))
+    return pieces.select("book", "chapter", F.array_join(F.transform("pieces", lambda x: F.concat(x["piece"], F.lit("\n"))), "").alias("md"))
+
+
+def chapter_files(entries: DataFrame, books: DataFrame) -> DataFrame:
+    """(book, title, chapter, file, page_index, id, piece) of the chapters' files: front matter and link to the book (at -1),
+    then entries with anchors, in the order of page and id; pieces are joined by line ends."""
     nl = F.lit("\n")
-    live = subheads(targeted(with_parts(entries), "obsidian"))
+    live = subheads(targeted(entries, "obsidian"))
     piece = F.concat(
         F.when(F.col("new_subhead").isNotNull(), F.concat(F.lit("## "), F.col("new_subhead"), F.lit("\n\n"))).otherwise(""),
         F.coalesce("shown", F.lit(PLACEHOLDER)), F.lit(" ^"), F.col("id").cast("string"), nl,
-        F.when(T.trim_all(F.col("quote")) != "", F.concat(F.lit("> 「"), F.col("quote"), F.lit("」\n"))).otherwise(""), nl,
+        F.when(T.trim_all(F.col("quote")) != "", F.concat(F.lit("> 「"), F.col("quote"), F.lit("」\n"))).otherwise(""),
     )
-    chapters = live.withColumn("piece", piece).groupBy("book", "chapter").agg(in_page_order("piece").alias("pieces"))
-    whole = chapters.join(chapter_header(entries), ["book", "chapter"]).join(books.withColumnRenamed("uuid", "book"), "book")
-    md = F.concat(
+    own = books.withColumnRenamed("uuid", "book")
+    named = F.concat(F.lit("Chapter "), F.col("chapter").cast("string"))
+    front = F.concat(
         F.lit("---\nbook: "), T.yaml_quote(F.col("title")), nl,
         F.when(F.col("author") != "", F.concat(F.lit("author: "), T.yaml_quote(F.col("author")), nl)).otherwise(""),
-        F.lit("chapter: "), T.yaml_quote(F.concat(F.lit("Chapter "), F.col("chapter").cast("string"))), F.lit("\npages: "), T.yaml_quote(F.col("pages")),
-        F.lit("\nstatus: "), F.col("status"), F.lit("\ntags: [reading-notes]\n---\n\n[["), F.col("title"), F.lit("]]\n\n"), F.array_join(F.transform("pieces", lambda x: x["piece"]), ""),
+        F.lit("chapter: "), T.yaml_quote(named), F.lit("\npages: "), T.yaml_quote(F.col("pages")),
+        F.lit("\nstatus: "), F.col("status"), F.lit("\ntags: [reading-notes]\n---\n\n[["), F.col("title"), F.lit("]]\n"),
     )
-    return whole.select("book", "chapter", md.alias("md"))
+    before = F.lit(-1).cast("long")
+    heads = chapter_header(entries).join(own, "book").select("book", "title", "chapter", before.alias("page_index"), before.alias("id"), front.alias("piece"))
+    body = live.join(own.select("book", "title"), "book").select("book", "title", "chapter", "page_index", "id", piece.alias("piece"))
+    return heads.unionByName(body).withColumn("file", T.safe_filename(T.chapter_stem(F.col("chapter"), named)))
 
 
 @query(

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import entries as E, text as T
 from ..plans.registry import query
+from ..store import cut
+from .skew import spread_join
 
 MAX_DEPTH = 64
 
@@ -49,13 +51,14 @@ def doc_folder(library: DataFrame) -> DataFrame:
 def folder_paths(library: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(uuid, path as an array from the root) of the live folders that reach the root; circles and deeper ones are left out.
 
-    One join a level, until a level is empty; each folder is reached once, so a circle is never entered.
+    One join a level, until a level is empty; each folder is reached once, so a circle is never entered. Levels are written,
+    so that a level doesn't plan those before it again.
     """
     folders = live(library).where("kind = 'folder'").select("uuid", "name", "parent")
     level = folders.where("parent = ''").select("uuid", F.array("name").alias("path"))
     found = level
     for _ in range(depth - 1):
-        level = folders.join(level.select(F.col("uuid").alias("parent"), "path"), "parent").select("uuid", F.concat("path", F.array("name")).alias("path"))
+        level = cut(folders.join(level.select(F.col("uuid").alias("parent"), "path"), "parent").select("uuid", F.concat("path", F.array("name")).alias("path")), "level")
         if level.isEmpty():
             break
         found = found.unionByName(level)
@@ -79,9 +82,10 @@ def folder_by_path(library: DataFrame) -> DataFrame:
 
 @query("same_name", "v_library", sql="SELECT uuid, name, CAST(count(*) OVER (PARTITION BY name) AS BIGINT) AS n FROM v_library WHERE kind = 'document' AND parent <> 'trash' AND NOT deleted")
 def same_name(library: DataFrame) -> DataFrame:
-    """How many live documents have the name. Names are counted before the join, so a frequent one gathers nowhere."""
+    """How many live documents have the name. Names are counted first, and a frequent one is dealt out in the join."""
     docs = live(library).where("kind = 'document'").select("uuid", "name")
-    return docs.join(docs.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name").select("uuid", "name", "n")
+    counts = docs.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return spread_join(docs, counts, "name", "uuid", rows=10_000, sizes=counts).select("uuid", "name", "n")
 
 
 @query(
@@ -245,9 +249,9 @@ def interrupted_recovery(shelf: DataFrame, boot: int = 1704070000) -> DataFrame:
     return shelf.select("doc_id", F.when((F.col("deliver_status") == "pending") & before, "failed").otherwise(F.col("deliver_status")).alias("deliver"), F.when(F.col("busy") & before, "timeout").when(F.col("busy"), "pending").otherwise("ok").alias("render"))
 
 
-@query("orphan_sidecars", "v_shelf", "v_book_files", sql="SELECT doc_id FROM v_shelf WHERE doc_id NOT IN (SELECT doc_id FROM v_book_files WHERE doc_id % 5 <> 0)")
+@query("orphan_sidecars", "v_shelf", "v_kept_files", sql="SELECT doc_id FROM v_shelf WHERE doc_id NOT IN (SELECT doc_id FROM v_kept_files)")
 def orphan_sidecars(sidecars: DataFrame, books: DataFrame) -> DataFrame:
-    return sidecars.join(books.where("doc_id % 5 <> 0").select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    return sidecars.join(books.select("doc_id"), "doc_id", "left_anti").select("doc_id")
 
 
 @query("prune_done", "v_library", sql="SELECT uuid, parent, name FROM v_library q WHERE kind = 'document' AND NOT EXISTS (SELECT 1 FROM v_library l WHERE l.kind = 'document' AND l.deleted AND l.parent = q.parent AND l.name = q.name)")

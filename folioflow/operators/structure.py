@@ -20,14 +20,27 @@ def scan_sections(sections: DataFrame) -> DataFrame:
     return sections.withColumn("n", first).where("n = 1").select("book", "file", "start_page")
 
 
-def as_of(pages: DataFrame, marks: DataFrame, value: str) -> DataFrame:
+#: Pages of a book that one sort takes together.
+BUCKET = 64
+
+
+def as_of(pages: DataFrame, marks: DataFrame, value: str, bucket: int = BUCKET) -> DataFrame:
     """Every page with the value of the last mark at or before it: pages (book, page, ...), marks (book, start_page, value).
 
-    Of marks at one place the last by value counts.
+    Of marks at one place the last by value counts. A book is sorted in buckets of pages; each bucket begins with the last
+    mark of those before it, which a window over the buckets (one row for each of a book's) carries on.
     """
-    both = pages.withColumn("_mark", F.lit(None).cast(marks.schema[value].dataType)).withColumn("_kind", F.lit(1)).unionByName(marks.select("book", F.col("start_page").alias("page"), F.col(value).alias("_mark"), F.lit(0).alias("_kind")), allowMissingColumns=True)
-    last = F.last("_mark", ignorenulls=True).over(W.partitionBy("book").orderBy("page", "_kind", "_mark").rowsBetween(W.unboundedPreceding, 0))
-    return both.withColumn(value, last).where("_kind = 1").drop("_mark", "_kind")
+    kind = marks.schema[value].dataType
+    own = lambda page: F.floor(page / bucket).alias("_bucket")
+    at = marks.select("book", own(F.col("start_page")), F.col("start_page").alias("page"), F.col(value).alias("_mark"), F.lit(0).alias("_kind"))
+    placed = pages.select("*", own(F.col("page")), F.lit(None).cast(kind).alias("_mark"), F.lit(1).alias("_kind"))
+    last = at.groupBy("book", "_bucket").agg(F.max(F.struct("page", "_mark"))["_mark"].alias("_mark"))
+    ends = last.unionByName(placed.select("book", "_bucket", "_mark")).groupBy("book", "_bucket").agg(F.max("_mark").alias("_mark"))
+    carried = F.last("_mark", ignorenulls=True).over(W.partitionBy("book").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    before = ends.withColumn("_mark", carried).where("_mark IS NOT NULL").select("book", "_bucket", (F.col("_bucket") * bucket).alias("page"), "_mark", F.lit(-1).alias("_kind"))
+    both = placed.unionByName(at, allowMissingColumns=True).unionByName(before, allowMissingColumns=True)
+    found = F.last("_mark", ignorenulls=True).over(W.partitionBy("book", "_bucket").orderBy("page", "_kind", "_mark").rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn(value, found).where("_kind = 1").drop("_mark", "_kind", "_bucket")
 
 
 @query(
