@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..functions.text import safe_filename
+from ..store import cut, delete, replace
+
 #: Seconds by which a file's time may be earlier than asked for: clocks of file systems are coarse.
 SLACK_S = 5
 
@@ -139,24 +144,55 @@ def read_entries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def changed_books(new: DataFrame, old: DataFrame, quarantined: DataFrame) -> DataFrame:
-    """The books whose entries differ, without the quarantined ones: compared by a digest of all rows, in no order."""
+    """The books whose entries differ, without the quarantined ones: compared by sums of two digests of every row, in no order,
+    so that no book is gathered."""
 
     def digest(entries: DataFrame, name: str) -> DataFrame:
-        return entries.groupBy("book").agg(F.array_sort(F.collect_list(F.xxhash64(*sorted(entries.columns)))).alias(name))
+        columns = sorted(entries.columns)
+        total = lambda c: F.sum(c.cast("decimal(20,0)"))
+        return entries.groupBy("book").agg(F.struct(F.count(F.lit(1)), total(F.xxhash64(*columns)), total(F.xxhash64(F.lit(1), *columns))).alias(name))
 
     both = digest(new, "new").join(digest(old, "old"), "book", "full")
     return both.where(~F.col("new").eqNullSafe(F.col("old"))).select("book").join(quarantined.select("book"), "book", "left_anti")
 
 
 def write_entries(new: DataFrame, old: DataFrame, quarantined: DataFrame, path: str) -> None:
-    """Write the changed books only, one folder each; the others' folders stay as they are."""
-    changed = new.join(changed_books(new, old, quarantined), "book", "left_semi")
-    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book").parquet(path)
-
-
-def sink_vault(chapters: DataFrame, path: str) -> None:
-    """Write (book, md) as text files in a folder for each book."""
-    chapters.select("book", F.col("md").alias("value")).write.mode("append").partitionBy("book").text(path)
+    """Write the changed books only, one folder each; the others' folders stay as they are. The folder of a changed book of
+    which no entry is left goes."""
+    spark = new.sparkSession
+    books = cut(changed_books(new, old, quarantined), "changed")
+    emptied = books.join(new.select("book"), "book", "left_anti")
+    gone = []
+    if not emptied.isEmpty():
+        stored = spark.read.parquet(path)
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+        gone = stored.select(F.col("book").cast("string").alias("book"), folder.alias("folder")).distinct().join(emptied.select(F.col("book").cast("string").alias("book")), "book", "left_semi").collect()
+    new.join(books, "book", "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book").parquet(path)
+    for r in gone:
+        delete(spark, r.folder, address=True)
+
+
+def sink_vault(pieces: DataFrame, prints: DataFrame, recorded: DataFrame, path: str) -> DataFrame:
+    """Write the chapters' Markdown files, ``<path>/<book's title>/<file>.md``, and return the new records (book, chapter, recorded).
+
+    pieces: book, title, chapter, file, page_index, id, piece, as ``publishing.chapter_files`` gives them; prints: book, chapter,
+    fingerprint; recorded: book, chapter, recorded, from the last time. A chapter whose fingerprint is on record isn't written.
+    Each file is written aside by one task, which reads its pieces in order, and then moved to its place in one step.
+    """
+    spark = pieces.sparkSession
+    changed = prints.join(recorded.select("book", "chapter", F.col("recorded").alias("fingerprint")), ["book", "chapter", "fingerprint"], "left_anti")
+    changed = cut(changed, "changed")
+    todo = pieces.join(changed.select("book", "chapter"), ["book", "chapter"], "left_semi")
+    own = todo.select(safe_filename(F.col("title")).alias("folder"), "file", "page_index", "id", F.col("piece").alias("value"))
+    aside = f"{path.rstrip('/')}/_aside-{uuid.uuid4().hex}"
+    own.repartition("folder", "file").sortWithinPartitions("folder", "file", "page_index", "id").select("folder", "file", "value").write.option("maxRecordsPerFile", 0).partitionBy("folder", "file").text(aside)
+    if not changed.isEmpty():
+        written = spark.read.text(aside).select(F.col("folder").cast("string").alias("folder"), F.col("file").cast("string").alias("file"), F.col("_metadata.file_path").alias("source")).distinct()
+        for r in written.toLocalIterator():
+            replace(spark, r.source, f"{path.rstrip('/')}/{r.folder}/{r.file}.md")
+    delete(spark, aside)
+    kept = recorded.select("book", "chapter", "recorded").join(changed.select("book", "chapter"), ["book", "chapter"], "left_anti")
+    return kept.unionByName(changed.select("book", "chapter", F.col("fingerprint").alias("recorded")))
 
 
 def extract_opf(files: DataFrame, key: str = "uuid", text: str = "text") -> DataFrame:
@@ -173,3 +209,8 @@ def extract_opf(files: DataFrame, key: str = "uuid", text: str = "text") -> Data
         manifest.alias("manifest"),
         at("//spine/itemref/@idref").alias("spine"),
     )
+
+
+def book_direction(files: DataFrame, key: str = "uuid", text: str = "text") -> DataFrame:
+    """(key, rtl) of package documents: whether the spine runs from right to left; not where it doesn't say so."""
+    return extract_opf(files, key, text).select(key, "rtl")

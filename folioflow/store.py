@@ -23,10 +23,31 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def files(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str, address: bool = False) -> None:
+    """Delete a file or folder, given by its path or by its address."""
+    fs, where = files(spark, path)
+    fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(path)) if address else where, True)
+
+
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Move a file (its address, as Spark's ``_metadata.file_path`` has it) over another or to where none is, in one step."""
+    fs, to = files(spark, target)
+    fs.mkdirs(to.getParent())
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(source)), to, options)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    delete(spark, path)
     _left.pop(path, None)
 
 

@@ -4,15 +4,16 @@ stream can be replayed and gives what its batch form gives. Rows later than the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import datetime
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ledger import bursts
 from ..operators.shelf import tag_events
+from ..store import cut
 
 
 def debounce(changes: DataFrame, quiet: str = "4 seconds", late: str = "10 seconds") -> DataFrame:
@@ -88,10 +89,50 @@ class Lockout(StatefulProcessor):
         pass
 
 
-def lockout_stream(attempts: DataFrame, limit: int = 5, seconds: int = 60, ttl_ms: int | None = None) -> DataFrame:
+class BoundedLockout(StatefulProcessor):
+    """The same for all sources of a shard, of which it remembers ``cap`` at most. A new source takes the place of one whose
+    failures have all expired, or else of the one that failed least lately, unlocked sources before locked ones: so nobody
+    gets out of a lock by failing from other addresses."""
+
+    def __init__(self, cap: int, limit: int = 5, seconds: int = 60):
+        self.cap, self.limit, self.seconds = cap, limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sources = handle.getValueState("sources", "failures map<string,array<double>>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        recent = {ip: list(v) for ip, v in self.sources.get()[0].items()} if self.sources.exists() else {}
+        locks = []
+        for at, ok, ip in sorted((_seconds(r.at), r.ok, r.ip) for batch in rows for r in batch.itertuples()):
+            if ok:
+                recent.pop(ip, None)
+                continue
+            if ip not in recent and len(recent) >= self.cap:
+                recent = {k: v for k, v in recent.items() if v[-1] > at - self.seconds}
+                if len(recent) >= self.cap:
+                    del recent[min(recent, key=lambda k: (len(recent[k]) >= self.limit, recent[k][-1]))]
+            held = [x for x in recent.get(ip, []) if x > at - self.seconds]
+            if len(held) < self.limit:
+                held.append(at)
+                if len(held) == self.limit:
+                    locks.append((ip, at))
+            recent[ip] = held
+        self.sources.update((recent,))
+        yield pd.DataFrame({"ip": pd.Series([x[0] for x in locks], dtype=object), "locked_at": pd.to_datetime(pd.Series([x[1] for x in locks], dtype="float64"), unit="s")})
+
+    def close(self) -> None:
+        pass
+
+
+def lockout_stream(attempts: DataFrame, limit: int = 5, seconds: int = 60, ttl_ms: int | None = None, cap: int | None = None, shards: int = 64) -> DataFrame:
     """(ip, at, ok) to (ip, locked_at). With ``ttl_ms``, state that nothing touched for that time goes by itself (only in
-    streams that run on: a stream of what is available now has no end then)."""
-    return attempts.groupBy("ip").transformWithStateInPandas(Lockout(limit, seconds, ttl_ms), "ip string, locked_at timestamp", "Append", "ProcessingTime" if ttl_ms else "None")
+    streams that run on: a stream of what is available now has no end then). With ``cap``, each of ``shards`` parts of the
+    sources remembers its share of so many."""
+    locked = "ip string, locked_at timestamp"
+    if cap:
+        own = attempts.withColumn("shard", F.pmod(F.xxhash64("ip"), F.lit(shards)).cast("int"))
+        return own.groupBy("shard").transformWithStateInPandas(BoundedLockout(-(-cap // shards), limit, seconds), locked, "Append", "None")
+    return attempts.groupBy("ip").transformWithStateInPandas(Lockout(limit, seconds, ttl_ms), locked, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 class Retry(StatefulProcessor):
@@ -150,13 +191,49 @@ def auto_review_gate(checks: DataFrame, hours: float = 20) -> DataFrame:
     return checks.groupBy("user").transformWithStateInPandas(Gate(hours), "user string, fired_at timestamp", "Append", "None")
 
 
-def stream_inbox(spark, path: str, archive: str, quiet: str = "5 seconds", most_bytes: int = 50_000_000) -> DataFrame:
-    """(path, modified, content, reason) of files dropped into a folder, once they were left alone for ``quiet``: reason is
-    null for those to take, else why not. Files that were read move to ``archive``."""
-    files = spark.readStream.format("binaryFile").option("cleanSource", "archive").option("sourceArchiveDir", archive).schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
-    settled = files.where(F.col("modificationTime") <= F.current_timestamp() - F.expr(f"INTERVAL {quiet}"))
-    reason = F.when(F.col("length") > most_bytes, "too large")
-    return settled.select("path", F.col("modificationTime").alias("modified"), "content", reason.alias("reason"))
+FILE = "path string, modified timestamp, length bigint"
+
+
+def settled_files(spark: SparkSession, path: str, quiet_s: float = 5) -> DataFrame:
+    """(path, modified, length, content) of the files of a folder, of any size, that were left alone for the time; names that
+    begin with a dot are unfinished, and Spark doesn't list files without content. A younger file is found by a later call."""
+    before = datetime.now(timezone.utc) - timedelta(seconds=quiet_s)
+    found = spark.read.format("binaryFile").options(modifiedBefore=before.strftime("%Y-%m-%dT%H:%M:%S"), timeZone="UTC", pathGlobFilter="[!.]*").load(path)
+    return found.select("path", F.col("modificationTime").alias("modified"), "length", "content")
+
+
+def stream_inbox(spark: SparkSession, path: str, taken: str, take: Callable[[DataFrame], DataFrame], checkpoint: str, quiet_s: float = 5, every: str = "5 seconds"):
+    """Start a query that gives the settled files of a folder to ``take``, each once, and keeps a record of them.
+
+    A file source lists a file once, whatever its age then, so the folder is listed anew at every tick of a clock, and the
+    table ``taken`` (path, modified, length, reason) says what is done: ``take`` gets (path, modified, length, content) and
+    returns (path, modified, reason), the reason being null for what it took. A file that is written again is a new one. If a
+    tick fails after ``take`` and before its record, its files come again.
+    """
+    spark.createDataFrame([], FILE + ", reason string").write.mode("ignore").parquet(taken)
+
+    def tick(_: DataFrame, n: int) -> None:
+        done = spark.read.schema(FILE + ", reason string").parquet(taken)
+        new = settled_files(spark, path, quiet_s).join(done.select("path", "modified"), ["path", "modified"], "left_anti")
+        outcome = cut(take(new).select("path", "modified", "reason"), "inbox")
+        sizes = new.select("path", "modified", "length")
+        if not outcome.isEmpty():
+            sizes.join(outcome, ["path", "modified"]).select("path", "modified", "length", "reason").write.mode("append").parquet(taken)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def kept_failures(failed: DataFrame, most_bytes: int = 50 * 1024 * 1024) -> DataFrame:
+    """The failed files (path, modified, length, reason) that the archive has room for: the newest, up to the bound. The others'
+    content may go. Days are summed first, so only the day in which the bound lies is ordered file by file."""
+    day = F.to_date("modified")
+    own = failed.where("reason IS NOT NULL").withColumn("_day", day)
+    days = own.groupBy("_day").agg(F.sum("length").alias("_bytes"))
+    newer = F.coalesce(F.sum("_bytes").over(W.orderBy(F.desc("_day")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = days.withColumn("_newer", newer).where(F.col("_newer") < most_bytes).select("_day", "_newer")
+    within = F.sum("length").over(W.partitionBy("_day").orderBy(F.desc("modified"), "path").rowsBetween(W.unboundedPreceding, 0))
+    return own.join(F.broadcast(before), "_day").withColumn("_held", within + F.col("_newer")).where(F.col("_held") <= most_bytes).select("path", "modified", "length", "reason")
 
 
 def ingest_stream(changes: DataFrame, run, checkpoint: str):

@@ -1,6 +1,8 @@
 """Files as tables, and streams against their batch forms."""
 
 import json
+import os
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -66,8 +68,23 @@ def test_books_and_quarantine(spark, tmp_path):
     entries.write.partitionBy("book").parquet(out)
     L.write_entries(new, entries, quarantine, out)
     assert {(r.book, r.text) for r in spark.read.parquet(out).collect()} == {("a", "x"), ("a", "y"), ("b", "new")}
-    L.sink_vault(spark.createDataFrame([("a", "# A\n"), ("b", "# B\n")], "book string, md string"), str(tmp_path / "vault"))
-    assert {r.value for r in spark.read.text(str(tmp_path / "vault")).collect()} >= {"# A", "# B"}
+    L.write_entries(new.where("book = 'a'"), new, quarantine, out)  # the last entry of b went
+    assert not (tmp_path / "out" / "book=b").exists() and {r.text for r in spark.read.parquet(out).collect()} == {"x", "y"}
+
+
+def test_vault(spark, tmp_path):
+    piece = "book string, title string, chapter long, file string, page_index long, id long, piece string"
+    rows = [("b", "B/1", 0, "第1章 x", -1, -1, "---\n"), ("b", "B/1", 0, "第1章 x", 2, 1, "two\nlines\n"), ("b", "B/1", 0, "第1章 x", 1, 7, "one\n"), ("b", "B/1", 1, "第2章 y", -1, -1, "head")]
+    prints = spark.createDataFrame([("b", 0, "f0"), ("b", 1, "f1")], "book string, chapter long, fingerprint string")
+    none, vault = spark.createDataFrame([], "book string, chapter long, recorded string"), str(tmp_path / "vault")
+    got = L.sink_vault(spark.createDataFrame(rows, piece).repartition(3), prints, none, vault)
+    files = lambda: {str(p.relative_to(vault)): p.read_text() for p in (tmp_path / "vault").rglob("*.md")}
+    assert files() == {"B_1/第1章 x.md": "---\n\none\n\ntwo\nlines\n\n", "B_1/第2章 y.md": "head\n"} and not [*(tmp_path / "vault").glob("_*")]
+    (tmp_path / "vault" / "B_1" / "第1章 x.md").write_text("kept, as its chapter didn't change")
+    changed = spark.createDataFrame([("b", 0, "f0"), ("b", 1, "f2")], prints.schema)
+    again = L.sink_vault(spark.createDataFrame([*rows[:3], (*rows[3][:6], "new head")], piece), changed, got, vault)
+    assert files() == {"B_1/第1章 x.md": "kept, as its chapter didn't change", "B_1/第2章 y.md": "new head\n"}
+    assert {tuple(r) for r in again.collect()} == {("b", 0, "f0"), ("b", 1, "f2")}
 
 
 def test_opf(spark):
@@ -187,11 +204,41 @@ def test_ingest_stream_and_claims(spark, tmp_path):
 
 
 def test_inbox(spark, tmp_path):
-    import os
-    import time
-
-    put(tmp_path / "drop", {"a.epub": "content", "b.epub": "too long a content"})
-    for name in ("a.epub", "b.epub"):
-        os.utime(tmp_path / "drop" / name, (time.time() - 60,) * 2)
-    got = drain(S.stream_inbox(spark, str(tmp_path / "drop"), str(tmp_path / "done"), most_bytes=10), "dropped", tmp_path)
-    assert {(r.path.rsplit("/", 1)[1], r.reason) for r in got} == {("a.epub", None), ("b.epub", "too large")}
+    box, big = tmp_path / "drop", 60_000_000
+    box.mkdir()
+    (box / "old.epub").write_bytes(b"1" * big)  # of any size
+    (box / ".part").write_bytes(b"1")
+    (box / "bad.epub").write_bytes(b"3")
+    for name in ("old.epub", ".part", "bad.epub"):
+        os.utime(box / name, (1_700_000_000, 1_700_000_000))
+    (box / "new.epub").write_bytes(b"22")
+    os.utime(box / "new.epub", (time.time() + 15,) * 2)  # too young for the first ticks
+    seen = []
+
+    def take(files):
+        seen.append([(r.path.rsplit("/", 1)[1], r.n) for r in files.selectExpr("path", "length(content) n").collect()])
+        return files.selectExpr("path", "modified", "CASE WHEN length = 1 THEN 'too short' END reason")
+
+    query = S.stream_inbox(spark, str(box), str(tmp_path / "taken"), take, str(tmp_path / "cp"), quiet_s=1, every="1 second")
+    try:
+        end = time.time() + 60
+        while time.time() < end and not any(("new.epub", 2) in x for x in seen):
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert sorted(seen[0]) == [("bad.epub", 1), ("old.epub", big)] and sorted(x for s in seen for x in s) == [("bad.epub", 1), ("new.epub", 2), ("old.epub", big)]
+    record = {r.path.rsplit("/", 1)[1]: r.reason for r in spark.read.parquet(str(tmp_path / "taken")).collect()}
+    assert record == {"old.epub": None, "bad.epub": "too short", "new.epub": None} or record == {"old.epub": None, "bad.epub": "too short"}
+
+
+def test_failures_that_are_kept(spark):
+    rows = [(f"f{d}{i}", datetime(2024, 1, d, i), 10, "why") for d in (1, 2, 3) for i in range(3)] + [("fine", datetime(2024, 1, 9), 500, None)]
+    got = S.kept_failures(spark.createDataFrame(rows, S.FILE + ", reason string"), 45).collect()
+    assert {r.path for r in got} == {"f30", "f31", "f32", "f22"}
+
+
+def test_bounded_lockout(spark, tmp_path):
+    fail = lambda ip, *t: [(ip, at(x), False) for x in t]
+    rows = [*fail("a", 0, 1), *fail("b", 2, 3, 4), *fail("c", 5), *fail("d", 6), *fail("a", 7, 8, 9)]  # b is locked; c and then a lose their place
+    got = drain(S.lockout_stream(stream(spark, str(tmp_path / "f"), rows, "ip string, at timestamp, ok boolean"), limit=3, cap=2, shards=1), "bounded", tmp_path)
+    assert sorted((r.ip, r.locked_at) for r in got) == [("a", at(9)), ("b", at(4))]
