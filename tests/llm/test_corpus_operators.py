@@ -300,3 +300,23 @@ def test_forest(spark):
             assert [v for _, v, _ in found] == best
     assert hits / (5 * 24) >= 0.9
     assert hash_forest.nearest(frame.limit(0), frame["vec_id"] % 50 == 0).count() == 0
+
+
+def test_forest_prunes():
+    x = np.random.default_rng(4).standard_normal((1500, 64))
+    forest, asked = hash_forest.Forest(x), x[:40]
+    cosine = (asked @ x.T) / np.sqrt((x * x).sum(1)) / np.sqrt((asked * asked).sum(1, keepdims=True))
+    hits = share = 0
+    for i, rows in enumerate(forest.candidates(asked, int(hash_forest.GATHER * len(x)))):
+        best = [v for v in np.argsort(-cosine[i]) if v != i][:5]
+        hits, share = hits + np.isin(best, rows).sum(), share + len(rows) / len(x)
+    assert hits / 200 >= 0.9 and share / 40 <= 0.5
+
+
+def test_forest_ignores_other_columns(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)], i, i, i, "x", False) for i in range(60)]
+    names = "vec_id long, embedding array<double>, query_id int, rank int, id long, x string, query boolean"
+    frame = spark.createDataFrame(rows, names)
+    got = hash_forest.nearest(frame, frame["vec_id"] % 50 == 0).collect()
+    plain = hash_forest.nearest(frame.select("vec_id", "embedding"), frame["vec_id"] % 50 == 0).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) and len(got) == 10
