@@ -6,8 +6,10 @@ second turns ``[at]``, ``(dot)``, `` at `` and `` dot `` in addresses to signs a
 are detected in the text as it is (base spans) and in the rewritten text; findings there that hold a rewritten character
 and aren't part of a base span of their kind are added, at the source characters that they map back to.
 
-Edge cases: a null or empty text has no spans; repeated rows give repeated rows; other columns are ignored. Detection takes
-time in proportion to the text, whatever it holds.
+Edge cases: a null or empty text has no spans; an empty table has no rows; repeated rows give repeated rows and null keys stay;
+where two added spans tie (same kind and place) one is kept; other columns, whatever their names, are ignored. Very long texts
+are taken whole: no pattern begins with a repetition or looks past what it may match, so detection takes time in proportion
+to the text, whatever it holds.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import hashlib
 import re
 import sys
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,8 +57,8 @@ _ENDS = "com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es"
 #: Words after a plain "at" that no address begins with.
 _PROSE = r"(?!(?:the|a|an|this|that|my|our|your|his|her|their)\b)"
 _REWRITE = re.compile(
-    rf"""(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*|&\#64;|&commat;|%40|(?<=[a-z0-9])(?:\s+@\s*|\s*@\s+)(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{_ENDS})\b))
-    |(?P<dot>\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*|&\#46;|&period;)
+    rf"""(?P<at>[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*|&\#64;|&commat;|%40|(?<=[a-z0-9])(?:\s+@\s*|\s*@\s+)(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{_ENDS})\b))
+    |(?P<dot>[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*|&\#46;|&period;)
     |(?P<named_at>(?<=[a-z0-9])\s+at\s+{_PROSE}(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{_ENDS})\b))
     |(?P<plain_at>(?<=[a-z0-9])\s+at\s+{_PROSE}(?=[a-z0-9-]+(?:(?:\.|\s+dot\s+|\s*[\[({{<]\s*dot\s*[\])}}>]\s*)[a-z0-9-]+)*(?:\s+dot\s+|\s*[\[({{<]\s*dot\s*[\])}}>]\s*)[a-z]{{2,}}))
     |(?P<plain_dot>(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9-]{{2,}}|[0-9]))
@@ -68,30 +71,30 @@ _SIGNS = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|&#(?:64|46);|&commat;|
 _NAMED = re.compile(rf"\sat\s+[a-z0-9.-]+\.(?:{_ENDS})\b").search
 _SPACED = re.compile(r"\s@|@\s").search
 
-_chars: dict[int, str] = {}
-
-
-def char_map() -> dict[int, str]:
-    """What the first transducer writes for a character: look-alikes, wide forms (by their rule) and decimal digits."""
-    if not _chars:
-        for c in range(0x80, sys.maxunicode + 1):
-            if (d := unicodedata.decimal(chr(c), None)) is not None:
-                _chars[c] = str(d)
-        _chars.update({c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)})
-        _chars.update({ord(k): v for k, v in LOOKALIKES.items()})
-    return _chars
+#: In the table of the first transducer: a character that stays, and one that goes.
+_STAYS, _GOES = -1, 0
 
 
 @lru_cache(maxsize=1)
-def _odd_table() -> np.ndarray:
-    table = np.zeros(sys.maxunicode + 1, bool)
-    table[[*char_map()]] = True
+def char_table() -> np.ndarray:
+    """What the first transducer writes for each character: look-alikes, wide forms (by their rule) and decimal digits."""
+    table = np.full(sys.maxunicode + 1, _STAYS, np.int32)
+    for c in range(0x80, sys.maxunicode + 1):
+        if (d := unicodedata.decimal(chr(c), None)) is not None:
+            table[c] = ord(str(d))
+    table[0xFF01:0xFF5F] = np.arange(0xFF01, 0xFF5F) - 0xFEE0
+    for c, to in LOOKALIKES.items():
+        table[ord(c)] = ord(to) if to else _GOES
     return table
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def odd(text: str) -> bool:
     """Whether there is a character that the first transducer rewrites."""
-    return not text.isascii() and bool(_odd_table()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
+    return not text.isascii() and bool((char_table()[code_points(text)] != _STAYS).any())
 
 
 def emails(s: str) -> list[tuple[int, int]]:
@@ -151,10 +154,17 @@ def detect(s: str) -> list[tuple[int, int, int]]:
 
 
 class Tape:
-    """A rewritten text, and for each of its characters the source span and whether it was rewritten."""
+    """A text that the first transducer has rewritten, and for each of its characters the source span and whether it is new."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end, self.new = text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text)
+        self.text, self.start, self.new = text, np.arange(len(text)), np.zeros(len(text), bool)
+        if odd(text):
+            codes = code_points(text)
+            to = char_table()[codes]
+            self.start = np.flatnonzero(to != _GOES)
+            self.new = (to > 0)[self.start]
+            self.text = np.where(to > 0, to, codes.astype(np.int32))[self.start].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        self.end = self.start + 1
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Edits (start, end, what to write) in order; each written character stands for the whole span."""
@@ -163,16 +173,17 @@ class Tape:
         parts, start, end, new, at = [], [], [], [], 0
         for a, b, out in (*edits, (len(self.text), len(self.text), "")):
             parts.append(self.text[at:a])
-            start += self.start[at:a]
-            end += self.end[at:a]
-            new += self.new[at:a]
+            start.append(self.start[at:a])
+            end.append(self.end[at:a])
+            new.append(self.new[at:a])
             if out:
                 parts.append(out)
-                start += [self.start[a]] * len(out)
-                end += [self.end[b - 1]] * len(out)
-                new += [True] * len(out)
+                start.append(np.full(len(out), self.start[a]))
+                end.append(np.full(len(out), self.end[b - 1]))
+                new.append(np.ones(len(out), bool))
             at = b
-        self.text, self.start, self.end, self.new = "".join(parts), start, end, new
+        self.text = "".join(parts)
+        self.start, self.end, self.new = (np.concatenate(x) for x in (start, end, new))
 
 
 def disguised(text: str) -> bool:
@@ -184,15 +195,14 @@ def disguised(text: str) -> bool:
 
 
 def normalise(text: str) -> Tape:
-    tape, table = Tape(text), char_map()
-    if not text.isascii():
-        tape.replace([(i, i + 1, table[ord(c)]) for i, c in enumerate(text) if c > "\x7f" and ord(c) in table])
+    tape = Tape(text)
     edits: list[tuple[int, int, str]] = []
     for m in _REWRITE.finditer(tape.text):
-        if m.lastgroup in ("at", "named_at", "plain_at"):
-            edits.append((*m.span(), "@"))
-        elif m.lastgroup in ("dot", "plain_dot"):
-            edits.append((*m.span(), "."))
+        if m.lastgroup != "digits":
+            begin, last = m.start(), edits[-1][1] if edits else 0
+            while m.lastgroup in ("at", "dot") and begin > last and tape.text[begin - 1].isspace():  # the blanks before a bracket
+                begin -= 1
+            edits.append((begin, m.end(), "@" if m.lastgroup.endswith("at") else "."))
         else:
             tokens = [*_TOKEN.finditer(tape.text, *m.span())]
             if sum(t[0].lower() in DIGITS for t in tokens) >= SPELLED_RUN:
@@ -214,11 +224,13 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     if not disguised(text):
         return base, []
     tape, added = normalise(text), []
+    rewritten = np.concatenate([[0], np.cumsum(tape.new)])
     for k, a, b in detect(tape.text):
-        if any(tape.new[a:b]) or tape.end[b - 1] - tape.start[a] != b - a:  # written anew, or something dropped in between
-            span = (k, tape.start[a], tape.end[b - 1])
-            if not any(x[0] == k and x[1] <= span[1] and span[2] <= x[2] for x in base):
-                added.append(span)
+        first, end = int(tape.start[a]), int(tape.end[b - 1])
+        if rewritten[b] > rewritten[a] or end - first != b - a:  # written anew, or something dropped in between
+            before = bisect_right(base, (k, first, len(text))) - 1  # base spans of a kind don't overlap
+            if before < 0 or base[before][0] != k or base[before][2] < end:
+                added.append((k, first, end))
     return base, added
 
 
