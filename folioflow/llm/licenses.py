@@ -8,12 +8,15 @@ is a finding. Joined pairs are compared word by word, so hashes only select.
 The templates are constants of this module or of the caller: their table is broadcast if it has at most ``BROADCAST_PAIRS``
 rows and joined by a shuffle beyond that.
 
-Edge cases: a null or empty text has 0 words, no labels and score 0; rows are kept apart by a row number and not by their
-key, so repeated rows and null keys give one row each; other columns are ignored.
+Edge cases: a null or empty text has 0 words, no labels and score 0; an empty table has no rows; very long texts are taken whole;
+of templates that tie all labels are given, once and sorted; rows are kept apart by a row number and not by their key, so
+repeated rows and null keys give one row each; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: The phrases whose every place counts, and their labels.
@@ -63,7 +66,7 @@ def template_pairs(spark: SparkSession, phrases: dict[str, str], notices: dict[s
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, gap: int = GAP, coverage: float = COVERAGE) -> DataFrame:
     """Per row of ``docs``: words, base phrases' places, labels and the best coverage of a template."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD), F.lit(0))
     rows = docs.select(F.col(key).alias("key"), words.alias("words"))
 
     def hashed(w: Column, i: Column) -> Column:

@@ -4,16 +4,21 @@ Patterns find candidates in every text. The hash of each candidate's value is co
 repositories and distinct owners: a value that many owners have is a copied example, one that a single owner (or few) has
 and that looks random is live-looking. Findings of the three base kinds are always reported; those of the further kinds
 only if they aren't widely copied. Counting is by two pre-aggregated steps, so a value in a third of all rows meets no
-single task; the counts come back by a join whose large partitions Spark splits.
+single task, and when the counts come back to the findings such a value is dealt out.
 
-Edge cases: a null or empty text has no spans; a null owner is an owner of its own; rows are kept apart by a row number,
-so repeated rows and null keys give one row each; other columns are ignored.
+``documents`` has no column of repositories: the registered query takes a document for a repository and its source for the
+owner; ``scan`` has both as parameters.
+
+Edge cases: a null or empty text has no spans; an empty table has no rows; very long texts are taken whole; spans that tie in
+their start are in the order of their kinds; a null owner is an owner of its own; rows are kept apart by a row number, so
+repeated rows and null keys give one row each; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.skew import spread_join
 from ..store import cut
 
 #: The base patterns, in the order in which their kinds are listed.
@@ -84,17 +89,18 @@ def candidates(docs: DataFrame, key: str, text: str, owner: str, repository: str
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """For each value's hash: in how many repositories it is, and of how many owners."""
+    """For each value's hash: in how many repositories it is, of how many owners, and how often (``n``)."""
     each = found.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("uses"))
-    owners = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    return owners.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+    owners = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("uses").alias("uses"))
+    return owners.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"), F.sum("uses").alias("n"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """Per row of ``docs``: counts and digest of the base kinds, all spans, and how many candidates look live or copied."""
     rows = cut(candidates(docs, key, text, owner, repository), "secrets")
     found = rows.where(F.size("spans") > 0).select("row", "owner", "repository", F.explode("spans").alias("s")).select("row", "owner", "repository", "s", F.xxhash64(F.col("s.value")).alias("hash"))
-    counted = found.select("row", "s", "hash").join(ownership(found), "hash")
+    owned = cut(ownership(found), "owned")
+    counted = spread_join(found.select("row", "s", "hash"), owned.drop("n"), "hash", "row", sizes=owned)
     base = F.col("s.rank") < 3
     copied = F.col("owners") >= copied_owners
     live = ~copied & (F.size(F.array_distinct(F.split(F.col("s.value"), ""))) >= LIVE_CHARACTERS)
