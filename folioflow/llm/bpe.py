@@ -2,11 +2,13 @@
 
 Each word is a short array of parts with the merge rank of every adjacent pair beside it. The least rank is found by a
 scan, its boundary is deleted, and the ranks of the two neighbours are refreshed, until no pair can merge. Words of over
-``SCAN_LIMIT`` parts keep the same ranks in a heap over a linked list, so that a text without blanks stays near-linear.
-Both give what the public tokenizer gives.
+``SCAN_LIMIT`` parts aren't the short words that the method is for: they keep the same ranks in a heap over a linked list, so
+that a text without blanks stays near-linear. Both give what the public tokenizer gives.
 
-Edge cases: a null text is an empty text (no ids, empty decoded text); other columns are left alone; a repeated row gives
-a repeated row; the strings of special tokens inside a text become their ids, as in the library's default.
+Edge cases: a null text is an empty text (no ids, empty decoded text); an empty table has no rows; very long texts are taken
+whole; pairs of equal rank (ties) merge from the left; a repeated row gives a repeated row, and null keys stay; other columns
+are left alone, whatever their names, but for those that are added; the strings of special tokens inside a text become their
+ids, as in the library's default.
 """
 
 from __future__ import annotations

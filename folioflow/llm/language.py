@@ -8,10 +8,12 @@ every size class (the distinct n-grams, by powers of two): a low quantile of the
 their beginnings have, of which one odd text moves little.
 
 Document frequencies are counted over all labelled rows. The centroids are fitted on a bounded sample: about
-``SAMPLE_PER_LANGUAGE`` rows of each language, chosen by a hash of the key.
+``SAMPLE_PER_LANGUAGE`` rows of each language, drawn row by row, so that no key or text is in or out as a whole.
 
 Edge cases: a null text or one without letters is ``und`` with score 0 and rejected; so is every text when no labelled row
-exists; a null key isn't learned from and isn't held out; repeated rows give repeated rows; ties go to the smaller label.
+exists; a row with a null key isn't learned from and isn't held out; an empty table has no rows; very long texts are taken
+whole; repeated rows give repeated rows, and are learned from as often; ties go to the smaller label, of its centroids to the
+first; the columns that are added replace those of their names, other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -141,8 +143,8 @@ def k_means(x: np.ndarray, clusters: int, rounds: int = ROUNDS) -> tuple[np.ndar
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE_PER_LANGUAGE, clusters: int = CLUSTERS) -> Centroids:
     """Learn from all rows with a label (document frequencies) and from about ``sample`` of each language (centroids)."""
-    rows = labelled.where(F.col(label).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("string")).count().collect()}
+    rows = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     if not sizes:
         return Centroids([], np.zeros((0, BUCKETS), np.float32), np.zeros((0, CLASSES)), np.ones(BUCKETS))
 
@@ -155,12 +157,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
                 total += (tf_vectors(texts[x:y]) > 0).sum(0)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(range(-1, BUCKETS), pa.int32()), "n": pa.array([n, *total.tolist()], pa.int64())})
 
-    counted = {r[0]: r[1] for r in rows.select(text).mapInArrow(frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n")).collect()}
+    counted = {r[0]: r[1] for r in rows.select("text").mapInArrow(frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n")).collect()}
     n = counted.pop(-1)
     idf = np.array([np.log((1 + n) / (1 + counted.get(i, 0))) + 1 for i in range(BUCKETS)], np.float32)
-    part = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(sample / v))])
-    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / (1 << 30)
-    chosen = rows.where(F.col(key).isNotNull() & (place < F.element_at(part, F.col(label).cast("string"))))
+    chosen = rows.sampleBy("label", {k: min(1.0, sample / v) for k, v in sizes.items()}, 20)
 
     def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -176,8 +176,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
         c, own = k_means(x, clusters)
         return pd.DataFrame([{"label": group["label"].iloc[0], "cluster": k, "vector": c[k].tobytes()} for k in range(len(c)) if (own == k).any()])
 
-    labelled_texts = chosen.select(F.col(label).cast("string").alias("label"), text)
-    found = labelled_texts.mapInArrow(vectors, "label string, vector binary").groupBy("label").applyInPandas(centroids, "label string, cluster int, vector binary").collect()
+    found = chosen.mapInArrow(vectors, "label string, vector binary").groupBy("label").applyInPandas(centroids, "label string, cluster int, vector binary").collect()
     found.sort(key=lambda r: (r["label"], r["cluster"]))
     of = {x: np.stack([np.frombuffer(r["vector"], np.float32) for r in found if r["label"] == x]) for x in {r["label"] for r in found}}
 
@@ -195,7 +194,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     def quantiles(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"label": group["label"].iloc[0], "floors": floors_by_size(group["size"].to_numpy(), group["cosine"].to_numpy()).tolist()}])
 
-    floors = {r["label"]: r["floors"] for r in labelled_texts.mapInArrow(cosines, "label string, size int, cosine double").groupBy("label").applyInPandas(quantiles, "label string, floors array<double>").collect()}
+    floors = {r["label"]: r["floors"] for r in chosen.mapInArrow(cosines, "label string, size int, cosine double").groupBy("label").applyInPandas(quantiles, "label string, floors array<double>").collect()}
     return Centroids([r["label"] for r in found], np.stack([np.frombuffer(r["vector"], np.float32) for r in found]) if found else np.zeros((0, BUCKETS), np.float32), np.array([floors[r["label"]] for r in found]).reshape(-1, CLASSES), idf)
 
 
