@@ -5,16 +5,20 @@ are therefore partitioned by size, and for each size class every document is see
 the longest items of that class, one quarter of the class's size on each time. A window and an item that share a MinHash
 value under any of ``PERMUTATIONS`` are a candidate, which is verified by the exact part of the item's shingles that the
 whole document has. An item that lies wholly in a document is missed with probability below 1e-5, one of which it holds
-the least part that counts with probability below 1e-3. Items of up to ``TINY`` shingles are looked up by every shingle.
+the least part that counts in one place with probability below 1e-3. Items in several distant parts are in no one window;
+each part still gives its own chances (tests split items into up to eight parts and miss none). Items of up to ``TINY``
+shingles are looked up by every shingle.
 
 Shingles are five words, without case and signs; an item of fewer words has one of all its words, which is compared with
 the documents' runs of as many words.
 
 The items are the stated query set: blocks of about ``ITEMS_PER_BLOCK`` are sent to the tasks, and the documents are
-passed over once for each block. Documents are never shuffled.
+passed over once for each block. Where there are several, one is held at a time, and what it finds is written before the
+next. Documents are never shuffled.
 
-Edge cases: null, empty or wordless items and documents match nothing; repeated rows give repeated rows; an empty side
-gives an empty result; other columns are ignored.
+Edge cases: null, empty or wordless items and documents match nothing; very long documents are taken whole, a few MB of words at a
+time; nothing can tie: every pair over the threshold is a row; repeated rows give repeated rows; an empty side gives an
+empty result; other columns, whatever their names, are ignored (by ``without_leaks``: kept).
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..store import Steps, cut
 from .words import NOT_WORD, shingles, slices, word_hashes
 
 SHINGLE = 5
@@ -156,11 +161,13 @@ def search(items: Items, data: np.ndarray, offsets: np.ndarray, threshold: float
     return out
 
 
-def item_blocks(benchmark: DataFrame, item: str, item_text: str) -> Iterator[Items]:
-    """All test items, in blocks."""
+def block_count(benchmark: DataFrame) -> int:
+    return max(1, -(-benchmark.count() // ITEMS_PER_BLOCK))
+
+
+def item_blocks(benchmark: DataFrame, item: str, item_text: str, blocks: int) -> Iterator[Items]:
+    """All test items, in blocks, one after the other."""
     rows = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
-    n = rows.count()
-    blocks = max(1, -(-n // ITEMS_PER_BLOCK))
     for i in range(blocks):
         # a block is a share of the items by hash; one and a half times the mean bounds it, and a hash of the text parts them further
         held = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).collect() if blocks > 1 else rows.collect()
@@ -171,10 +178,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """Pairs of a document and a test item of which it holds at least ``threshold``."""
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     schema = f"{key} {kinds[0]}, {item} {kinds[1]}, n_item_shingles bigint, n_shared bigint, containment double"
-    found = None
-    for block in item_blocks(benchmark, item, item_text):
 
-        def batches(it: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
+    def leaks(block: Items) -> DataFrame:
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
                 for row, data, offsets in slices(b.column(1)):
                     hits = search(block, data, offsets, threshold)
@@ -182,7 +188,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                         doc, item_, size, shared = (np.array(x) for x in zip(*hits))
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc + row)), pa.array([block.keys[j] for j in item_]), pa.array(size), pa.array(shared), pa.array(shared / size)], names=[key, item, "n_item_shingles", "n_shared", "containment"])
 
-        part = docs.select(F.col(key), F.col(text)).mapInArrow(batches, schema)
+        return docs.select(F.col(key), F.col(text)).mapInArrow(batches, schema)
+
+    blocks = block_count(benchmark)
+    found = None
+    for block in item_blocks(benchmark, item, item_text, blocks):
+        part = leaks(block) if blocks == 1 else cut(leaks(block), "leaks")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -190,16 +201,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose own text holds less than ``threshold`` of every test item, whatever their keys are."""
     at = docs.columns.index(text)
-    for block in item_blocks(benchmark, item, item_text):
 
-        def batches(it: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
+    def clean(rows: DataFrame, block: Items) -> DataFrame:
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
                 stays = np.ones(b.num_rows, bool)
                 for row, data, offsets in slices(b.column(at)):
                     stays[[row + doc for doc, *_ in search(block, data, offsets, threshold)]] = False
                 yield b.filter(pa.array(stays))
 
-        docs = docs.mapInArrow(batches, docs.schema)
+        return rows.mapInArrow(batches, rows.schema)
+
+    blocks = block_count(benchmark)
+    with Steps(docs.sparkSession) as steps:
+        before = None
+        for block in item_blocks(benchmark, item, item_text, blocks):
+            docs = clean(docs, block)
+            if blocks > 1:
+                docs = steps.cut(docs, "clean")
+                if before is not None:
+                    steps.drop(before)
+                before = docs
+        if before is not None:
+            steps.keep(before)
     return docs
 
 
