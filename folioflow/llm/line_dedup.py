@@ -233,7 +233,8 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least
         rows = cut(rows.where(F.col("n") > ROWS_PER_PART), "repeats")
     own = docs.drop("n_lines", "n_removed", "removed")
     met = own.select("*", *id_columns(F.col(key).isNull(), F.col(key), F.xxhash64(text)))
-    met = spread_join(met, gone, named, F.monotonically_increasing_id(), sizes=rows, how="left")
+    # sort-merge at every size: a broadcast where the deletions happen to be few would only hide what the join takes
+    met = spread_join(met, gone.hint("merge"), named, F.monotonically_increasing_id(), sizes=rows, how="left")
     lines = F.split(text, "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.exists("_dedup_ranges", lambda r: (i >= r["first"]) & (i <= r["last"])))
     some = F.col("_dedup_ranges").isNotNull()
