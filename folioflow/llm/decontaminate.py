@@ -6,7 +6,7 @@ the longest items of that class, one quarter of the class's size on each time. A
 value under any of ``PERMUTATIONS`` are a candidate, which is verified by the exact part of the item's shingles that the
 whole document has. An item that lies wholly in a document is missed with probability below 1e-5, one of which it holds
 the least part that counts in one place with probability below 1e-3. Items in several distant parts are in no one window;
-each part still gives its own chances (tests split items into up to eight parts and miss none). Items of up to ``TINY``
+each part still gives its own chances (tests split items into up to six parts and miss none). Items of up to ``TINY``
 shingles are looked up by every shingle.
 
 Shingles are five words, without case and signs; an item of fewer words has one of all its words, which is compared with

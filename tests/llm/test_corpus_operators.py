@@ -164,6 +164,23 @@ def test_leaks(spark, monkeypatch):
     assert run(d.limit(0), b) == set() == run(d, b.limit(0))
 
 
+def test_items_in_distant_parts(spark):
+    """An item is found in up to six parts that lie far apart, though no window holds more than one of them."""
+    pick = random.Random(6)
+    items = [(i, sentence(pick, 120)) for i in range(25)]
+    docs = []
+    for parts in (1, 2, 4, 6):
+        for i, q in items:
+            w, out = q.split(), []
+            for j in range(parts):
+                out += w[j * len(w) // parts : (j + 1) * len(w) // parts] + sentence(pick, 300).split()
+            docs.append((len(docs), " ".join(out)))
+    docs.append((len(docs), sentence(pick, 60_000) + " " + items[0][1] + " " + sentence(pick, 60_000)))
+    want = brute_leaks(docs, items)
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) == 101 and {(r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in found} == want
+
+
 def test_line_dedup(spark):
     pick = random.Random(3)
     p, q, short = sentence(pick, 30), [sentence(pick, 10) for _ in range(4)], sentence(pick, 6)

@@ -66,3 +66,56 @@ def test_only_rows_that_leak_go(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(corpus_pipeline.decontaminate, "ITEMS_PER_BLOCK", per_block)
         got = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
         assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, clean)) and got.columns == docs.columns
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    from test_corpus_operators import brute_classes, brute_dedup, brute_leaks, sentence
+    from test_text_operators import VOCABULARY, naive_language
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    pick = random.Random(7)
+    passages = [[sentence(pick, pick.randint(3, 20)) for _ in range(4)] for _ in range(5)]
+    items = [(i, sentence(pick, pick.choice([4, 12, 40]))) for i in range(6)]
+    whole = [sentence(pick, 90) for _ in range(6)]
+    rows = []
+    for i in range(130):
+        kind, lines = pick.random(), [sentence(pick, pick.randint(5, 60))]
+        if kind < 0.3:
+            w = pick.choice(whole).split()
+            w[pick.randrange(len(w))] = "zz"
+            lines = [" ".join(w)]
+        elif kind < 0.6:
+            lines += pick.choice(passages)
+        elif kind < 0.7:
+            lines.append(pick.choice(items)[1])
+        rows.append((pick.choice([i, i, i + 500]), "\n".join(lines)))
+    rows = list({k: (k, t) for k, t in rows}.values())
+    rows += [rows[3], rows[3], (700, None), (701, ""), (702, "12 !"), (703, sentence(pick, 9000)), (704, "\n".join(passages[0]))]
+    docs = [(k, t, "en", "s", len(t or ""), "k", 1, "n", 2, "r") for k, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, version int, node string, n_removed int, lang_pred string"
+    spark.createDataFrame(docs, schema).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = corpus_pipeline.language.fit(table.where(~corpus_pipeline.language.held_out()))
+    kept = [(k, t) for k, t in rows if not naive_language(model, t)[2]]
+    assert {k for k, _ in rows} - {k for k, _ in kept} <= {700, 701, 702} | {k for k, t in rows if len(t or "") < 60}
+    gone = brute_dedup([(k, t, 0) for k, t in kept])
+    cut = [(k, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k, t]), bool(gone[k, t])) for k, t in kept]
+    left = [(k, t) for k, t, removed in cut if t.strip() or not removed]
+    classes = brute_classes([t for _, t in left], 5, 80)
+    least = {}
+    for i, (k, _) in enumerate(left):
+        least.setdefault(classes[i][1], []).append(k)
+    unique = {min(v): None for v in least.values()}
+    single = {k: t for k, t in left if k in unique}
+    leaks = {d for d, *_ in brute_leaks([*single.items()], items)}
+    want = {k: t for k, t in single.items() if k not in leaks}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(want) < len({k for k, _ in rows}) - 30 and leaks
+    library = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+    for r in got:
+        ids = library.encode(r.text, add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False) and r.n_tokens == len(ids)

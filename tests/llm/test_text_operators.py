@@ -1,11 +1,15 @@
 """Operators on single texts, against the public tokenizer and brute force."""
 
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 from folioflow.llm import bpe, language, licenses, pii, secrets, token_counts
 
@@ -251,3 +255,89 @@ def test_floors_by_size():
     cosine[200] = 0.01  # one odd text
     floors = language.floors_by_size(size, cosine)
     assert floors[[0, 3, 5]].tolist() == [0.3, 0.3, 0.6] and floors[6] == 0.6 and (floors[7:] >= 0.3).all()
+
+
+def naive_language(model, text):
+    """(label, score, rejected) by the definition, one n-gram at a time."""
+    wrap = (1 << 64) - 1
+    chars = [c if regex.match(r"\p{L}", c) else " " for c in f" {(text or '').lower()} "]
+    counts = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(chars) - n + 1):
+            gram = chars[i : i + n]
+            if (gram[0] != " ", gram[0] != " " or gram[-1] != " ", gram[n // 2] != " ")[n - 1]:
+                h = n
+                for c in gram:
+                    h = (h * 0x110001 + ord(c)) & wrap
+                counts[((h * 0x9E3779B97F4A7C15) & wrap) >> 52] += 1
+    if not counts or not model.languages:
+        return "und", 0.0, True
+    v = {b: math.log1p(k) * float(model.idf[b]) for b, k in counts.items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    cosine = [sum(x * float(c[b]) for b, x in v.items()) / norm for c in model.vectors]
+    best = max(range(len(cosine)), key=lambda i: (round(cosine[i], 5), -i))
+    return model.languages[best], cosine[best], cosine[best] < language.MARGIN * model.floors[best, len(counts).bit_length()]
+
+
+def test_language_equals_definition(spark):
+    pick = random.Random(11)
+    tongue = {"aa": "etaoinsh", "bb": "кловмнар", "cc": "éàüißzyq"}
+    say = lambda x, n: " ".join("".join(pick.choices(tongue[x], k=pick.randint(1, 6))) for _ in range(n))
+    rows = [(i, say(x, pick.randint(1, 60)), x, i, "l") for i, x in enumerate(pick.choices([*tongue], k=240))]
+    rows += [rows[0], rows[0], (None, say("aa", 9), "zz", 1, "l"), (900, None, "aa", 1, "l"), (901, "12 ?", None, 1, "l"), (902, say("bb", 3000), None, 1, "l"), (903, "ωψξ φχ", None, 1, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_score int, label string").repartition(3)
+    learned = docs.where(~language.held_out())
+    model = language.fit(learned, sample=40, clusters=3)
+    texts = [r.text or "" for r in learned.collect() if r.lang and r.doc_id is not None]
+    seen = np.sum([(language.tf_vectors([t]) > 0)[0] for t in texts], 0)
+    assert np.allclose(model.idf, np.log((1 + len(texts)) / (1 + seen)) + 1)
+    assert {*model.languages} == {*tongue} and np.allclose((model.vectors**2).sum(1), 1, atol=1e-5)
+    got = language.identify(docs, model).collect()
+    assert len(got) == len(rows) and all(r.label == "l" for r in got)
+    for r in got:
+        label, score, rejected = naive_language(model, r.text)
+        assert (r.lang_pred, r.lang_rejected) == (label, rejected) and abs(r.lang_score - min(1, max(0, score))) < 1e-5
+    assert sum(r.lang_pred == r.lang for r in got if r.lang in tongue and len(r.text or "") > 20) / sum(r.lang in tongue and len(r.text or "") > 20 for r in got) > 0.97
+    assert language.identify(docs.limit(0), model).count() == 0
+
+
+DISGUISES = {
+    "email": ["ann.lee@example.org", "ann.lee [at] example.org", "ann.lee(at)example(dot)org", "ann.lee { at } example [ dot ] org", "\u0430nn.lee@ex\u0430mple.org", "ann.lee@exa\u200bmple.org", "ann.lee@example\u3002org", "ann.lee at example dot org"],
+    "ip": ["10.20.30.4", "10.20.30[.]4", "10 dot 20 dot 30 dot 4", "\u0661\u0660.20.30.4", "10.20\u2024 30.4".replace(" ", "")],
+    "card": ["4111 1111 1111 1111", "four one one one 1111 1111 1111", "\uff14111 1111 1111 1111", "4111\u00a01111 1111 1111"],
+    "phone": ["+1 (017) 555-7713", "+1 (017) 555\u20117713", "plus one zero one seven 555 7713", "+1 (\u0660\u0661\u0667) 555-7713"],
+}
+
+
+def test_planted_disguises():
+    """Spans that are known because the texts are put together: the method finds these and no others, at source characters."""
+    pick = random.Random(12)
+    clean = ["the dog ran home", "we met there on Monday", "Пять слов о море", "x = y + 2", "polka dots", "one or two things", "look at that", "[note] see (a)", "1.5 of 2"]
+    for _ in range(600):
+        text, want = "", []
+        for _ in range(pick.randint(1, 5)):
+            text += pick.choice(clean) + " ; "
+            kind = pick.choice([*DISGUISES])
+            i = pick.randrange(len(DISGUISES[kind]))
+            want.append((pii.KINDS.index(kind), len(text), len(text) + len(DISGUISES[kind][i]), i == 0))
+            text += DISGUISES[kind][i] + " ; "
+        base, added = pii.scan_text(text)
+        assert sorted(base) == sorted(x[:3] for x in want if x[3]), text
+        assert sorted(added) == sorted(x[:3] for x in want if not x[3]), text
+
+
+def test_personal_data_in_long_texts():
+    began = time.time()
+    for text in ("polka dot" + " " * 200_000, "joe [at] " + "\u00a0" * 200_000 + "dot", "[ " * 100_000, "a@" * 100_000, "one " * 50_000, "1.1." * 50_000, "joe [at] a (dot) com " * 10_000):
+        pii.scan_text(text)
+    assert time.time() - began < 20
+
+
+def test_counts_of_long_texts_without_blanks(tokenizer):
+    machine = token_counts.compiled(VOCABULARY)
+    pick = random.Random(13)
+    texts = ["".join(pick.choices("etaoinshr", k=60_000)), "''" * 3000 + "'re" * 3000, "é1!" * 5000, "中" * 5000, "".join(pick.choices("aé1.' ", k=20_000)), "Σς" * 4000]
+    assert machine.count(texts).tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    began = time.time()
+    machine.count(texts[:1])
+    assert time.time() - began < 2
