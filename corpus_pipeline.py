@@ -7,7 +7,12 @@
 4. decontamination: documents that hold a test item go.
 5. tokens: ids of the texts, and the texts that these decode to.
 
-Each stage but the last returns the columns of ``documents``. A row with a null text has no language and goes first.
+Each stage but the last returns the columns of ``documents``; further columns, whatever their names, are left out at once.
+
+Edge cases: a row with a null text has no language and goes first, and so do texts without letters, empty ones among them; a null
+key stays a key, after all others where an order matters. Repeated rows (equal key and text) are one document to line dedup,
+which gives all of them the same lines, and near-duplicate removal leaves one of them. Ties there go as said above. Very
+long texts are taken whole in every stage. An empty table gives an empty one.
 """
 
 from __future__ import annotations
