@@ -38,7 +38,7 @@ VIEWS = {
     "v_pages": "SELECT o_orderkey AS page_key, o_custkey%25 AS book, o_orderkey%500 AS page FROM orders",
     "v_page_state": "SELECT book, page, max(page_key) AS mtime FROM v_pages WHERE page_key%3=0 GROUP BY book, page",
     "v_book_files": """SELECT doc_id, concat(CASE WHEN doc_id%3=0 THEN 'Annals ' ELSE 'Book ' END, source, ' ', lang, CASE doc_id%4 WHEN 0 THEN ' - 卷' WHEN 1 THEN '(第' WHEN 2 THEN ' 第' ELSE 'Vol.' END, CAST(doc_id%30 AS VARCHAR(9)), CASE doc_id%4 WHEN 1 THEN '部)' WHEN 2 THEN '话' ELSE '' END,
- ' -- ', lang, ' -- ', CASE WHEN doc_id%50=0 THEN repeat('著者',50) ELSE concat('h',CAST(doc_id AS VARCHAR(18))) END, CASE doc_id%10 WHEN 0 THEN '.pdf' WHEN 1 THEN '.TXT' ELSE '.epub' END) AS name, n_chars AS bytes FROM documents""",
+ ' -- ', lang, ' -- ', concat(CASE WHEN doc_id%50=0 THEN repeat('著者',50) ELSE 'h' END, CAST(doc_id AS VARCHAR(18))), CASE doc_id%10 WHEN 0 THEN '.pdf' WHEN 1 THEN '.TXT' ELSE '.epub' END) AS name, n_chars AS bytes FROM documents""",
     "v_kept_files": "SELECT * FROM v_book_files WHERE doc_id%5<>0",
     "v_shelf": """SELECT doc_id, name, bytes, 1704067200+doc_id*60 AS mtime, CASE WHEN doc_id%10=0 THEN 'pdf' WHEN doc_id%10=1 THEN 'other' ELSE 'epub' END AS format,
  CASE WHEN doc_id%4=0 THEN NULL ELSE 1704067200+doc_id*60+CASE WHEN doc_id%5=0 THEN -30 ELSE 30 END END AS native_at,
