@@ -46,3 +46,9 @@ def test_entry_imports_and_names():
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_clusters_are_planned_once(spark):
+    """Pairing reads the strokes' table, which is written once, three times, and never the given one again."""
+    plan = QUERIES["pair_nearest"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 0 and plan.count("/ink-") <= 3 and plan.count("Exchange") <= 10
