@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import entries as E, text as T
 from ..plans.registry import query
@@ -103,9 +103,17 @@ def status_summary(entries: DataFrame) -> DataFrame:
 )
 def page_recency(entries: DataFrame) -> DataFrame:
     """Mined entries by page, pages by their last change."""
-    paged = entries.where("status = 'mined'").withColumn("page_updated", F.max("updated").over(W.partitionBy("book", "page_index")))
-    place = F.row_number().over(W.partitionBy("book").orderBy(F.desc("page_updated"), "page_index", "id")).cast("long")
-    return paged.select("id", "book", "page_index", "page_updated", place.alias("place"))
+    mined = entries.where("status = 'mined'")
+    pages = mined.groupBy("book", "page_index").agg(F.max("updated").alias("page_updated"), F.count(F.lit(1)).alias("n"))
+    return placed(mined, pages, ["book"], [F.desc("page_updated"), F.col("page_index")]).select("id", "book", "page_index", "page_updated", "place")
+
+
+def placed(rows: DataFrame, pages: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """``rows`` with their page's columns and ``place``: their number in the group, by the order of pages and then by id. Rows are
+    ranked within their page; what comes before a page is a running sum over the group's pages (``n`` rows each), which are few."""
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy(*group, "page_index").orderBy("id"))
+    return rows.join(pages.withColumn("_before", before), [*group, "page_index"]).withColumn("place", (F.col("_before") + within).cast("long"))
 
 
 @query(
@@ -211,7 +219,10 @@ def failure_list(calls: DataFrame) -> DataFrame:
 
 @query("chapter_entries", "v_entries", sql="SELECT id, book, chapter, CAST(row_number() OVER (PARTITION BY book, chapter ORDER BY page_index, id) AS BIGINT) AS place FROM v_entries")
 def chapter_entries(entries: DataFrame) -> DataFrame:
-    return entries.select("id", "book", "chapter", F.row_number().over(W.partitionBy("book", "chapter").orderBy("page_index", "id")).cast("long").alias("place"))
+    """Entries without a chapter are a group of their own."""
+    own = entries.withColumn("_chapter", F.coalesce("chapter", F.lit(-1)))
+    pages = own.groupBy("book", "_chapter", "page_index").agg(F.count(F.lit(1)).alias("n"))
+    return placed(own, pages, ["book", "_chapter"], [F.col("page_index")]).select("id", "book", "chapter", "place")
 
 
 FIELDS = ("quote", "text", "draft", "question", "answer")
