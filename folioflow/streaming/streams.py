@@ -61,6 +61,10 @@ def _seconds(t) -> float:
     return pd.Timestamp(t).tz_localize("UTC").timestamp() if pd.Timestamp(t).tzinfo is None else pd.Timestamp(t).timestamp()
 
 
+def _times(seconds: list[float]) -> pd.Series:
+    return pd.to_datetime(pd.Series([round(s * 1e6) for s in seconds], dtype="int64"), unit="us")
+
+
 class Lockout(StatefulProcessor):
     """Failures and successes of a source to the moments at which it is locked."""
 
@@ -83,7 +87,7 @@ class Lockout(StatefulProcessor):
             self.recent.put([(x,) for x in recent])
         else:
             self.recent.clear()
-        yield pd.DataFrame({"ip": pd.Series([key[0]] * len(locks), dtype=object), "locked_at": pd.to_datetime(pd.Series(locks, dtype="float64"), unit="s")})
+        yield pd.DataFrame({"ip": pd.Series([key[0]] * len(locks), dtype=object), "locked_at": _times(locks)})
 
     def close(self) -> None:
         pass
@@ -118,7 +122,7 @@ class BoundedLockout(StatefulProcessor):
                     locks.append((ip, at))
             recent[ip] = held
         self.sources.update((recent,))
-        yield pd.DataFrame({"ip": pd.Series([x[0] for x in locks], dtype=object), "locked_at": pd.to_datetime(pd.Series([x[1] for x in locks], dtype="float64"), unit="s")})
+        yield pd.DataFrame({"ip": pd.Series([x[0] for x in locks], dtype=object), "locked_at": _times([x[1] for x in locks])})
 
     def close(self) -> None:
         pass
@@ -180,7 +184,7 @@ class Gate(StatefulProcessor):
                 out.append(at)
         if out:
             self.fired.update((last,))
-        yield pd.DataFrame({"user": pd.Series([key[0]] * len(out), dtype=object), "fired_at": pd.to_datetime(pd.Series(out, dtype="float64"), unit="s")})
+        yield pd.DataFrame({"user": pd.Series([key[0]] * len(out), dtype=object), "fired_at": _times(out)})
 
     def close(self) -> None:
         pass
