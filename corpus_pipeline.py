@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.llm import bpe, decontaminate, jaccard_join, language, line_dedup
-from folioflow.store import cut
+from folioflow.store import Steps
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "word_bpe_49k.json"
@@ -74,10 +74,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; every stage's result but the last is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, name)
-    return docs
+    """All stages over the whole table; every stage's result but the last is written to the shared folder, and goes when the
+    next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    with Steps(spark) as steps:
+        for name, stage in STAGES[:-1]:
+            docs = steps.cut(stage(spark, docs, sf_dir), name)
+            if before is not None:
+                steps.drop(before)
+            before = docs
+        steps.keep(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
