@@ -14,10 +14,10 @@ def one(spark, column, *values):
 
 
 MARKERS = [
-    ("- look up", "bullet", "look up"), ("• a\nsecond", "bullet", "a\nsecond"), ("1. learn", "numbered", "learn"), ("12、point", "numbered", "point"), ("□ find", "checkbox", "find"), ("口 find", "checkbox", "find"),
-    ("## part", "heading1", "part"), ("##part", "heading1", "part"), ("### who", "heading2", "who"), ("#### deeper", "heading2", "deeper"), ("##", None, "##"), ("- [ ] x", "checkbox", "x"), ("- [] x", "checkbox", "x"),
-    ("-[ ] x", "checkbox", "x"), ("[ ] x", "checkbox", "x"), ("* [X] done", "checkbox", "done"), ("［ ］ wide", "checkbox", "wide"), ("- [note] x", "bullet", "[note] x"), ("[1] ref", None, "[1] ref"), ("口渴了", None, "口渴了"),
-    ("-3 degrees", None, "-3 degrees"), ("2024 year", None, "2024 year"), ("3.14 is pi", None, "3.14 is pi"), ("2.learn", "numbered", "learn"), ("# one", None, "# one"), ("", None, ""),
+    ("- buy ink", "bullet", "buy ink"), ("• first\nnext line", "bullet", "first\nnext line"), ("7. count", "numbered", "count"), ("33、item", "numbered", "item"), ("□ seek", "checkbox", "seek"), ("口 seek", "checkbox", "seek"), ("☐", "checkbox", ""),
+    ("## chapter", "heading1", "chapter"), ("##chapter", "heading1", "chapter"), ("### below", "heading2", "below"), ("##### far below", "heading2", "far below"), ("###", None, "###"), ("- [ ] task", "checkbox", "task"), ("* [] task", "checkbox", "task"),
+    ("-[x] task", "checkbox", "task"), ("[X] task", "checkbox", "task"), ("［　］ broad", "checkbox", "broad"), ("- [sic] task", "bullet", "[sic] task"), ("[12] source", None, "[12] source"), ("口袋里", None, "口袋里"), ("· dot", "bullet", "dot"), ("—dash", "bullet", "dash"),
+    ("-40 outside", None, "-40 outside"), ("1999 then", None, "1999 then"), ("2.72 is e", None, "2.72 is e"), ("9)nine", "numbered", "nine"), ("1234. too long", None, "1234. too long"), ("# only one", None, "# only one"), ("  - led by blanks", "bullet", "led by blanks"), ("", None, ""),
 ]
 
 
