@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Rows of a key that one partition may hold.
 ROWS_PER_PART = 128
-#: Hot keys are at most the rows / ``ROWS_PER_PART``; so many are broadcast, more are joined.
+#: So many hot keys are dealt out at most, those with the most rows: each key beyond them has less than a 100,000th of the rows.
 BROADCAST_KEYS = 100_000
 
 
@@ -20,7 +20,7 @@ def spread_join(many: DataFrame, one: DataFrame, keys: str | list[str], by: str
     n = hot.limit(BROADCAST_KEYS + 1).count()
     if not n:
         return many.join(one, keys, how)
-    hot = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
+    hot = F.broadcast(hot if n <= BROADCAST_KEYS else hot.orderBy(F.desc("_parts")).limit(BROADCAST_KEYS))
     parts, extra = F.coalesce("_parts", F.lit(1)), [*(f"_hot_{k}" for k in keys), "_parts"]
 
     def dealt(side: DataFrame) -> DataFrame:

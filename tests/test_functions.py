@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators import ledger, lifecycle, mining, structure
+from folioflow.operators import ledger, lifecycle, mining, skew, structure
 from folioflow.operators.graph import components
 
 
@@ -175,3 +175,13 @@ def test_spread_join(spark):
     got = sorted((r.k, r.v, r.t) for r in spread_join(many, one, "k", "v").collect())
     assert got == sorted((r.k, r.v, r.t) for r in many.join(one, "k").collect()) and len(got) == 1002
     assert spread_join(many.where("k > 0"), one, "k", "v").count() == 2
+
+
+@pytest.mark.parametrize("how, bound", [("inner", 100_000), ("left", 100_000), ("left", 1)])
+def test_spread_join(spark, monkeypatch, how, bound):
+    """The same rows as a plain join, whichever keys are dealt out."""
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", bound)
+    many = spark.createDataFrame([(k, "x", i) for i, k in enumerate([1] * 50 + [2] * 30 + [3] * 2 + [4] * 9)], "k long, m string, v long")
+    one = spark.createDataFrame([(k, "x", f"r{k}") for k in (1, 2, 3, 5)], "k long, m string, w string")
+    got = skew.spread_join(many, one, ["k", "m"], "v", rows=5, how=how)
+    assert sorted(map(str, got.select("k", "v", "w").collect())) == sorted(map(str, many.join(one, ["k", "m"], how).select("k", "v", "w").collect()))
