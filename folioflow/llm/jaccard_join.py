@@ -315,15 +315,15 @@ def tree_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(batches, "a bigint, b bigint").distinct()
 
 
-def tiled(members: DataFrame, percent: int, steps: Steps) -> DataFrame:
-    """Blocks (key, size, node, n, ...) as tiles: a small block is one tile, in which the nodes meet each other. A large one
+def tiled(members: DataFrame, blocks: DataFrame, percent: int, steps: Steps) -> DataFrame:
+    """The members (key, size, node, n, ...) of blocks (key, size) as tiles: a small block is one tile, in which the nodes meet each other. A large one
     is cut into strata by the size of its nodes, which also visit the stratum below; a large stratum is cut into parts, of
     which each pair is a tile."""
     whole = F.col("size") <= TILE
     small = members.where(whole).withColumns({"tile": F.lit(-1).cast("long"), "side": F.lit(0)})
-    large = members.where(~whole)
-    if large.isEmpty():
+    if blocks.where(~whole).isEmpty():
         return small
+    large = members.where(~whole)
     # a little wider than the similarity, so that rounding can't part two sets that link by more than one stratum
     stratum = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent) * 1.0001)))
     placed = steps.cut(large.withColumn("stratum", F.explode(F.array(stratum, stratum - 1))), "strata")
@@ -363,7 +363,7 @@ def grouped(docs: DataFrame, key: str, text: str, k: int, percent: int, sample:
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("key", "size")
         mixed = steps.cut(mixed, "mixed")
         left = spread_join(placed, mixed, "key", "node", sizes=mixed.withColumnRenamed("size", "n")).join(nodes.select("node", "n", "corner"), "node")
-        met = steps.cut(tree_pairs(tiled(left, percent, steps), percent).join(first, ["a", "b"], "left_anti"), "met")
+        met = steps.cut(tree_pairs(tiled(left, mixed, percent, steps), percent).join(first, ["a", "b"], "left_anti"), "met")
         second = steps.cut(bounded(met, nodes, percent), "pairs")
         more = verified(second, nodes, docs, key, text, k, percent, steps)
         label = components(links.unionByName(more)) if not more.isEmpty() else label
