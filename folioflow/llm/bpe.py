@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 #: rank array is for short words. The ids are the same.
 SCAN_LIMIT = 96
 #: Encoded blank-free runs that a Python worker remembers: so many new ones, and those that it remembered before them.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 150_000
 #: Longer runs are not remembered.
 CACHE_CHARS = 64
 
