@@ -123,10 +123,16 @@ def chapter_tabs(entries: DataFrame) -> DataFrame:
 
 
 def subheads(entries: DataFrame) -> DataFrame:
-    """With ``new_subhead``: the section's name where it differs from the last one that wasn't empty."""
-    name = F.when(T.trim_all(F.col("subhead")) != "", T.trim_all(F.col("subhead")))
-    before = F.last("_name", ignorenulls=True).over(W.partitionBy("book", "chapter").orderBy("page_index", "id").rowsBetween(W.unboundedPreceding, -1))
-    return entries.withColumn("_name", name).withColumn("new_subhead", F.when(F.col("_name").isNotNull() & ~F.col("_name").eqNullSafe(before), F.col("_name"))).drop("_name")
+    """Entries of chapters with ``new_subhead``: the section's name where it differs from the last one of the chapter that wasn't
+    empty. Names are compared within a page; what the pages before end with is carried on by a window over the pages."""
+    page = ["book", "chapter", "page_index"]
+    named = entries.withColumn("_name", F.when(T.trim_all(F.col("subhead")) != "", T.trim_all(F.col("subhead"))))
+    last = lambda by, *order: F.last("_name", ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    ends = named.groupBy(*page).agg(F.max(F.when(F.col("_name").isNotNull(), F.struct("id", "_name")))["_name"].alias("_name"))
+    carried = ends.select(*page, last(page[:2], "page_index").alias("_carried"))
+    before = F.coalesce(last(page, "id"), F.col("_carried"))
+    found = named.join(carried, page).withColumn("new_subhead", F.when(F.col("_name").isNotNull() & ~F.col("_name").eqNullSafe(before), F.col("_name")))
+    return found.drop("_name", "_carried")
 
 
 @query(
