@@ -39,7 +39,7 @@ CLASSES, LEAST_COSINES = BUCKETS.bit_length() + 1, 100
 BEGINNINGS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 UNKNOWN = "und"
 #: Texts whose vectors are dense at a time.
-ROWS = 128
+ROWS = 12
 
 _SPACE = np.uint64(32)
 
