@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, hash_forest, jaccard_join, language, licenses, line_dedup, pii, secrets, token_counts
+from . import bpe, byte_bpe, decontaminate, hash_forest, jaccard_join, language, licenses, line_dedup, pii, secrets, token_counts
 
 VOCABULARY = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("version")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest_texts(table(spark, sf_dir, "documents"), RANKS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_license_scan": op9_license_scan,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_byte_bpe": op11_byte_bpe,
     }
 
 
