@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, byte_bpe, decontaminate, hash_forest, jaccard_join, language, licenses, line_dedup, pii, secrets, token_counts
+from . import bpe, byte_bpe, decontaminate, hard_negatives, hash_forest, jaccard_join, language, licenses, line_dedup, pii, prefix_trie, secrets, token_counts
 
 VOCABULARY = "word_bpe_49k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -63,6 +63,15 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_texts(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, h = prefix_trie.rule()
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), base=base, h=h)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, hard_negatives.relabelled())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -76,6 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": op9_license_scan,
         "op10_jaccard_join": op10_jaccard_join,
         "op11_byte_bpe": op11_byte_bpe,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -85,4 +96,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_secret_scan": secrets.oracle(),
         "op9_license_scan": licenses.oracle(),
         "op10_jaccard_join": jaccard_join.ORACLE,
+        "op12_prefix_trie": prefix_trie.ORACLE,
+        "op13_hard_negatives": hard_negatives.ORACLE,
     }
