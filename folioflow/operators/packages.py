@@ -49,12 +49,6 @@ def book_direction(packages: DataFrame) -> DataFrame:
     return L.book_direction(packages)
 
 
-@query("toc_rows", "pages", sql=f"WITH {structure.NAV_SQL} SELECT page_id, pos, file, title, level FROM items")
-def toc_rows(pages: DataFrame) -> DataFrame:
-    """Whole rows of the tables of contents in HTML texts."""
-    return structure.toc(pages)
-
-
 def count_lines(text: str) -> tuple[str, int, int]:
     """A stand-in for a model: (lines, characters read, characters written)."""
     lines = str(text.count("\n") + 1)

@@ -1,4 +1,4 @@
-"""Structure of books: sections, tables of contents, pages to chapters, positions.
+"""Structure of books: sections, pages to chapters, positions.
 
 The as-of joins are unions of both sides with a running last value over one sort, not inequality joins.
 """
@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import text as T
 from ..plans.registry import query
 
-TAGS = r"<ul[^>]*>|</ul>|<a [^>]*href=\"[^\"]*\"[^>]*>[^<]*</a>"
-
-
 @query("scan_sections", "v_sections", sql="SELECT book, file, min(start_page) AS start_page FROM v_sections GROUP BY book, file")
 def scan_sections(sections: DataFrame) -> DataFrame:
     """One row for each file of a book: the one that begins first."""
@@ -98,62 +95,6 @@ def remap(positions: DataFrame, spans: DataFrame, total: int) -> DataFrame:
     return found.select("page_key", F.coalesce(inside, F.round(F.col("book_ratio") * (total - 1)).cast("long")).cast("long").alias("new_page"))
 
 
-NAV_SQL = r"""tags AS (SELECT page_id, unnest(list_zip(t, range(1, len(t) + 1))) AS z FROM (SELECT page_id, regexp_extract_all(html, '<ul[^>]*>|</ul>|<a [^>]*href="[^"]*"[^>]*>[^<]*</a>') AS t FROM pages)),
-toc AS (SELECT page_id, pos, tag, sum(CASE WHEN tag LIKE '<ul%' THEN 1 WHEN tag = '</ul>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM (SELECT page_id, z[1] AS tag, z[2] AS pos FROM tags)),
-items AS (SELECT page_id, CAST(pos AS BIGINT) AS pos, regexp_extract(tag, 'href="([^"]*)"', 1) AS file, regexp_extract(tag, '>([^<]*)</a>', 1) AS title, CAST(greatest(depth, 1) AS BIGINT) AS level FROM toc WHERE tag LIKE '<a %')"""
-
-
-def toc(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, file, title, level) of every link of an HTML text, in document order; level: lists open around it."""
-    tags = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0))).alias("pos", "tag"))
-    step = F.when(F.col("tag").startswith("<ul"), 1).when(F.col("tag") == "</ul>", -1).otherwise(0)
-    depth = F.sum(step).over(W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    return (
-        tags.withColumn("depth", depth)
-        .where(F.col("tag").startswith("<a "))
-        .select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), F.regexp_extract("tag", 'href="([^"]*)"', 1).alias("file"), F.regexp_extract("tag", ">([^<]*)</a>", 1).alias("title"), F.greatest("depth", F.lit(1)).cast("long").alias("level"))
-    )
-
-
-@query("extract_toc", "pages", sql=f"WITH {NAV_SQL} SELECT page_id, pos, file, title FROM items")
-def extract_toc(pages: DataFrame) -> DataFrame:
-    return toc(pages).select("page_id", "pos", "file", "title")
-
-
-@query("toc_levels", "pages", sql=f"WITH {NAV_SQL} SELECT page_id, pos, level FROM items")
-def toc_levels(pages: DataFrame) -> DataFrame:
-    return toc(pages).select("page_id", "pos", "level")
-
-
-@query("toc_dedupe", "pages", sql=f"WITH {NAV_SQL} SELECT page_id, pos, file, first_value(pos) OVER (PARTITION BY page_id, file ORDER BY pos) AS first_pos FROM items")
-def toc_dedupe(pages: DataFrame) -> DataFrame:
-    """The first entry of each file stands for all of them."""
-    return toc(pages).select("page_id", "pos", "file", F.first("pos").over(W.partitionBy("page_id", "file").orderBy("pos")).alias("first_pos"))
-
-
-def toc_parents(items: DataFrame, deepest: int = 6) -> DataFrame:
-    """``items`` with ``parent``: the last entry one level up that no entry of a higher level came after."""
-    out, before = items, W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    last = {n: F.last(F.when(F.col("level") == n, F.col("pos")), ignorenulls=True).over(before) for n in range(1, deepest)}
-    barrier = {n: F.last(F.when(F.col("level") < n, F.col("pos")), ignorenulls=True).over(before) for n in range(1, deepest)}
-    parent = F.lit(None).cast("long")
-    for n in range(1, deepest):
-        open_ = F.when(last[n] > F.coalesce(barrier[n], F.lit(-1)), last[n])
-        parent = F.when(F.col("level") == n + 1, open_).otherwise(parent)
-    return out.withColumn("parent", parent)
-
-
-@query(
-    "chapter_numbers",
-    "pages",
-    sql=f"WITH {NAV_SQL} SELECT page_id, pos, CAST(sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) - 1 AS BIGINT) AS chapter FROM items",
-)
-def chapter_numbers(pages: DataFrame) -> DataFrame:
-    """The number of entries without a parent up to this one, from 0."""
-    top = F.sum(F.when(F.col("parent").isNull(), 1).otherwise(0)).over(W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)) - 1
-    return toc_parents(toc(pages)).select("page_id", "pos", top.alias("chapter"))
-
-
 @query("changed_pages", "v_pages", "v_page_state", sql="SELECT p.page_key, p.book, p.page FROM v_pages p LEFT JOIN v_page_state s ON p.book = s.book AND p.page = s.page WHERE s.mtime IS NULL OR p.page_key > s.mtime")
 def changed_pages(pages: DataFrame, state: DataFrame) -> DataFrame:
     """Pages that changed since they were recorded, or never were; in the view, the key is the time."""
@@ -194,12 +135,3 @@ def mineable_docs(library: DataFrame, pages: DataFrame) -> DataFrame:
 @query("plain_text", "pages", sql=r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS plain FROM pages""")
 def plain_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", T.plain_text(F.col("html")).alias("plain"))
-
-
-@query(
-    "toc_parent",
-    "pages",
-    sql=f"""WITH {NAV_SQL} SELECT page_id, pos, (SELECT max(p.pos) FROM items p WHERE p.page_id = i.page_id AND p.pos < i.pos AND p.level = i.level - 1 AND NOT EXISTS (SELECT 1 FROM items q WHERE q.page_id = i.page_id AND q.pos > p.pos AND q.pos < i.pos AND q.level < i.level - 1)) AS parent FROM items i""",
-)
-def toc_parent(pages: DataFrame) -> DataFrame:
-    return toc_parents(toc(pages)).select("page_id", "pos", "parent")

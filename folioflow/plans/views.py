@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+_NEST = "".join(f'<ol><li><a href="../text/s{n}%20.xhtml#p{n}">S&amp;{n}</a>' for n in range(12))
+_POINTS = "".join(f'<navPoint id="n{n}"><navLabel><text>Part {n} &lt;b&gt;</text></navLabel><content src="text/s{n}.xhtml#p"/>' for n in range(12))
+
 VIEWS = {
+    # the lists of a page with attributes, labels without link, the same file again, twelve levels and closing tags too many; or navigation points
+    "v_contents": f"""SELECT page_id, CASE WHEN page_id%3=2 THEN 'ncx' ELSE 'nav' END AS kind, CASE WHEN page_id%3=2 THEN concat('<navMap></navPoint>', '{_POINTS}', repeat('</navPoint>', CAST(page_id%12 AS INT)), '<navPoint><content src="first.xhtml"/><navLabel><text xml:lang="zh">After <i>all</i> ', CAST(page_id AS VARCHAR(18)), '</text></navLabel>',
+ '<navPoint><navLabel><text>Below</text></navLabel><content src="b.xhtml"/></navPoint></navPoint>', repeat('</navPoint>', 14), '<NAVPOINT><navLabel><text>Last</text></navLabel><content src="s', CAST(page_id%12 AS VARCHAR(18)), '.xhtml"/><navPoint><navLabel><text>Again</text></navLabel><content src="z.xhtml"/></navPoint></NAVPOINT></navMap>')
+ ELSE concat('</ol>', replace(replace(html, '<ul>', CASE WHEN page_id%2=0 THEN '<OL class="x">' ELSE '<ol>' END), '</ul>', '</ol >'), '<ol><li><a class="x" href="pre', CAST(page_id%4 AS VARCHAR(18)), '.xhtml">Pre <b>face</b></a></li><li><span>Group</span>', '{_NEST}', repeat('</li></ol>', CAST(page_id%12 AS INT)),
+ '<li><a href="s', CAST(page_id%13 AS VARCHAR(18)), '%20.xhtml#again">Again</a><ol><li><a href="below.xhtml">Below</a></li></ol></li>', repeat('</li></ol>', 14), '<ol><ol><li><a href="loose.xhtml">Loose</a></li></ol></ol><a href="out.xhtml">Out</a><a href="#only">nothing</a><a href="t.xhtml"><img/></a>') END AS contents FROM pages""",
     "v_strokes": """SELECT CAST(floor(l_orderkey/8.0) AS BIGINT) AS page, l_orderkey*100+l_linenumber AS stroke_no,
  CASE WHEN min(l_returnflag)='A' THEN 'highlighter' ELSE 'ballpoint' END AS tool,
  CAST(min(l_quantity) AS BIGINT) AS n_points,

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _left: dict[str, SparkSession] = {}
+#: The folders of applications on one machine that have no setting.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,11 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="spark-folio-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        application = spark.sparkContext.applicationId
+        where = _own[application] = _own.get(application) or tempfile.mkdtemp(prefix="spark-folio-")
     return where.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody has; what is written there goes when the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left[path] = spark
+    return path
+
+
 def files(spark: SparkSession, path: str):
     """The file system of a path, and the path for it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -70,8 +79,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 
 def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _left[path] = spark
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators import ledger, lifecycle, mining, skew, structure
+from folioflow.operators import ledger, lifecycle, mining, skew
 from folioflow.operators.graph import components
 
 
@@ -112,12 +112,6 @@ def test_lockout_fold(spark):
     assert got == {"10.0.0.1": [40, 61], "10.0.0.2": []}
 
 
-def test_toc_parents(spark):
-    rows = [("b", 1, 1), ("b", 2, 2), ("b", 3, 3), ("b", 4, 2), ("b", 5, 1), ("b", 6, 3), ("b", 7, 2)]
-    got = structure.toc_parents(spark.createDataFrame(rows, "page_id string, pos long, level long")).orderBy("pos").collect()
-    assert [r.parent for r in got] == [None, 1, 2, 1, None, None, 5]
-
-
 def test_commands(spark):
     entry = spark.createDataFrame([(1,)], "id long").select("id", F.expr(f"CAST(struct('mined', NULL, 'body', array(), NULL, NULL, 'both', true, NULL, 0, NULL, 0, 0) AS {lifecycle.STATE})").alias("state"))
     log = [("request", None), ("draft", "- first"), ("draft", "## second"), ("edit", "1. mine "), ("draft", "# third"), ("remembered", None), ("skip", None), ("edit", "no"), ("restore", None), ("edit", " "), ("revoke", None), ("revive", None), ("fly", None)]
