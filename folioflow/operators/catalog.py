@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import entries as E, text as T
 from ..plans.registry import query
+from ..store import Steps
 from . import lifecycle, mining, structure
 
 
@@ -158,12 +159,8 @@ def provider_of_urls(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", T.provider_of_url(F.concat(site, F.when(F.col("page_id") % 2 == 0, "//").otherwise("")), table).alias("provider"))
 
 
-def scan_to_claims(strokes: DataFrame, highlights: DataFrame, stored: DataFrame, pages: DataFrame, state: DataFrame) -> DataFrame:
-    """Changed pages of a scan, mined and held against the stored entries: the batch that ``ingest_stream`` runs.
-
-    strokes and highlights carry ``page``; pages (page_key, book, page) are the scanned ones and state what was recorded.
-    """
-    changed = structure.changed_pages(pages, state).select("book", "page").distinct()
+def scan_drafts(strokes: DataFrame, highlights: DataFrame, changed: DataFrame) -> DataFrame:
+    """The drafts (book, page, pos, ink_hash, strokes, quote_id) that a scan finds on the changed pages (book, page)."""
     own = strokes.join(changed.select("page"), "page", "left_semi")
     inked = lifecycle.inked_drafts(own)
     paired = mining.pair_nearest(own, highlights)
@@ -171,7 +168,23 @@ def scan_to_claims(strokes: DataFrame, highlights: DataFrame, stored: DataFrame,
     drafts = drafts.select("book", "page", F.col("cluster").alias("pos"), "ink_hash", "strokes", F.col("hl_no").cast("string").alias("quote_id"))
     left = highlights.join(changed, "page").join(paired.where("hl_no IS NOT NULL").select("page", "hl_no"), ["page", "hl_no"], "left_anti")
     bare = left.select("book", "page", (F.lit(1 << 60) + F.col("hl_no")).alias("pos"), F.lit(None).cast("string").alias("ink_hash"), F.lit(None).cast("array<string>").alias("strokes"), F.col("hl_no").cast("string").alias("quote_id"))
-    return lifecycle.merge_claim(drafts.unionByName(bare), stored)
+    return drafts.unionByName(bare)
+
+
+def scan_to_claims(strokes: DataFrame, highlights: DataFrame, stored: DataFrame, pages: DataFrame, state: DataFrame) -> DataFrame:
+    """Changed pages of a scan, mined and held against the stored entries.
+
+    strokes and highlights carry ``page``; pages (page_key, book, page) are the scanned ones and state what was recorded.
+    """
+    changed = structure.changed_pages(pages, state).select("book", "page").distinct()
+    return lifecycle.merge_claim(scan_drafts(strokes, highlights, changed), stored)
+
+
+def ingest(strokes: DataFrame, highlights: DataFrame, stored: DataFrame, changed: DataFrame, steps: Steps) -> DataFrame:
+    """The entries (book, page, id, seq, status, ink_hash, strokes, quote_id) that a scan of the changed pages adds or changes."""
+    drafts = steps.cut(scan_drafts(strokes, highlights, changed), "drafts")
+    claims = steps.cut(lifecycle.merge_claim(drafts, stored), "claims")
+    return lifecycle.apply_claims(claims, drafts, stored)
 
 
 def active(entries: DataFrame) -> DataFrame:

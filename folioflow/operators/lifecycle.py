@@ -84,11 +84,8 @@ def state_of(entries: DataFrame) -> DataFrame:
     return entries.select("id", state.cast(STATE).alias("state"))
 
 
-@query(
-    "apply_commands",
-    "v_entries",
-    "v_commands",
-    sql="""WITH RECURSIVE c AS (SELECT entry, cmd, seq, row_number() OVER (PARTITION BY entry ORDER BY seq) AS n FROM v_commands),
+#: The fold command by command: DuckDB SQL over v_commands.
+COMMANDS_SQL = """WITH RECURSIVE c AS (SELECT entry, cmd, seq, row_number() OVER (PARTITION BY entry ORDER BY seq) AS n FROM v_commands),
 r AS (SELECT id, CAST(0 AS BIGINT) AS n, status, text, CAST(CASE WHEN draft0 IS NULL THEN 0 ELSE 1 END AS BIGINT) AS drafts, quote, updated, CAST(0 AS BIGINT) AS rejected FROM v_entries
  UNION ALL SELECT r.id, r.n + 1, CASE WHEN c.cmd IN ('request','skip','archive') THEN CASE WHEN r.status IN ('skipped','revoked','archived') THEN r.status WHEN c.cmd = 'skip' THEN 'skipped' WHEN c.cmd = 'archive' THEN 'archived'
   WHEN r.text IS NOT NULL OR (r.id % 2 = 1 AND r.quote IS NOT NULL) THEN 'reviewed' WHEN r.id % 2 = 0 AND r.drafts > 0 THEN 'draft' ELSE 'pending' END
@@ -100,8 +97,10 @@ r AS (SELECT id, CAST(0 AS BIGINT) AS n, status, text, CAST(CASE WHEN draft0 IS
   WHEN r.status <> CASE WHEN c.cmd = 'skip' THEN 'skipped' WHEN c.cmd = 'archive' THEN 'archived' WHEN r.text IS NOT NULL OR (r.id % 2 = 1 AND r.quote IS NOT NULL) THEN 'reviewed' WHEN r.id % 2 = 0 AND r.drafts > 0 THEN 'draft' ELSE 'pending' END THEN 1704067200 + c.seq ELSE r.updated END,
  r.rejected + CASE WHEN c.cmd = 'restore' THEN CASE WHEN r.status IN ('skipped','revoked','archived') THEN 0 ELSE 1 END WHEN r.status IN ('skipped','revoked','archived') AND r.status <> CASE c.cmd WHEN 'skip' THEN 'skipped' WHEN 'archive' THEN 'archived' ELSE '' END THEN 1 ELSE 0 END
  FROM r JOIN c ON c.entry = r.id AND c.n = r.n + 1)
-SELECT id, status, text, drafts, updated, rejected FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS last FROM r) WHERE last = 1""",
-)
+SELECT id, status, text, drafts, updated, rejected FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS last FROM r) WHERE last = 1"""
+
+
+@query("apply_commands", "v_entries", "v_commands", sql=COMMANDS_SQL)
 def commands_applied(entries: DataFrame, commands: DataFrame) -> DataFrame:
     log = commands.select(F.col("entry").alias("id"), "seq", "cmd", F.concat(F.lit("draft "), F.col("seq").cast("string")).alias("arg"), (F.col("seq") + 1704067200).alias("at"))
     s = F.col("state")
@@ -242,6 +241,20 @@ def merge_scan(strokes: DataFrame) -> DataFrame:
     return merge_claim(drafts, stored)
 
 
+def apply_claims(claims: DataFrame, drafts: DataFrame, stored: DataFrame) -> DataFrame:
+    """What the claims of a scan make of the entries: added and changed ones take the draft's ink and quote, revived ones are mined
+    again, and revoked ones keep what they had. Unchanged entries aren't among them."""
+    shown = ["book", "page", "id", "seq", "status", "ink_hash", "strokes", "quote_id"]
+    found = drafts.join(claims.where("pos IS NOT NULL AND outcome <> 'unchanged'").withColumnRenamed("id", "of"), ["book", "page", "pos"])
+    seeds = drafts.select("book", "page", "pos", F.coalesce("ink_hash", "quote_id").alias("seed"))
+    ids = new_ids(claims.drop("id"), seeds)
+    added = found.where("outcome = 'added'").join(ids, ["book", "page", "pos"]).select("*", F.col("pos").alias("seq"), F.lit("mined").alias("status")).select(*shown)
+    known = stored.select("book", "page", F.col("id").alias("of"), "seq", F.col("status").alias("before"))
+    taken = found.where("outcome <> 'added'").join(known, ["book", "page", "of"]).withColumns({"id": F.col("of"), "status": F.when(F.col("outcome") == "revived", "mined").otherwise(F.col("before"))}).select(*shown)
+    revoked = stored.join(claims.where("outcome = 'revoked'").select("book", "page", "id"), ["book", "page", "id"], "left_semi").withColumn("status", F.lit("revoked")).select(*shown)
+    return added.unionByName(taken).unionByName(revoked)
+
+
 OUTCOMES = ("added", "changed", "unchanged", "revoked", "revived")
 
 

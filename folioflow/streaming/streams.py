@@ -11,9 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.catalog import ingest
 from ..operators.ledger import bursts
+from ..operators.lifecycle import apply_commands
 from ..operators.shelf import tag_events
-from ..store import cut
+from ..store import Steps, cut
+from . import timed
+from .upserts import Upserts
 
 
 def debounce(changes: DataFrame, quiet: str = "4 seconds", late: str = "10 seconds") -> DataFrame:
@@ -29,14 +33,36 @@ def tag_stream(*services: DataFrame) -> DataFrame:
     return tag_events(out)
 
 
-def coalesced_wakeups(changes: DataFrame, within: str = "5 seconds") -> DataFrame:
-    """One row for many changes of one area (user_id, at) within a time."""
-    return changes.withWatermark("at", within).dropDuplicatesWithinWatermark(["user_id"]).select("user_id", "at")
+USAGE = "model string, calls long, ok long, failed long, prompt_tokens long, completion_tokens long, last_call long"
 
 
 def usage_stream(calls: DataFrame) -> DataFrame:
-    """Running totals of each model; write in update mode."""
-    return calls.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+    """Running totals of each model from calls (model, called, ok, prompt_tokens, completion_tokens); a failed call counts, its tokens don't.
+    In update mode a micro-batch gives the models that it changes, with their totals: rows for ``Upserts``."""
+    tokens = lambda c: F.coalesce(F.sum(F.when(F.col("ok"), F.col(c))), F.lit(0)).alias(c)
+    return calls.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), tokens("prompt_tokens"), tokens("completion_tokens"), F.max("called").alias("last_call"))
+
+
+def apply_command_stream(commands: DataFrame, entries: Upserts, late: Upserts, checkpoint: str, wait: str = "10 seconds"):
+    """Start a query that applies commands (id, at as a time, seq, cmd, arg, done_at) to the entries (id, state) of a table.
+
+    A command waits until the watermark has passed it, so commands are applied in the order of their time, whatever order they
+    come in; the fold itself is the batch operator's, over the entries that a micro-batch touches. One that comes when the
+    watermark has passed it goes to ``late`` (seq, id, cmd), none is dropped. Both tables take a batch by its number: one that
+    runs twice starts from the entries before it and writes the same again.
+    """
+    spark = commands.sparkSession
+
+    def apply(batch: DataFrame, n: int) -> None:
+        with Steps(spark) as steps:
+            own = steps.cut(batch, "commands")
+            late.merge(own.where("late"), n)
+            due = own.where("NOT late")
+            touched = entries.read(before=n).join(due.select("id").distinct(), "id", "left_semi")
+            place = F.row_number().over(W.partitionBy("id").orderBy("given", "seq")).cast("long").alias("seq")
+            entries.merge(apply_commands(touched, due.select("id", place, "cmd", "arg", "at")), n)
+
+    return timed.ordered_commands(commands, wait).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def await_render(delivered: DataFrame, rendered: DataFrame, seconds: int = 600, late: str = "10 minutes") -> DataFrame:
@@ -65,34 +91,6 @@ def _times(seconds: list[float]) -> pd.Series:
     return pd.to_datetime(pd.Series([round(s * 1e6) for s in seconds], dtype="int64"), unit="us")
 
 
-class Lockout(StatefulProcessor):
-    """Failures and successes of a source to the moments at which it is locked."""
-
-    def __init__(self, limit: int = 5, seconds: int = 60, ttl_ms: int | None = None):
-        self.limit, self.seconds, self.ttl_ms = limit, seconds, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "at double", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        recent = [x[0] for x in self.recent.get()] if self.recent.exists() else []
-        locks = []
-        for at, ok in sorted((_seconds(r.at), r.ok) for batch in rows for r in batch.itertuples()):
-            recent = [] if ok else [x for x in recent if x > at - self.seconds]
-            if not ok and len(recent) < self.limit:
-                recent.append(at)
-                if len(recent) == self.limit:
-                    locks.append(at)
-        if recent:
-            self.recent.put([(x,) for x in recent])
-        else:
-            self.recent.clear()
-        yield pd.DataFrame({"ip": pd.Series([key[0]] * len(locks), dtype=object), "locked_at": _times(locks)})
-
-    def close(self) -> None:
-        pass
-
-
 class BoundedLockout(StatefulProcessor):
     """The same for all sources of a shard, of which it remembers ``cap`` at most. A new source takes the place of one whose
     failures have all expired, or else of the one that failed least lately, unlocked sources before locked ones: so nobody
@@ -128,43 +126,10 @@ class BoundedLockout(StatefulProcessor):
         pass
 
 
-def lockout_stream(attempts: DataFrame, limit: int = 5, seconds: int = 60, ttl_ms: int | None = None, cap: int | None = None, shards: int = 64) -> DataFrame:
-    """(ip, at, ok) to (ip, locked_at). With ``ttl_ms``, state that nothing touched for that time goes by itself (only in
-    streams that run on: a stream of what is available now has no end then). With ``cap``, each of ``shards`` parts of the
-    sources remembers its share of so many."""
-    locked = "ip string, locked_at timestamp"
-    if cap:
-        own = attempts.withColumn("shard", F.pmod(F.xxhash64("ip"), F.lit(shards)).cast("int"))
-        return own.groupBy("shard").transformWithStateInPandas(BoundedLockout(-(-cap // shards), limit, seconds), locked, "Append", "None")
-    return attempts.groupBy("ip").transformWithStateInPandas(Lockout(limit, seconds, ttl_ms), locked, "Append", "ProcessingTime" if ttl_ms else "None")
-
-
-class Retry(StatefulProcessor):
-    """Pending work to at most one hand-out a quiet time, and a failure after the last."""
-
-    def __init__(self, quiet: int = 15, most: int = 5):
-        self.quiet, self.most = quiet, most
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tries = handle.getValueState("tries", "n int, at double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, last = self.tries.get() if self.tries.exists() else (0, float("-inf"))
-        out = []
-        for at in sorted(_seconds(r.at) for batch in rows for r in batch.itertuples()):
-            if n <= self.most and at - last >= self.quiet:
-                n, last = n + 1, at
-                out.append("hand" if n <= self.most else "give_up")
-        self.tries.update((n, last))
-        yield pd.DataFrame({"item": pd.Series([key[0]] * len(out), dtype=object), "action": pd.Series(out, dtype=object)})
-
-    def close(self) -> None:
-        pass
-
-
-def retry_escalation(asks: DataFrame, quiet: int = 15, most: int = 5) -> DataFrame:
-    """(item, at) to (item, action): hand or give_up."""
-    return asks.groupBy("item").transformWithStateInPandas(Retry(quiet, most), "item string, action string", "Append", "None")
+def bounded_lockout_stream(attempts: DataFrame, cap: int, limit: int = 5, seconds: int = 60, shards: int = 64) -> DataFrame:
+    """(ip, at, ok) to (ip, locked_at), with a bound on the sources that are remembered: each of ``shards`` parts has its share."""
+    own = attempts.withColumn("shard", F.pmod(F.xxhash64("ip"), F.lit(shards)).cast("int"))
+    return own.groupBy("shard").transformWithStateInPandas(BoundedLockout(-(-cap // shards), limit, seconds), "ip string, locked_at timestamp", "Append", "None")
 
 
 class Gate(StatefulProcessor):
@@ -240,8 +205,21 @@ def kept_failures(failed: DataFrame, most_bytes: int = 50 * 1024 * 1024) -> Data
     return own.join(F.broadcast(before), "_day").withColumn("_held", within + F.col("_newer")).where(F.col("_held") <= most_bytes).select("path", "modified", "length", "reason")
 
 
-def ingest_stream(changes: DataFrame, run, checkpoint: str):
-    """Start ``run(pages, batch_id)`` on every micro-batch of changed pages (page_key, book, page), distinct by page: the
-    batch operators do the work, and since a merge of the same scan changes nothing, a batch may run twice."""
-    once = lambda batch, n: run(batch.groupBy("book", "page").agg(F.max("page_key").alias("page_key")), n)
-    return changes.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+ENTRY = "book string, page long, id string, seq long, status string, ink_hash string, strokes array<string>, quote_id string"
+
+
+def ingest_stream(changes: DataFrame, entries: Upserts, scan: Callable[[int], DataFrame], highlights: DataFrame, checkpoint: str):
+    """Start a query that mines the changed pages (page_key, book, page) of every micro-batch and merges them into the entries of a table.
+
+    ``scan(n)`` gives the strokes as batch ``n`` finds them. The batch is merged into the entries as they were before it and is written
+    under its number, so one that runs twice changes nothing.
+    """
+    spark = changes.sparkSession
+
+    def merge(batch: DataFrame, n: int) -> None:
+        with Steps(spark) as steps:
+            pages = steps.cut(batch.select("book", "page").distinct(), "pages")
+            stored = steps.cut(entries.read(before=n).join(pages, ["book", "page"], "left_semi"), "stored")
+            entries.merge(ingest(scan(n), highlights, stored, pages, steps), n)
+
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

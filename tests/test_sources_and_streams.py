@@ -127,10 +127,7 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     assert {(r.user_id, r.first_at, r.changes, r.names) for r in got} == {(r.user_id, r.window.start, r.changes, r.names) for r in batch} and len(got) == 3
 
 
-def test_usage_and_tags(spark, tmp_path):
-    schema = "model string, prompt_tokens long, completion_tokens long"
-    got = drain(S.usage_stream(stream(spark, str(tmp_path / "u"), [("m", 1, 2), ("m", 3, 4), ("n", 5, 6)], schema)), "usage", tmp_path, "complete")
-    assert {tuple(r) for r in got} == {("m", 2, 4, 6), ("n", 1, 5, 6)}
+def test_tags(spark, tmp_path):
     schema = "event_id long, event_type string"
     a, b = (stream(spark, str(tmp_path / x), [(i, t)], schema) for i, x, t in ((1, "t1", "click"), (2, "t2", "odd")))
     assert {(r.event_id, r.svc) for r in drain(S.tag_stream(a, b), "tagged", tmp_path)} == {(1, "ink"), (2, "other")}
@@ -143,19 +140,7 @@ def test_await_render(spark, tmp_path):
     assert got == {("a", "ok"), ("b", "timeout"), ("z", "ok")}
 
 
-def test_wakeups(spark, tmp_path):
-    got = drain(S.coalesced_wakeups(stream(spark, str(tmp_path / "w"), [(1, at(0)), (1, at(1)), (2, at(1))], "user_id long, at timestamp")), "woken", tmp_path)
-    assert sorted(r.user_id for r in got) == [1, 2]
-
-
-def test_state_machines(spark, tmp_path):
-    schema = "ip string, at timestamp, ok boolean"
-    rows = [("x", at(t), False) for t in (0, 10, 20, 30, 40, 45)] + [("y", at(t), t == 20) for t in (0, 10, 15, 20, 30, 40)]
-    got = drain(S.lockout_stream(stream(spark, str(tmp_path / "f"), rows, schema)), "locks", tmp_path)
-    assert [(r.ip, r.locked_at) for r in got] == [("x", at(40))]
-    asks = stream(spark, str(tmp_path / "q"), [("i", at(t)) for t in range(0, 120, 10)], "item string, at timestamp")
-    got = drain(S.retry_escalation(asks, quiet=15, most=3), "retries", tmp_path)
-    assert [r.action for r in got] == ["hand", "hand", "hand", "give_up"]
+def test_gate(spark, tmp_path):
     checks = stream(spark, str(tmp_path / "g"), [("u", at(3600 * h), h % 2) for h in range(0, 50)], "user string, at timestamp, due int")
     assert [r.fired_at for r in drain(S.auto_review_gate(checks), "fired", tmp_path)] == [at(3600 * h) for h in (1, 21, 41)]
 
@@ -185,7 +170,7 @@ def test_names_claims_and_choices(spark):
     assert {r.book: r.cover for r in C.cover_choice(items, images).collect()} == {"b": "d.png", "c": "first.png"}
 
 
-def test_ingest_stream_and_claims(spark, tmp_path):
+def test_scan_and_claims(spark, tmp_path):
     from folioflow.operators import catalog as C
 
     box = "page long, stroke_no long, tool string, n_points long, x0 double, y0 double, x1 double, y1 double"
@@ -193,14 +178,9 @@ def test_ingest_stream_and_claims(spark, tmp_path):
     marks = spark.createDataFrame([(1, 7, 0.0, 20.0, 9.0, 30.0), (1, 8, 900.0, 900.0, 910.0, 910.0)], "page long, hl_no long, x0 double, y0 double, x1 double, y1 double")
     stored = spark.createDataFrame([], "book string, page long, seq long, id string, status string, ink_hash string, strokes array<string>, quote_id string")
     state = spark.createDataFrame([("b", 2, 99)], "book string, page long, mtime long")
-    seen = []
-
-    def run(pages, n):
-        seen.extend((r.page, r.pos, r.outcome) for r in C.scan_to_claims(strokes, marks, stored, pages, state).collect())
-
-    changes = stream(spark, str(tmp_path / "in"), [(5, "b", 1), (6, "b", 1), (7, "b", 2)], "page_key long, book string, page long")
-    S.ingest_stream(changes, run, str(tmp_path / "cp")).awaitTermination()
-    assert sorted(seen) == [(1, 1, "added"), (1, (1 << 60) + 8, "added")]
+    pages = spark.createDataFrame([(5, "b", 1), (6, "b", 1), (7, "b", 2)], "page_key long, book string, page long")
+    got = C.scan_to_claims(strokes, marks, stored, pages, state).collect()
+    assert sorted((r.page, r.pos, r.outcome) for r in got) == [(1, 1, "added"), (1, (1 << 60) + 8, "added")]
 
 
 def test_inbox(spark, tmp_path):
@@ -240,5 +220,5 @@ def test_failures_that_are_kept(spark):
 def test_bounded_lockout(spark, tmp_path):
     fail = lambda ip, *t: [(ip, at(x), False) for x in t]
     rows = [*fail("a", 0, 1), *fail("b", 2, 3, 4), *fail("c", 5), *fail("d", 6), *fail("a", 7, 8, 9)]  # b is locked; c and then a lose their place
-    got = drain(S.lockout_stream(stream(spark, str(tmp_path / "f"), rows, "ip string, at timestamp, ok boolean"), limit=3, cap=2, shards=1), "bounded", tmp_path)
+    got = drain(S.bounded_lockout_stream(stream(spark, str(tmp_path / "f"), rows, "ip string, at timestamp, ok boolean"), cap=2, limit=3, shards=1), "bounded", tmp_path)
     assert sorted((r.ip, r.locked_at) for r in got) == [("a", at(9)), ("b", at(4))]
