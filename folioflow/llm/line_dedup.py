@@ -3,10 +3,9 @@
 Each document is the sequence of the hashes of its lines. A run is a block of lines with at least ``MIN_WORDS`` words that
 has fewer without its last line, or without its first: so long a run is rare unless it is copied, and runs stand for rare
 lines here, as a rare line may be too short to matter and a copied passage is rarely one line. A document that has a run of an
-earlier document (by key) is paired with the first document that has that run. The two line sequences are aligned by
-patience diff (common ends, then lines that are unique in both, their longest increasing sequence, and the same between
-them), and aligned blocks of at least ``MIN_WORDS`` words are deleted from the later one. Runs that the two share but the
-alignment, which keeps the order, has left are deleted as well.
+earlier document (by key) is paired with the first document that has that run. The pair is aligned by patience diff over the
+blocks of lines that their shared runs make up: a first alignment that keeps the order of both sides, then one of what it has left,
+until every block is aligned, also those that stand in another order. Aligned blocks are deleted from the later document.
 
 That is as good as aligning with every earlier document. Let a block of enough words be common to this document and some
 earlier one. Each of its lines is in a run that lies in the block: the shortest one that ends with the line if what is before
@@ -24,8 +23,7 @@ interrupt a block; other columns are kept, but for ``n_lines``, ``n_removed`` an
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +35,6 @@ from ..operators.skew import ROWS_PER_PART, spread_join
 from ..store import Steps, cut
 
 MIN_WORDS = 25
-#: How often the alignment goes on between the lines that it has aligned; what is left then is found by its runs.
-MAX_DEPTH = 32
 
 
 def runs(words: list[int], least: int) -> list[tuple[int, int]]:
@@ -69,90 +65,62 @@ def run_hashes(hashes: list[int], ranges: list[tuple[int, int]]) -> list[int]:
     return [hashes[i] if j == i + 1 else xxhash.xxh3_64_intdigest(lines[i:j].tobytes()) - (1 << 63) for i, j in ranges]
 
 
-def anchors(a: list[int], b: list[int], low: tuple[int, int], high: tuple[int, int]) -> list[tuple[int, int]]:
-    """The longest sequence, increasing in both, of lines that occur once in a[low:high] and once in b[low:high]; of first
-    occurrences where no line does."""
-    times_a, times_b = Counter(a[low[0] : high[0]]), Counter(b[low[1] : high[1]])
-    common = {x for x in times_b if x in times_a}
-    unique = {x for x in common if times_a[x] == 1 and times_b[x] == 1} or common
-    place: dict[int, int] = {}
-    for i in range(low[0], high[0]):
-        if a[i] in unique:
-            place.setdefault(a[i], i)
-    pairs = []
-    for j in range(low[1], high[1]):
-        if (i := place.pop(b[j], -1)) >= 0:
-            pairs.append((i, j))
-    tails: list[int] = []
-    last: list[int] = []
-    back = [-1] * len(pairs)
-    for p, (i, _) in enumerate(pairs):
-        k = bisect_left(tails, i)
-        back[p] = last[k - 1] if k else -1
-        tails[k : k + 1], last[k : k + 1] = [i], [p]
-    chain, p = [], last[-1] if last else -1
-    while p >= 0:
-        chain.append(pairs[p])
-        p = back[p]
-    return chain[::-1]
-
-
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places (of a, of b), increasing in both."""
-    out, todo = [], [((0, 0), (len(a), len(b)), 0)]
-    while todo:
-        (i, j), (m, n), depth = todo.pop()
-        while i < m and j < n and a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        while i < m and j < n and a[m - 1] == b[n - 1]:
-            m, n = m - 1, n - 1
-            out.append((m, n))
-        if i < m and j < n and depth < MAX_DEPTH:
-            chain = anchors(a, b, (i, j), (m, n))
-            if chain:
-                for x, y in zip([(i, j), *chain], [*chain, (m, n)]):
-                    todo.append((x, y, depth + 1))
-    return sorted(out)
-
-
-def blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
-    """Ranges of b (end exclusive) that align with a and have at least ``least`` words; and what else of b is in runs that a
-    has too. ``words`` are those of b's lines."""
-    matched, out, n = patience(a, b), [], 0
-    left = [True] * len(b)
-    while n < len(matched):
-        m = n + 1
-        while m < len(matched) and matched[m] == (matched[m - 1][0] + 1, matched[m - 1][1] + 1):
-            m += 1
-        first, end = matched[n][1], matched[m - 1][1] + 1
-        if sum(words[first:end]) >= least:
-            out.append((first, end))
-            left[first:end] = [False] * (end - first)
-        n = m
-    size, known, i = dict(zip(b, words)), set(), 0
+def shared_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, lines) of the blocks that both have and that hold a run, by their place in b; ``words`` are those of
+    b's lines. A run of b is sought at its first place in a, and runs that overlap alike in both are one block."""
+    size, known, i = dict(zip(b, words)), {}, 0
     while i < len(a):  # the runs of a that b can have, between lines that b hasn't
         j = i
         while j < len(a) and a[j] in size:
             j += 1
         if j > i:
-            known.update(run_hashes(a[i:j], runs([size[x] for x in a[i:j]], least)))
+            ranges = runs([size[x] for x in a[i:j]], least)
+            for (x, _), h in zip(ranges, run_hashes(a[i:j], ranges)):
+                known.setdefault(h, i + x)
         i = j + 1
     ranges = runs(words, least)
-    more = [0] * (len(b) + 1)
-    for (i, j), h in zip(ranges, run_hashes(b, ranges)):
-        if h in known:
-            more[i] += 1
-            more[j] -= 1
-    depth, begin = 0, -1
-    for j in range(len(b) + 1):
-        depth += more[j]
-        inside = j < len(b) and depth > 0 and left[j]
-        if inside and begin < 0:
-            begin = j
-        elif not inside and begin >= 0:
-            out.append((begin, j))
+    places = sorted({(known[h] - x, x, y) for (x, y), h in zip(ranges, run_hashes(b, ranges)) if h in known})
+    found: list[list[int]] = []  # (shift, first, end)
+    for shift, x, y in places:
+        if found and found[-1][0] == shift and x <= found[-1][2]:
+            found[-1][2] = max(found[-1][2], y)
+        else:
+            found.append([shift, x, y])
+    return sorted((x + shift, x, y - x) for shift, x, y in found)
+
+
+def patience(found: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Blocks dealt to piles by patience: in the order of b, each goes on the pile whose last block ends nearest before it in a, and
+    before it in b, too; a new pile begins where there is none. A pile is an alignment that keeps the order of both sides, the
+    next pile aligns what the piles before have left."""
+    piles: list[list[tuple[int, int, int]]] = []
+    ends: list[tuple[int, int]] = []  # where each pile's last block ends in a, and its pile
+    for i, j, n in sorted(found, key=lambda x: (x[1], x[0])):
+        at = bisect_right(ends, (i, len(piles))) - 1
+        if at >= 0 and piles[ends[at][1]][-1][1] + piles[ends[at][1]][-1][2] <= j:
+            pile = ends.pop(at)[1]
+        else:
+            pile = len(piles)
+            piles.append([])
+        piles[pile].append((i, j, n))
+        insort(ends, (i + n, pile))
+    return piles
+
+
+def blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
+    """Ranges of b's lines (end exclusive, none twice) that patience diff aligns with a in blocks of at least ``least`` words."""
+    out, gone = [], bytearray(len(b))
+    for alignment in patience(shared_blocks(a, b, words, least)):
+        for _, j, n in alignment:
             begin = -1
+            for k in range(j, j + n + 1):
+                fresh = k < j + n and not gone[k]
+                if fresh and begin < 0:
+                    begin = k
+                elif not fresh and begin >= 0:
+                    out.append((begin, k))
+                    begin = -1
+            gone[j : j + n] = b"\1" * n
     return sorted(out)
 
 

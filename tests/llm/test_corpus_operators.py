@@ -1,5 +1,6 @@
 """Operators across texts and vectors, against brute force on small fixtures."""
 
+import math
 import random
 import re
 import string
@@ -9,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, hash_forest, jaccard_join, line_dedup
 from folioflow.operators.graph import components
@@ -214,6 +216,27 @@ def test_patience_blocks():
     assert line_dedup.blocks(a, [7, 8], [10] * 2, 25) == [] == line_dedup.blocks(a, [], [], 25)
 
 
+def test_patience_decides(monkeypatch):
+    a, b = [*range(20)], [*range(12, 20), 50, *range(6), 51, 3, 4, 5, 6]
+    found = line_dedup.shared_blocks(a, b, [10] * len(b), 25)
+    assert found == [(0, 9, 6), (3, 16, 4), (12, 0, 8)]
+    assert line_dedup.patience(found) == [[(12, 0, 8)], [(0, 9, 6)], [(3, 16, 4)]]
+    pick = random.Random(7)
+    for _ in range(300):
+        x, y = ([pick.randrange(6) for _ in range(pick.randint(0, 40))] for _ in range(2))
+        piles = line_dedup.patience(found := line_dedup.shared_blocks(x, y, [10] * len(y), 25))
+        assert sorted(p for pile in piles for p in pile) == sorted(found)
+        for pile in piles:
+            assert all(i + n <= u and j + n <= v for (i, j, n), (u, v, _) in zip(pile, pile[1:]))
+        assert all(x[i : i + n] == y[j : j + n] for i, j, n in found)
+    whole = line_dedup.blocks(a, b, [10] * len(b), 25)
+    first = line_dedup.patience
+    monkeypatch.setattr(line_dedup, "patience", lambda f: first(f)[:1])
+    assert line_dedup.blocks(a, b, [10] * len(b), 25) == [(0, 8)] != whole
+    monkeypatch.setattr(line_dedup, "patience", lambda _: [])
+    assert line_dedup.blocks(a, b, [10] * len(b), 25) == []
+
+
 def test_blocks_of_lines_that_also_stand_alone(spark):
     a, b = [1, 90, 2, 91, 3, 92, 1, 2, 3], [1, 2, 3]
     assert line_dedup.blocks(a, b, [10] * 3, 25) == [(0, 3)]
@@ -337,3 +360,14 @@ def test_forest_ignores_other_columns(spark):
     got = hash_forest.nearest(frame, frame["vec_id"] % 50 == 0).collect()
     plain = hash_forest.nearest(frame.select("vec_id", "embedding"), frame["vec_id"] % 50 == 0).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) and len(got) == 10
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1e199]), (2, [1.0, 1.0]), (3, [1e-200, 2e-200]), (4, [5e-324, 0.0]), (5, [-1e308, 1e308]), (6, [3.0, 1e-300])]
+    got = hash_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), k=6).collect()
+    assert len(got) == 42
+    exact = lambda x: [v / max(map(abs, x)) for v in x]
+    vectors = {i: exact(x) for i, x in rows}
+    for r in got:
+        a, b = vectors[r.query_id], vectors[r.vec_id]
+        assert abs(r.score - sum(p * q for p, q in zip(a, b)) / math.hypot(*a) / math.hypot(*b)) < 1e-12
