@@ -15,7 +15,7 @@ What is scored is a share of all pairs of a query and a vector. Where vectors ar
 hash does much better: trees that agree on a longer prefix are few for neighbours at 60 degrees. README has share and recall.
 
 Edge cases: vectors that are null, empty or zero, or that hold null, NaN or infinite components take no part, nor do rows
-without a key; rows with equal key (repeated rows, too) are one row, that with the smaller vector; vectors of different length
+without a key; very large and very small components count like others; rows with equal key (repeated rows, too) are one row, that with the smaller vector; vectors of different length
 aren't compared; ties go to the smaller key; a query with fewer candidates than asked for gets all; an empty table has no
 rows; other columns, whatever their names, are ignored. There is no text here that could be long.
 """
@@ -44,8 +44,15 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, fine) & F.exists(vector, lambda x: x != 0)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two each so that the largest component is near one: exact, but for components that are too small beside it to
+    count, and no square overflows or vanishes."""
+    _, power = np.frexp(np.abs(x).max(axis=-1, keepdims=True, initial=0))
+    return np.ldexp(x, -power)
+
+
 def exact_cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Row by row, so that equal rows get equal numbers."""
+    """Row by row, so that equal rows get equal numbers. Rows are ``scaled``."""
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
@@ -94,6 +101,7 @@ class Forest:
 
 def shard_neighbours(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, gather: float) -> pd.DataFrame:
     """The k nearest of a shard for each query, by key where the cosine is equal."""
+    x, queries = scaled(x), scaled(queries)
     distinct, place = np.unique(x, axis=0, return_inverse=True)
     place = place.ravel()
     by_vector = np.lexsort((ids, place))

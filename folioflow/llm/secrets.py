@@ -34,25 +34,37 @@ COPIED_OWNERS = 3
 LIVE_CHARACTERS = 8
 
 
-def starts(matches: str, text: str) -> str:
-    """SQL: where each of the leftmost, non-overlapping matches begins (from 1), given their strings in order.
+#: Places that are gathered before they are put to the others: appending to an array copies it.
+CHUNK = 256
 
-    None of the patterns looks around, so a match's string can't stand earlier after the match before: it would have been
-    matched there.
-    """
-    step = f"locate(m, {text}, s.at)"
-    return f"CASE WHEN size({matches}) = 0 THEN array() ELSE aggregate({matches}, struct(CAST(array() AS array<int>) AS found, 1 AS at), (s, m) -> struct(concat(s.found, array({step})) AS found, {step} + length(m) AS at), s -> s.found) END"
 
+def starts(text: Column, pattern: str, matches: Column) -> Column:
+    """Where each of the leftmost, non-overlapping matches begins (from 1), given their strings in order: between them stand the
+    parts that the pattern splits the text into, so lengths are added up, in time linear in the text and the matches."""
+    none = F.array().cast("array<int>")
+    steps = F.zip_with(F.transform(F.split(text, pattern, -1), F.length), F.transform(matches, F.length), lambda part, match: F.struct(part.alias("part"), match.alias("match")))
+    start = F.struct(F.lit(0).alias("end"), none.alias("at"), F.array().cast("array<array<int>>").alias("done"))
 
-def _spans(kind: Column, matches: str, begins: str, value: Column | None = None) -> Column:
-    """Structs (start, rank, kind, end, value) of matches."""
+    def step(s: Column, x: Column) -> Column:
+        full = F.size(s["at"]) >= CHUNK
+        place = F.array(s["end"] + x["part"] + 1)
+        return F.struct((s["end"] + x["part"] + F.coalesce(x["match"], F.lit(0))).alias("end"), F.when(full, place).otherwise(F.concat(s["at"], place)).alias("at"), F.when(full, F.concat(s["done"], F.array(s["at"]))).otherwise(s["done"]).alias("done"))
 
-    def one(m: Column, i: Column) -> Column:
-        at = F.get(begins, i) - 1
-        k = kind if value is None else kind
-        return F.struct(at.alias("start"), F.lit(0).alias("rank"), k.alias("kind"), (at + F.length(m)).alias("end"), (F.get(value, i) if value is not None else m).alias("value"))
+    found = F.aggregate(steps, start, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["at"]))))
+    return F.when(F.size(matches) > 0, F.slice(found, 1, F.size(matches))).otherwise(none)
 
-    return F.transform(matches, one)
+
+def _spans(kind: Column | None, matches: str, begins: str, value: Column | None = None) -> Column:
+    """Structs (start, rank, kind, end, value) of matches. What is zipped is evaluated once, what a lambda names for each match."""
+    placed = F.zip_with(matches, begins, lambda m, at: F.struct(m.alias("m"), at.alias("at")))
+    both = F.zip_with(placed, matches if value is None else value, lambda p, v: F.struct(p["m"].alias("m"), p["at"].alias("at"), v.alias("v")))
+
+    def one(x: Column) -> Column:
+        m = x["m"]
+        own = kind if kind is not None else F.when(m.startswith("gh"), "github").when(m.startswith("xox"), "slack").when(m.startswith("sk_"), "stripe").when(m.startswith("AIza"), "google").when(m.startswith("eyJ"), "jwt").otherwise("pem")
+        return F.struct((x["at"] - 1).alias("start"), F.lit(0).alias("rank"), own.alias("kind"), (x["at"] - 1 + F.length(m)).alias("end"), x["v"].alias("value"))
+
+    return F.transform(both, one)
 
 
 def _ranked(spans: Column) -> Column:
@@ -70,19 +82,9 @@ def candidates(docs: DataFrame, key: str, text: str, owner: str, repository: str
     rows = docs.select(F.col(key).alias("key"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     take = lambda p, g: F.regexp_extract_all("text", F.lit(p), F.lit(g))
     rows = rows.withColumns({"m_assign": take(ASSIGN, 1), "m_access": take(ACCESS, 0), "m_hex": take(HEX, 0), "m_further": take(FURTHER, 0)})
-    rows = rows.withColumns({"v_assign": F.when(F.size("m_assign") > 0, take(ASSIGN, 2)).otherwise(F.array().cast("array<string>")), **{f"b_{k}": F.expr(starts(f"m_{k}", "text")) for k in ("assign", "access", "hex", "further")}})
-    further = F.transform(
-        "m_further",
-        lambda m, i: F.struct(
-            (F.get("b_further", i) - 1).alias("start"),
-            F.lit(0).alias("rank"),
-            F.when(m.startswith("gh"), "github").when(m.startswith("xox"), "slack").when(m.startswith("sk_"), "stripe").when(m.startswith("AIza"), "google").when(m.startswith("eyJ"), "jwt").otherwise("pem").alias("kind"),
-            (F.get("b_further", i) - 1 + F.length(m)).alias("end"),
-            m.alias("value"),
-        ),
-    )
+    rows = rows.withColumns({"v_assign": F.when(F.size("m_assign") > 0, take(ASSIGN, 2)).otherwise(F.array().cast("array<string>")), **{f"b_{k}": starts(F.col("text"), p, F.col(f"m_{k}")) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("further", FURTHER))}})
     assign = F.filter(_spans(F.lit("assign"), "m_assign", "b_assign", F.col("v_assign")), lambda s: F.length(s["value"]) >= 12)
-    spans = F.concat(assign, _spans(F.lit("access"), "m_access", "b_access"), _spans(F.lit("hex"), "m_hex", "b_hex"), further)
+    spans = F.concat(assign, _spans(F.lit("access"), "m_access", "b_access"), _spans(F.lit("hex"), "m_hex", "b_hex"), _spans(None, "m_further", "b_further"))
     some = F.size("m_assign") + F.size("m_access") + F.size("m_hex") + F.size("m_further") > 0
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
     return rows.select("row", "key", "owner", "repository", F.when(some, _ranked(spans)).otherwise(none).alias("spans"))
