@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 #: After so many failures in a row without a success, a partition asks no more.
 STOP_AFTER = 3
@@ -20,7 +20,8 @@ def stub(text: str) -> tuple[str, int, int]:
 
 def enrich_rows(rows: DataFrame, key: str, text: str, call: Callable[[str], tuple[str, int, int]] = stub) -> DataFrame:
     """One row for each call: (key, result, ok, prompt_tokens, completion_tokens, error). The calls made are its own log: a
-    call counts even if its result is used by no one. A partition in which nothing succeeds stops after three."""
+    call counts even if its result is used by no one. A partition in which nothing succeeds stops after three; a row without text
+    isn't a call."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         failed, worked = 0, False
@@ -39,4 +40,4 @@ def enrich_rows(rows: DataFrame, key: str, text: str, call: Callable[[str], tupl
             yield pd.DataFrame(out, columns=[key, "result", "ok", "prompt_tokens", "completion_tokens", "error"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, result string, ok boolean, prompt_tokens bigint, completion_tokens bigint, error string")
+    return rows.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {kind}, result string, ok boolean, prompt_tokens bigint, completion_tokens bigint, error string")

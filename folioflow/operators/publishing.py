@@ -9,6 +9,28 @@ from ..plans.registry import query
 
 #: What stands for a text that isn't there yet; headings and marks of the outputs below are fixed as well.
 PLACEHOLDER = "（待转写）"
+#: What each style of an entry becomes: the paragraph's style on the device; in Markdown the mark before the text, whether
+#: an anchor comes after it (one on a heading would be shown), and how far quote and answer below are indented.
+FORMS = {
+    "body": ("plain", "", True, ""),
+    "bullet": ("bullet", "- ", True, "  "),
+    "numbered": ("numbered", "1. ", True, "  "),
+    "checkbox": ("checkbox", "- [ ] ", True, "  "),
+    "heading1": ("subheading1", "## ", False, ""),
+    "heading2": ("bold", "### ", False, ""),
+}
+REVIEW_HINT = "看完到网页「笔记 → 回顾」里逐条标记「记住了 / 再看看」。"
+
+
+def form(style: Column, part: int) -> Column:
+    """A part of an entry's form by its style; an unknown style is that of the body."""
+    table = F.create_map(*[F.lit(x) for name, f in FORMS.items() for x in (name, f[part])])
+    return F.coalesce(F.try_element_at(table, style), F.lit(FORMS["body"][part]))
+
+
+def _form_sql(part: int) -> str:
+    shown = lambda x: str(x).lower() if isinstance(x, bool) else f"'{x}'"
+    return f"CASE style {' '.join(f"WHEN '{n}' THEN {shown(f[part])}" for n, f in FORMS.items())} ELSE {shown(FORMS['body'][part])} END"
 
 
 def targeted(entries: DataFrame, target: str) -> DataFrame:
@@ -153,8 +175,8 @@ _BROKEN = "(SELECT *, CASE WHEN s IS NOT NULL AND s IS DISTINCT FROM prev THEN s
     "project_chapter",
     "v_entries",
     sql=f"""WITH e AS {_BROKEN.format(of=_TARGETED.format(target="notebook"))}, rows_ AS (SELECT DISTINCT book, chapter, -1 AS page_index, -1 AS id, 0 AS rank, 'heading' AS style, concat('Chapter ', CAST(chapter AS VARCHAR)) AS text FROM e
- UNION ALL SELECT book, chapter, page_index, id, 1, 'subheading1', new_subhead FROM e WHERE new_subhead IS NOT NULL UNION ALL SELECT book, chapter, page_index, id, 2, 'body', coalesce(shown, '{PLACEHOLDER}') FROM e
- UNION ALL SELECT book, chapter, page_index, id, 3, 'plain', concat('〔原文〕', quote) FROM e WHERE trim(quote) <> '')
+ UNION ALL SELECT book, chapter, page_index, id, 1, 'subheading1', new_subhead FROM e WHERE new_subhead IS NOT NULL UNION ALL SELECT book, chapter, page_index, id, 2, {_form_sql(0)}, coalesce(shown, '{PLACEHOLDER}') FROM e
+ UNION ALL SELECT book, chapter, page_index, id, 3, 'plain', concat('〔原文〕', quote) FROM e WHERE trim(quote) <> '' UNION ALL SELECT book, chapter, page_index, id, 4, 'plain', concat('〔AI〕', answer) FROM e WHERE trim(answer) <> '')
 SELECT book, chapter, CAST(row_number() OVER (PARTITION BY book, chapter ORDER BY page_index, id, rank) AS BIGINT) AS seq, style, text FROM rows_""",
 )
 def project_chapter(entries: DataFrame) -> DataFrame:
@@ -162,15 +184,17 @@ def project_chapter(entries: DataFrame) -> DataFrame:
 
 
 def paragraphs(entries: DataFrame) -> DataFrame:
-    """Rows of styled text: the chapter's title, then for each entry its section if that changed, its text and its quote."""
+    """Rows of styled text: the chapter's title, then for each entry its section if that changed, its text in its style,
+    its quote and the answer to its question."""
     live = subheads(targeted(entries, "notebook"))
     none = F.lit(None).cast("struct<rank:int,style:string,text:string>")
     row = lambda rank, style, text: F.struct(F.lit(rank).alias("rank"), F.lit(style).alias("style"), text.alias("text"))
     parts = F.array_compact(
         F.array(
             F.when(F.col("new_subhead").isNotNull(), row(1, "subheading1", F.col("new_subhead"))).otherwise(none),
-            row(2, "body", F.coalesce("shown", F.lit(PLACEHOLDER))),
+            F.struct(F.lit(2).alias("rank"), form(F.col("style"), 0).alias("style"), F.coalesce("shown", F.lit(PLACEHOLDER)).alias("text")),
             F.when(T.trim_all(F.col("quote")) != "", row(3, "plain", F.concat(F.lit("〔原文〕"), F.col("quote")))).otherwise(none),
+            F.when(T.trim_all(F.col("answer")) != "", row(4, "plain", F.concat(F.lit("〔AI〕"), F.col("answer")))).otherwise(none),
         )
     )
     body = live.select("book", "chapter", "page_index", "id", F.explode(parts).alias("p")).select("book", "chapter", "page_index", "id", "p.*")
@@ -179,15 +203,14 @@ def paragraphs(entries: DataFrame) -> DataFrame:
     return heads.unionByName(body).select("book", "chapter", seq.alias("seq"), "style", "text")
 
 
-@query(
-    "export_chapter_md",
-    "v_entries",
-    "v_books",
-    sql=f"""WITH e AS {_BROKEN.format(of=_TARGETED.format(target="obsidian"))}, m AS (SELECT book, chapter, min(page_index) + 1 AS lo, max(page_index) + 1 AS hi, bool_and(status = 'reviewed') AS done,
- string_agg(concat(CASE WHEN new_subhead IS NOT NULL THEN concat('## ', new_subhead, chr(10), chr(10)) ELSE '' END, coalesce(shown, '{PLACEHOLDER}'), ' ^', CAST(id AS VARCHAR), chr(10), CASE WHEN trim(quote) <> '' THEN concat('> 「', quote, '」', chr(10)) ELSE '' END, chr(10)), '' ORDER BY page_index, id) AS body FROM e GROUP BY book, chapter)
+#: The Markdown of chapters: DuckDB SQL over v_entries and v_books.
+EXPORT_SQL = f"""WITH e AS {_BROKEN.format(of=_TARGETED.format(target="obsidian"))}, m AS (SELECT book, chapter, min(page_index) + 1 AS lo, max(page_index) + 1 AS hi, bool_and(status = 'reviewed') AS done,
+ string_agg(concat(CASE WHEN new_subhead IS NOT NULL THEN concat('## ', new_subhead, chr(10), chr(10)) ELSE '' END, {_form_sql(1)}, coalesce(shown, '{PLACEHOLDER}'), CASE WHEN {_form_sql(2)} THEN concat(' ^', CAST(id AS VARCHAR)) ELSE '' END, chr(10), CASE WHEN trim(quote) <> '' THEN concat({_form_sql(3)}, '> 「', quote, '」', chr(10)) ELSE '' END, CASE WHEN trim(answer) <> '' THEN concat({_form_sql(3)}, '> **AI**：', answer, chr(10)) ELSE '' END, chr(10)), '' ORDER BY page_index, id) AS body FROM e GROUP BY book, chapter)
 SELECT m.book, m.chapter, concat('---', chr(10), 'book: "', replace(replace(b.title, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), '"', chr(10), CASE WHEN b.author <> '' THEN concat('author: "', replace(replace(b.author, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), '"', chr(10)) ELSE '' END,
- 'chapter: "Chapter ', CAST(chapter AS VARCHAR), '"', chr(10), 'pages: "', CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE concat(CAST(lo AS VARCHAR), '–', CAST(hi AS VARCHAR)) END, '"', chr(10), 'status: ', CASE WHEN done THEN 'reviewed' ELSE 'draft' END, chr(10), 'tags: [reading-notes]', chr(10), '---', chr(10), chr(10), '[[', b.title, ']]', chr(10), chr(10), body) AS md FROM m JOIN v_books b ON m.book = b.uuid""",
-)
+ 'chapter: "Chapter ', CAST(chapter AS VARCHAR), '"', chr(10), 'pages: "', CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE concat(CAST(lo AS VARCHAR), '–', CAST(hi AS VARCHAR)) END, '"', chr(10), 'status: ', CASE WHEN done THEN 'reviewed' ELSE 'draft' END, chr(10), 'tags: [reading-notes]', chr(10), '---', chr(10), chr(10), '[[', b.title, ']]', chr(10), chr(10), body) AS md FROM m JOIN v_books b ON m.book = b.uuid"""
+
+
+@query("export_chapter_md", "v_entries", "v_books", sql=EXPORT_SQL)
 def export_chapter_md(entries: DataFrame, books: DataFrame) -> DataFrame:
     """A Markdown text for each chapter with something to export. A text is as large as the file that it becomes; ``chapter_files``
     has the same in pieces, for the sink."""
@@ -198,12 +221,13 @@ def export_chapter_md(entries: DataFrame, books: DataFrame) -> DataFrame:
 def chapter_files(entries: DataFrame, books: DataFrame) -> DataFrame:
     """(book, title, chapter, file, page_index, id, piece) of the chapters' files: front matter and link to the book (at -1),
     then entries with anchors, in the order of page and id; pieces are joined by line ends."""
-    nl = F.lit("\n")
+    nl, style = F.lit("\n"), F.col("style")
     live = subheads(targeted(entries, "obsidian"))
     piece = F.concat(
         F.when(F.col("new_subhead").isNotNull(), F.concat(F.lit("## "), F.col("new_subhead"), F.lit("\n\n"))).otherwise(""),
-        F.coalesce("shown", F.lit(PLACEHOLDER)), F.lit(" ^"), F.col("id").cast("string"), nl,
-        F.when(T.trim_all(F.col("quote")) != "", F.concat(F.lit("> 「"), F.col("quote"), F.lit("」\n"))).otherwise(""),
+        form(style, 1), F.coalesce("shown", F.lit(PLACEHOLDER)), F.when(form(style, 2), F.concat(F.lit(" ^"), F.col("id").cast("string"))).otherwise(""), nl,
+        F.when(T.trim_all(F.col("quote")) != "", F.concat(form(style, 3), F.lit("> 「"), F.col("quote"), F.lit("」\n"))).otherwise(""),
+        F.when(T.trim_all(F.col("answer")) != "", F.concat(form(style, 3), F.lit("> **AI**："), F.col("answer"), nl)).otherwise(""),
     )
     own = books.withColumnRenamed("uuid", "book")
     named = F.concat(F.lit("Chapter "), F.col("chapter").cast("string"))
@@ -241,17 +265,18 @@ def export_index_md(entries: DataFrame, books: DataFrame) -> DataFrame:
     "review_page",
     "v_entries",
     "v_books",
-    sql="""WITH d AS (SELECT *, row_number() OVER (ORDER BY due, title, page_index, id) AS n FROM (SELECT e.*, b.title, e.updated + 86400 AS due FROM v_entries e JOIN v_books b ON e.book = b.uuid WHERE e.status = 'reviewed' AND trim(e.text) <> '' AND e.updated + 86400 <= 1708000000) QUALIFY n <= 5)
-SELECT CAST(row_number() OVER (ORDER BY n, rank) AS BIGINT) AS seq, style, text FROM (SELECT 0 AS n, 0 AS rank, 'subheading1' AS style, '今日回顾' AS text UNION ALL SELECT n, 1, 'bold', title FROM d UNION ALL SELECT n, 2, 'body', text FROM d UNION ALL SELECT n, 3, 'plain', concat('〔原文〕', quote) FROM d WHERE trim(quote) <> '')""",
+    sql=f"""WITH d AS (SELECT *, row_number() OVER (ORDER BY due, title, page_index, id) AS n FROM (SELECT e.*, b.title, e.updated + 86400 AS due FROM v_entries e JOIN v_books b ON e.book = b.uuid WHERE e.status = 'reviewed' AND trim(e.text) <> '' AND e.updated + 86400 <= 1708000000) QUALIFY n <= 5)
+SELECT CAST(row_number() OVER (ORDER BY n, rank) AS BIGINT) AS seq, style, text FROM (SELECT 0 AS n, 0 AS rank, 'subheading1' AS style, '今日回顾' AS text UNION ALL SELECT n, 1, 'bold', title FROM d UNION ALL SELECT n, 2, {_form_sql(0)}, text FROM d UNION ALL SELECT n, 3, 'plain', concat('〔原文〕', quote) FROM d WHERE trim(quote) <> '' UNION ALL SELECT 99, 0, 'plain', '{REVIEW_HINT}')""",
 )
 def review_page(entries: DataFrame, books: DataFrame) -> DataFrame:
-    """The page of today's reviews: a heading, then place, text and quote of each due entry. It has a few rows by design."""
+    """The page of today's reviews: a heading, then place, text in its style and quote of each due
+    entry, and a hint. It has a few rows by design."""
     from .entries import due_reviews
 
-    due = due_reviews(entries, books).join(entries.select("id", "text", "quote"), "id")
+    due = due_reviews(entries, books).join(entries.select("id", "text", "quote", F.col("style").alias("of_style")), "id")
     n = F.row_number().over(W.orderBy("due", "title", "page_index", "id"))
     row = lambda rank, style, text: F.struct(F.lit(rank).alias("rank"), F.lit(style).alias("style"), text.alias("text"))
-    parts = F.filter(F.array(row(1, "bold", F.col("title")), row(2, "body", F.col("text")), row(3, "plain", F.concat(F.lit("〔原文〕"), F.col("quote")))), lambda p: F.coalesce(T.trim_all(p["text"]) != "", F.lit(False)) & (p["text"] != "〔原文〕"))
+    parts = F.filter(F.array(row(1, "bold", F.col("title")), F.struct(F.lit(2).alias("rank"), form(F.col("of_style"), 0).alias("style"), F.col("text").alias("text")), row(3, "plain", F.concat(F.lit("〔原文〕"), F.col("quote")))), lambda p: F.coalesce(T.trim_all(p["text"]) != "", F.lit(False)) & (p["text"] != "〔原文〕"))
     body = due.withColumn("n", n).select("n", F.explode(parts).alias("p")).select("n", "p.*")
-    head = entries.sparkSession.createDataFrame([(0, 0, "subheading1", "今日回顾")], "n int, rank int, style string, text string")
+    head = entries.sparkSession.createDataFrame([(0, 0, "subheading1", "今日回顾"), (99, 0, "plain", REVIEW_HINT)], "n int, rank int, style string, text string")
     return head.unionByName(body).select(F.row_number().over(W.orderBy("n", "rank")).cast("long").alias("seq"), "style", "text")

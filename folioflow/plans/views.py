@@ -58,6 +58,21 @@ VIEWS = {
  CASE WHEN page_id%3=0 THEN concat('text/c', CAST(page_id AS VARCHAR(18)), '.xhtml') END AS declared_nav, CASE WHEN page_id%4=0 THEN 'text/toc.ncx' END AS declared_ncx, html FROM pages""",
     "v_packages": """SELECT p_partkey AS uuid, concat('<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf"><!-- <item id="no"/> --><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>', p_name, '</dc:title><dc:creator>', p_brand, '</dc:creator></metadata><manifest><item id="a" href="a', CAST(p_partkey AS VARCHAR(18)),
  '.html"/><item id="b" href="', p_type, '"/></manifest><spine', CASE p_partkey%3 WHEN 0 THEN ' page-progression-direction=" RTL "' WHEN 1 THEN ' page-progression-direction="ltr"' ELSE '' END, '><itemref idref="b"/><itemref idref="a"/></spine></package>') AS text FROM part""",
+    # what the files of a library say: damaged ones, numbers as text, missing fields
+    "v_metadata": """SELECT concat('u', CAST(s_suppkey AS VARCHAR(18))) AS uuid, s_name AS visible_name, CASE WHEN s_suppkey%5=0 THEN 'CollectionType' WHEN s_suppkey%13=0 THEN 'OddType' ELSE 'DocumentType' END AS type_name, CASE WHEN s_suppkey%4=0 THEN '' ELSE concat('n', CAST(s_nationkey AS VARCHAR(18))) END AS parent,
+ s_suppkey%17=0 AS deleted, 1704067200000+s_suppkey*86400000 AS created_ms, CASE WHEN s_suppkey%3=0 THEN s_suppkey%300 END AS last_page, CASE s_suppkey%11 WHEN 7 THEN 'cut' WHEN 9 THEN 'list' ELSE 'whole' END AS state FROM supplier""",
+    "v_metadata_files": """SELECT concat(uuid, '.metadata') AS name, CASE state WHEN 'cut' THEN concat('{"visibleName": "', visible_name) WHEN 'list' THEN '[1, 2]' ELSE concat('{"visibleName": "', visible_name, '", "type": "', type_name, '", "parent": "', parent, '"', CASE WHEN deleted THEN ', "deleted": true' ELSE '' END,
+ CASE WHEN last_page%2=0 THEN concat(', "createdTime": ', CAST(created_ms AS VARCHAR(18))) ELSE concat(', "createdTime": "', CAST(created_ms AS VARCHAR(18)), '"') END, CASE WHEN last_page IS NOT NULL THEN concat(', "lastOpenedPage": ', CAST(last_page AS VARCHAR(18))) ELSE '' END, ', "more": {"a": [1]}}') END AS value FROM v_metadata""",
+    "v_stored": """SELECT s_suppkey AS n, concat('b', CAST(s_suppkey AS VARCHAR(18))) AS book, s_name AS title, CASE WHEN s_suppkey%3=0 THEN concat('Writer ', CAST(s_nationkey AS VARCHAR(18))) ELSE '' END AS author, concat('Text of ', s_name) AS text, CASE s_suppkey%4 WHEN 0 THEN 'draft' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'mined' ELSE 'pending' END AS status,
+ CASE WHEN s_suppkey%3=1 THEN 'checkbox' ELSE 'body' END AS style, CASE WHEN s_suppkey%2=0 THEN s_nationkey END AS chapter, CASE s_suppkey%10 WHEN 3 THEN 'cut' WHEN 7 THEN 'word' WHEN 9 THEN 'lacks' ELSE 'whole' END AS state FROM supplier""",
+    "v_stored_files": """SELECT concat(book, '.json') AS name, concat('{"uuid": "', book, '", "title": "', title, '"', CASE WHEN author <> '' THEN concat(', "author": "', author, '"') ELSE '' END, ', "entries": [{"id": "', book, '-0", "page": "p', CAST(n AS VARCHAR(18)), '", "page_index": ', CAST(n%300 AS VARCHAR(18)),
+ CASE WHEN chapter IS NOT NULL THEN concat(', "chapter": ', CAST(chapter AS VARCHAR(18))) ELSE ', "chapter": null' END, ', "text": "', text, '", "status": "', status, '"', CASE WHEN style <> 'body' THEN concat(', "style": "', style, '"') ELSE '' END,
+ ', "quote": {"text": "said ', text, '", "color": "y", "rects": [[1, 2.5, 3, 4]]}, "ink": {"strokes": ["1:', CAST(n AS VARCHAR(18)), '", "1:2"], "bbox": [0, 0, 9.5, 9], "hash": "h', CAST(n AS VARCHAR(18)), '"}, "drafts": [{"text": "d", "backend": "m", "at": ', CAST(n AS VARCHAR(18)), ', "hash": "h"}], "review": {"due": 9, "interval_days": 3, "streak": 1}, ',
+ CASE WHEN state = 'lacks' THEN '' ELSE '"created": 1, ' END, '"updated": 2}, {"id": "', book, '-1", "page": "q", "page_index": 1, "status": "', CASE WHEN state = 'word' THEN 'unheard of' ELSE 'archived' END, '", "created": 3, "updated": 4}]', CASE WHEN state = 'cut' THEN '' ELSE '}' END) AS value FROM v_stored""",
+    "v_deploys": """SELECT p_partkey AS n, concat('d', CAST(p_partkey%7 AS VARCHAR(18))) AS device, 1704067200+p_partkey*60 AS at_s, p_brand AS label, CASE WHEN p_partkey%5=0 THEN p_type ELSE '' END AS failed, p_partkey%4=0 AS dirty, p_partkey%9=4 AS damaged FROM part""",
+    "v_deploy_lines": """SELECT n AS line, concat('log', CAST(n%3 AS VARCHAR(18)), '.jsonl') AS name, CASE WHEN damaged THEN concat('{"device": "', device, '", "at": ') ELSE concat('{"device": "', device, '", "at": ', CAST(at_s AS VARCHAR(18)), ', "label": "', label, '"', CASE WHEN failed <> '' THEN concat(', "failed": "', failed, '"') ELSE '' END, CASE WHEN dirty THEN ', "dirty": true' ELSE '' END, ', "files": {"a": "1"}}') END AS value FROM v_deploys""",
+    "v_allow_lines": """SELECT s_suppkey AS line, concat('allow', CAST(s_suppkey%2 AS VARCHAR(18)), '.txt') AS name, CASE s_suppkey%6 WHEN 0 THEN concat('# ', s_name) WHEN 1 THEN concat('  ', repeat('AB', 28), lpad(CAST(s_suppkey AS VARCHAR(18)), 8, '0')) WHEN 2 THEN concat(repeat('c', 55), lpad(CAST(s_suppkey AS VARCHAR(18)), 8, '0'), ' short')
+ ELSE concat(repeat('0f', 28), lpad(CAST(s_suppkey AS VARCHAR(18)), 8, '0'), '   ', s_name) END AS value FROM supplier""",
     "v_commands": "SELECT event_id AS seq, user_id AS entry, CASE event_type WHEN 'click' THEN 'request' WHEN 'view' THEN 'skip' WHEN 'signup' THEN 'draft' WHEN 'purchase' THEN 'restore' ELSE 'archive' END AS cmd, ts FROM events",
     "v_deploy_files": """SELECT p_partkey%20 AS device, concat('f',CAST(p_partkey AS VARCHAR(9))) AS path, concat(p_brand,'/',CAST(p_partkey AS VARCHAR(9))) AS recorded,
  CASE WHEN p_partkey%7=0 THEN NULL WHEN p_partkey%5=0 THEN 'x' ELSE concat(p_brand,'/',CAST(p_partkey AS VARCHAR(9))) END AS current_hash,
@@ -81,7 +96,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
     used = {t for t in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql)}
-    return spark.sql(re.sub(r"\b(FROM|JOIN)\s+(\w+)", r"\1 {\2}", sql), **{t: view(spark, sf_dir, t) for t in used})
+    plain = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(r"\b(FROM|JOIN)\s+(\w+)", r"\1 {\2}", plain), **{t: view(spark, sf_dir, t) for t in used})
 
 
 def with_views(sql: str) -> str:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import safe_filename
-from ..store import cut, delete, replace
+from ..store import cut, delete, put_files, replace_all
 
 #: Seconds by which a file's time may be earlier than asked for: clocks of file systems are coarse.
 SLACK_S = 5
@@ -15,7 +15,7 @@ SLACK_S = 5
 
 def whole_files(spark: SparkSession, path: str, glob: str, **options: str) -> DataFrame:
     """(uuid, modified, text) of every file of the folder: the name without its extension, and the whole content."""
-    files = spark.read.options(wholetext=True, pathGlobFilter=glob, **options).text(path)
+    files = spark.read.options(**options).text(path, wholetext=True, pathGlobFilter=glob)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
     return files.select(name.alias("uuid"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
 
@@ -129,18 +129,77 @@ def read_allowlist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.regexp_extract(line, pattern, 1)).alias("sha256"), F.regexp_extract(line, pattern, 2).alias("label")).where("sha256 <> ''")
 
 
-ENTRY = "struct<id:string,page:string,page_index:int,chapter:int,text:string,status:string,updated:bigint>"
-BOOK = f"uuid string, title string, author string, chapters array<string>, entries array<{ENTRY}>"
+#: The fields of an entry document in their order, what an optional one is when it is missing, and the words that some may be.
+QUOTE = "struct<id:string,text:string,color:string,rects:array<array<double>>>"
+INK = "struct<strokes:array<string>,bbox:array<double>,hash:string,crop:string>"
+DRAFT = "struct<text:string,backend:string,at:bigint,hash:string>"
+ANSWER = "struct<text:string,backend:string,at:bigint,brief:string>"
+REVIEW = "struct<due:bigint,interval_days:int,streak:int,last:bigint>"
+ENTRY_FIELDS = {
+    "id": "string", "page": "string", "page_index": "int", "chapter": "int", "chapter_title": "string", "subhead": "string", "quote": QUOTE, "ink": INK, "drafts": f"array<{DRAFT}>", "text": "string",
+    "style": "string", "ask_ai": "boolean", "question": "string", "answer": ANSWER, "status": "string", "destination": "string", "source": "string", "review": REVIEW, "created": "bigint", "updated": "bigint",
+}
+ENTRY_DEFAULTS = {"chapter_title": "", "style": "body", "ask_ai": False, "status": "mined", "destination": "both", "source": "xochitl"}
+ENTRY_WORDS = {
+    "style": ("body", "bullet", "numbered", "checkbox", "heading1", "heading2"),
+    "status": ("mined", "pending", "draft", "reviewed", "skipped", "revoked", "archived"),
+    "destination": ("notebook", "obsidian", "both"),
+    "source": ("xochitl", "koreader_highlight", "koreader_vocab"),
+}
+REQUIRED = {"": ("id", "page", "page_index", "created", "updated"), "quote": ("text", "color", "rects"), "ink": ("strokes", "bbox", "hash"), "answer": ("text", "backend", "at", "brief"), "review": ("due", "interval_days", "streak")}
+ENTRY = f"struct<{','.join(f'{n}:{k}' for n, k in ENTRY_FIELDS.items())}>"
+BOOK = f"uuid string, title string, author string, chapters array<string>, entries array<{ENTRY}>, page_mtimes map<string,bigint>"
+
+
+def _broken(e: Column) -> Column:
+    """Whether an entry lacks a field that it must have, or has a word that isn't known. Its document can't be read then."""
+    bad = e.isNull()
+    for part, fields in REQUIRED.items():
+        missing = F.lit(False)
+        for f in fields:
+            missing = missing | (e[part][f] if part else e[f]).isNull()
+        bad = bad | (missing if not part else e[part].isNotNull() & missing)
+    bad = bad | F.coalesce(F.exists(e["drafts"], lambda d: d["text"].isNull() | d["backend"].isNull() | d["at"].isNull() | d["hash"].isNull()), F.lit(False))
+    for name, words in ENTRY_WORDS.items():
+        bad = bad | (e[name].isNotNull() & ~e[name].isin(*words))
+    return bad
+
+
+def _filled(e: Column) -> list[Column]:
+    """An entry's fields with their defaults."""
+    out = []
+    for name in ENTRY_FIELDS:
+        c = F.coalesce(e[name], F.lit(ENTRY_DEFAULTS[name])) if name in ENTRY_DEFAULTS else e[name]
+        if name == "drafts":
+            c = F.coalesce(c, F.array().cast(f"array<{DRAFT}>"))
+        if name == "quote":
+            c = F.when(c.isNotNull(), c.withField("id", F.coalesce(c["id"], F.lit(""))))
+        if name == "ink":
+            c = F.when(c.isNotNull(), c.withField("crop", F.coalesce(c["crop"], F.lit(""))))
+        out.append(c.alias(name))
+    return out
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    files = whole_files(spark, path, "*.json")
+    parsed = files.withColumn("book", F.from_json("text", BOOK + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    b = F.col("book")
+    bad = b.isNull() | b["_bad"].isNotNull() | b["uuid"].isNull() | b["title"].isNull() | F.coalesce(F.exists(b["entries"], _broken), F.lit(False))
+    return parsed.withColumn("bad", bad)
+
+
+def read_books(spark: SparkSession, path: str) -> DataFrame:
+    """(book, title, author, chapters, page_mtimes) of the documents that can be read."""
+    b = F.col("book")
+    return _documents(spark, path).where(~F.col("bad")).select(b["uuid"].alias("book"), b["title"].alias("title"), F.coalesce(b["author"], F.lit("")).alias("author"), F.coalesce(b["chapters"], F.array().cast("array<string>")).alias("chapters"), F.coalesce(b["page_mtimes"], F.create_map().cast("map<string,bigint>")).alias("page_mtimes"))
 
 
 def read_entries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, quarantine): one JSON document a file. A document that can't be read is never an empty book: its name and
-    text go to the quarantine, and ``write_entries`` leaves its book alone."""
-    files = whole_files(spark, path, "*.json")
-    parsed = files.withColumn("book", F.from_json("text", BOOK + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    bad = F.col("book").isNull() | F.col("book._bad").isNotNull() | F.col("book.uuid").isNull()
-    good = parsed.where(~bad).select(F.col("book.uuid").alias("book"), F.explode_outer("book.entries").alias("e")).where("e IS NOT NULL")
-    return good.select("book", "e.*"), parsed.where(bad).select(F.col("uuid").alias("book"), "text")
+    """(entries, quarantine): one JSON document a file, its entries with their places ``seq`` and all their fields. A document that can't be
+    read is never an empty book: its name and text go to the quarantine, and ``write_entries`` leaves its book alone."""
+    docs = _documents(spark, path)
+    good = docs.where(~F.col("bad")).select(F.col("book.uuid").alias("book"), F.posexplode("book.entries").alias("seq", "e"))
+    return good.select("book", "seq", *_filled(F.col("e"))), docs.where("bad").select(F.col("uuid").alias("book"), "text")
 
 
 def changed_books(new: DataFrame, old: DataFrame, quarantined: DataFrame) -> DataFrame:
@@ -156,20 +215,16 @@ def changed_books(new: DataFrame, old: DataFrame, quarantined: DataFrame) -> Dat
     return both.where(~F.col("new").eqNullSafe(F.col("old"))).select("book").join(quarantined.select("book"), "book", "left_anti")
 
 
-def write_entries(new: DataFrame, old: DataFrame, quarantined: DataFrame, path: str) -> None:
-    """Write the changed books only, one folder each; the others' folders stay as they are. The folder of a changed book of
-    which no entry is left goes."""
-    spark = new.sparkSession
-    books = cut(changed_books(new, old, quarantined), "changed")
-    emptied = books.join(new.select("book"), "book", "left_anti")
-    gone = []
-    if not emptied.isEmpty():
-        stored = spark.read.parquet(path)
-        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-        gone = stored.select(F.col("book").cast("string").alias("book"), folder.alias("folder")).distinct().join(emptied.select(F.col("book").cast("string").alias("book")), "book", "left_semi").collect()
-    new.join(books, "book", "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book").parquet(path)
-    for r in gone:
-        delete(spark, r.folder, address=True)
+def write_entries(new: DataFrame, old: DataFrame, quarantined: DataFrame, books: DataFrame, path: str) -> None:
+    """Write the documents of the changed books only, ``<path>/<book>.json``, each in one step; the others' files stay as they are. A book
+    of which no entry is left keeps its document, without entries. A document is gathered, as it is one file."""
+    changed = cut(changed_books(new, old, quarantined), "changed")
+    entry = F.struct(*ENTRY_FIELDS)
+    listed = new.join(changed, "book", "left_semi").groupBy("book").agg(F.array_sort(F.collect_list(F.struct("seq", entry.alias("entry")))).alias("listed"))
+    whole = books.join(changed, "book", "left_semi").join(listed, "book", "left")
+    none = F.array().cast(f"array<{ENTRY}>")
+    doc = F.struct(F.col("book").alias("uuid"), "title", "author", "chapters", F.coalesce(F.transform("listed", lambda x: x["entry"]), none).alias("entries"), "page_mtimes")
+    put_files(whole.select(F.concat("book", F.lit(".json")).alias("name"), F.to_json(doc).alias("value")), path)
 
 
 def sink_vault(pieces: DataFrame, prints: DataFrame, recorded: DataFrame, path: str) -> DataFrame:
@@ -188,8 +243,7 @@ def sink_vault(pieces: DataFrame, prints: DataFrame, recorded: DataFrame, path:
     own.repartition("folder", "file").sortWithinPartitions("folder", "file", "page_index", "id").select("folder", "file", "value").write.option("maxRecordsPerFile", 0).partitionBy("folder", "file").text(aside)
     if not changed.isEmpty():
         written = spark.read.text(aside).select(F.col("folder").cast("string").alias("folder"), F.col("file").cast("string").alias("file"), F.col("_metadata.file_path").alias("source")).distinct()
-        for r in written.toLocalIterator():
-            replace(spark, r.source, f"{path.rstrip('/')}/{r.folder}/{r.file}.md")
+        replace_all(spark, ((r.source, f"{path.rstrip('/')}/{r.folder}/{r.file}.md") for r in written.toLocalIterator()))
     delete(spark, aside)
     kept = recorded.select("book", "chapter", "recorded").join(changed.select("book", "chapter"), ["book", "chapter"], "left_anti")
     return kept.unionByName(changed.select("book", "chapter", F.col("fingerprint").alias("recorded")))

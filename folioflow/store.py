@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections import deque
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _left: dict[str, SparkSession] = {}
 #: The folders of applications on one machine that have no setting.
@@ -55,6 +57,32 @@ def replace(spark: SparkSession, source: str, target: str) -> None:
     context.rename(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(source)), to, options)
 
 
+def replace_all(spark: SparkSession, moves, threads: int = 32) -> None:
+    """``replace`` for pairs (source, target), many at a time; they are read as they are needed."""
+    with ThreadPoolExecutor(threads) as pool:
+        waiting = deque()
+        for source, target in moves:
+            waiting.append(pool.submit(replace, spark, source, target))
+            if len(waiting) >= 8 * threads:
+                waiting.popleft().result()
+        for w in waiting:
+            w.result()
+
+
+def put_files(rows: DataFrame, path: str) -> None:
+    """Write texts (name, value; several rows of a name are lines, in the order of a column ``line`` if there is one) as the files of a folder.
+    Each is written aside by one task and moved to its place in one step."""
+    spark, path = rows.sparkSession, path.rstrip("/")
+    aside = f"{path}/_aside-{uuid.uuid4().hex}"
+    order = ["name", *(["line"] if "line" in rows.columns else [])]
+    rows.repartition("name").sortWithinPartitions(*order).select("name", "value").write.option("maxRecordsPerFile", 0).partitionBy("name").text(aside)
+    if rows.isEmpty():
+        return delete(spark, aside)
+    written = spark.read.schema("value string, name string").text(aside).select("name", F.col("_metadata.file_path").alias("source")).distinct()
+    replace_all(spark, ((r.source, f"{path}/{r.name}") for r in written.toLocalIterator()))
+    delete(spark, aside)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     delete(spark, path)
     _left.pop(path, None)

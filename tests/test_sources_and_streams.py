@@ -57,19 +57,55 @@ def test_logs_and_lists(spark, tmp_path):
     assert {tuple(r) for r in L.read_allowlist(spark, put(tmp_path / "a", {"list.txt": text})).collect()} == {("ab" * 32, "my unit"), ("cd" * 32, "")}
 
 
+def full_entry(i, **more):
+    """An entry with a value in each of its fields."""
+    return {
+        "id": f"e{i}", "page": "p", "page_index": i, "chapter": 2, "chapter_title": "Two", "subhead": "Sub", "quote": {"id": "q", "text": "said", "color": "#fff", "rects": [[1.0, 2.5, 3.0, 4.0]]},
+        "ink": {"strokes": ["1:2", "1:3"], "bbox": [0.0, 1.0, 2.0, 3.5], "hash": "h", "crop": "c.png"}, "drafts": [{"text": "d1", "backend": "m", "at": 5, "hash": "h"}, {"text": "d0", "backend": "m", "at": 4, "hash": "g"}],
+        "text": "é \"x\"\n", "style": "bullet", "ask_ai": True, "question": "why", "answer": {"text": "so", "backend": "m", "at": 6, "brief": "why"}, "status": "reviewed", "destination": "notebook", "source": "koreader_vocab",
+        "review": {"due": 9, "interval_days": 3, "streak": 1, "last": 8}, "created": 1, "updated": 2,
+    } | more
+
+
 def test_books_and_quarantine(spark, tmp_path):
-    book = lambda u, texts: {"uuid": u, "title": u, "entries": [{"id": str(i), "page": "p", "text": t, "status": "mined"} for i, t in enumerate(texts)]}
-    path = put(tmp_path / "books", {"a.json": book("a", ["x", "y"]), "b.json": book("b", ["z"]), "bad.json": '{"uuid": "bad", "entries": [', "empty.json": book("e", [])})
+    import json
+
+    least = {"id": "m", "page": "p", "page_index": 0, "created": 1, "updated": 1}
+    book = lambda u, *entries, **more: {"uuid": u, "title": u, "entries": [*entries]} | more
+    docs = {
+        "a": book("a", full_entry(0), least, author="Me", chapters=["One", "Two"], page_mtimes={"p": 7}),
+        "b": book("b", full_entry(1)),
+        "empty": book("empty"),
+        "word": book("word", full_entry(2), full_entry(3, status="new word")),
+        "lacks": book("lacks", {k: v for k, v in least.items() if k != "created"}),
+        "half": book("half", full_entry(4, ink={"strokes": [], "bbox": [0, 0, 0, 0]})),
+        "kind": book("kind", full_entry(5, page_index="five")),
+    }
+    path = put(tmp_path / "books", {f"{u}.json": json.dumps(d, indent=1) for u, d in docs.items()} | {"bad.json": '{"uuid": "bad", "entries": ['})
     entries, quarantine = L.read_entries(spark, path)
-    assert {(r.book, r.text) for r in entries.collect()} == {("a", "x"), ("a", "y"), ("b", "z")} and [r.book for r in quarantine.collect()] == ["bad"]
+    assert {r.book for r in quarantine.collect()} == {"word", "lacks", "half", "kind", "bad"}
+    got = {(r.book, r.seq): r.asDict(True) for r in entries.collect()}
+    assert set(got) == {("a", 0), ("a", 1), ("b", 0)}
+    assert {k: v for k, v in got["a", 0].items() if k not in ("book", "seq")} == full_entry(0)
+    plain = {"chapter_title": "", "style": "body", "ask_ai": False, "status": "mined", "destination": "both", "source": "xochitl", "drafts": [], "quote": None, "ink": None, "review": None, "text": None}
+    assert plain.items() <= got["a", 1].items()
+    books = L.read_books(spark, path)
+    assert {r.book: (r.author, r.chapters, r.page_mtimes) for r in books.collect()} == {"a": ("Me", ["One", "Two"], {"p": 7}), "b": ("", [], {}), "empty": ("", [], {})}
     new = entries.withColumn("text", F.when(F.col("book") == "b", "new").otherwise(F.col("text"))).union(entries.limit(1).withColumn("book", F.lit("bad")))
     assert [r.book for r in L.changed_books(new, entries, quarantine).collect()] == ["b"]
+    stamp = (tmp_path / "books" / "a.json").stat().st_mtime_ns
+    L.write_entries(new, entries, quarantine, books, path)
+    assert json.loads((tmp_path / "books" / "b.json").read_text()) == book("b", full_entry(1, text="new"), author="", chapters=[], page_mtimes={})
+    assert (tmp_path / "books" / "a.json").stat().st_mtime_ns == stamp and (tmp_path / "books" / "bad.json").read_text().endswith("[")
+    got["b", 0]["text"] = "new"
+    # written and read again, each field is what it was; the last entry of a book goes and its document stays
     out = str(tmp_path / "out")
-    entries.write.partitionBy("book").parquet(out)
-    L.write_entries(new, entries, quarantine, out)
-    assert {(r.book, r.text) for r in spark.read.parquet(out).collect()} == {("a", "x"), ("a", "y"), ("b", "new")}
-    L.write_entries(new.where("book = 'a'"), new, quarantine, out)  # the last entry of b went
-    assert not (tmp_path / "out" / "book=b").exists() and {r.text for r in spark.read.parquet(out).collect()} == {"x", "y"}
+    L.write_entries(entries, entries.limit(0), quarantine, books, out)
+    again = L.read_entries(spark, out)[0]
+    assert {(r.book, r.seq): r.asDict(True) for r in again.collect()} == got
+    L.write_entries(again.where("book = 'a'"), again, quarantine, books, out)
+    assert json.loads((tmp_path / "out" / "b.json").read_text())["entries"] == []
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["a.json", "b.json"]
 
 
 def test_vault(spark, tmp_path):
@@ -100,6 +136,8 @@ def test_enrich(spark):
     assert got == {0: ("A", True, 1), 1: (None, False, 0), 2: ("BC", True, 2)}
     bad = spark.createDataFrame([(i, "") for i in range(9)], "id long, text string").coalesce(1)
     assert enrich.enrich_rows(bad, "id", "text").count() == 3
+    nulls = spark.createDataFrame([(i, None) for i in range(5)] + [(9, "a")], "id long, text string").coalesce(1)
+    assert [(r.id, r.ok) for r in enrich.enrich_rows(nulls, "id", "text").collect()] == [(9, True)]
 
 
 T0 = datetime(2024, 1, 1)
