@@ -354,6 +354,6 @@ def test_secrets_in_long_texts(spark):
     got = {r.doc_id: r for r in secrets.scan(frame).collect()}
     took = time.time() - began
     spans = brute_secrets(text)
-    assert (got[1].n_assign, got[1].n_access, got[1].n_hex) == (0, sum(x[1] == 1 for x in spans), 16_000)
+    assert (got[1].n_assign, got[1].n_access, got[1].n_hex) == tuple(sum(x[1] == i for x in spans) for i in range(3))
     assert got[1].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans).encode()).hexdigest()
     assert took < 20, took
