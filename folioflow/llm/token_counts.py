@@ -7,10 +7,10 @@ text so far (it may take some back when a longer token forms). States and transi
 in a hash table of numpy arrays, so that all chunks of a batch step through the text together.
 
 A text is cut into chunks of ``CHUNK`` characters, anywhere. A chunk maps the state before it to a state and a count after it.
-Its map is compiled for the states that occur: first for the one that ``WARM`` characters before the chunk lead to from the
-start state, as states soon forget what was before them. All chunks run at once, and the maps are composed by a prefix scan:
-where the exit of a chunk is no entry of the next one's map, that map gets this entry, again all at once, until the maps fit
-together. So the counts are exact, and a text without blanks takes as long as one with them once its transitions are compiled.
+Its map has the states that occur: first the one that ``WARM`` characters before the chunk lead to from the start state, as states
+soon forget what was before them; and an exit that is no entry of the next chunk's map becomes one, for all chunks at once. The
+maps are composed by a parallel prefix scan, in as many steps as the logarithm of a text's chunks. So the counts are exact, and a
+text without blanks takes as long as one with them once its transitions are compiled.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; an empty table has no rows; repeated rows give repeated rows, and null
 keys stay; very long texts are taken whole; nothing can tie; other columns, whatever their names, are ignored.
@@ -252,8 +252,24 @@ class CountTransducer:
         back[order] = np.arange(len(order))
         return state[back], count[back]
 
-    def chunk_counts(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token counts of every chunk of every text (a text's last chunk closes it), and where each text's chunks begin."""
+    def compose(self, chunk: np.ndarray, entry: np.ndarray, exit_: np.ndarray, count: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The maps of all chunks, each a set of lanes entry -> (exit, count), composed with those of the chunks after it: for every
+        lane the state at the end of its text and the count up to there. A lane knows the lane that its exit enters in the next chunk;
+        each step joins what a lane leads to with what that leads to, so 2, 4, 8, ... chunks are composed, in log2 steps."""
+        key = chunk.astype(np.int64) << 32 | entry
+        order = np.argsort(key)
+        onward = np.flatnonzero(follows[chunk])
+        to = np.arange(len(chunk))
+        to[onward] = order[np.searchsorted(key, (chunk[onward].astype(np.int64) + 1) << 32 | exit_[onward], sorter=order)]
+        held = np.where(to == np.arange(len(chunk)), 0, count)  # of the chunks up to the lane ``to``
+        self.scan_steps = 0
+        while (to != to[to]).any():
+            held, to = held + held[to], to[to]
+            self.scan_steps += 1
+        return exit_[to], held + count[to]
+
+    def text_counts(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Token counts of every text."""
         if self.used > MAX_TRANSITIONS:
             self.clear()
         sizes = np.diff(offsets)
@@ -263,15 +279,24 @@ class CountTransducer:
         start = offsets[owner] + (np.arange(first[-1]) - first[owner]) * CHUNK
         end = np.minimum(start + CHUNK, offsets[owner + 1])
         inner = np.flatnonzero(np.arange(first[-1]) != first[owner])
+        follows = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.zeros(0, bool)
         entries = np.zeros(len(start), np.int32)
         entries[inner] = self.run(text, start[inner] - WARM, start[inner], entries[inner])[0]
-        exits, counts = self.run(text, start, end, entries)
-        while len(todo := inner[entries[inner] != exits[inner - 1]]):
-            entries[todo] = exits[todo - 1]
-            exits[todo], counts[todo] = self.run(text, start[todo], end[todo], entries[todo])
-        last = first[1:][chunks > 0] - 1
-        counts[last] += np.array([self.close(self.states[s]) for s in exits[last].tolist()], np.int64)
-        return counts, first
+        chunk, entry, lanes = np.arange(len(start)), entries, []
+        known = np.zeros(0, np.int64)
+        while len(chunk):  # the maps get the entries that occur
+            exit_, count = self.run(text, start[chunk], end[chunk], entry)
+            lanes.append((chunk, entry, exit_, count))
+            known = np.union1d(known, chunk.astype(np.int64) << 32 | entry)
+            on = follows[chunk]
+            new = np.setdiff1d((chunk[on].astype(np.int64) + 1) << 32 | exit_[on], known)
+            chunk, entry = new >> 32, (new & 0xFFFFFFFF).astype(np.int32)
+        out = np.zeros(len(sizes), np.int64)
+        if lanes:
+            state, total = self.compose(*(np.concatenate(x) for x in zip(*lanes)), follows)
+            some = chunks > 0  # the first lanes are the chunks themselves, a text's first from the start state
+            out[some] = total[first[:-1][some]] + np.array([self.close(self.states[s]) for s in state[first[:-1][some]].tolist()], np.int64)
+        return out
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts: list[str] = []
@@ -293,8 +318,7 @@ class CountTransducer:
 
     def count(self, texts: list[str]) -> np.ndarray:
         text, offsets = self.symbols(texts)
-        counts, first = self.chunk_counts(text, offsets)
-        return np.diff(np.concatenate([[0], np.cumsum(counts)])[first])
+        return self.text_counts(text, offsets)
 
 
 def bpe_symbols() -> list[str]:

@@ -77,6 +77,23 @@ def test_token_counts_equal_library(tokenizer):
     assert machine.count(texts).tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_maps_of_chunks_are_composed(tokenizer, monkeypatch):
+    """Several entries of a chunk, and as many steps as the logarithm of the chunks."""
+    monkeypatch.setattr(token_counts, "CHUNK", 7)
+    monkeypatch.setattr(token_counts, "WARM", 2)
+    machine = token_counts.CountTransducer(bpe.load(VOCABULARY))
+    pick = random.Random(11)
+    texts = ["".join(pick.choice("thean '12!re") for _ in range(n)) for n in (0, 1, 6, 7, 8, 14, 15, 100, 1000)] + ["a" * 500, "the " * 400]
+    want = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    lanes = []
+    compose = machine.compose
+    monkeypatch.setattr(machine, "compose", lambda *a: lanes.append(len(a[0])) or compose(*a))
+    assert machine.count(texts).tolist() == want
+    chunks = [-(-len(t) // 7) for t in texts]
+    assert lanes[0] > sum(chunks)  # maps with more than one entry
+    assert machine.scan_steps <= math.ceil(math.log2(max(chunks))) + 1
+
+
 def test_token_counts_query(docs, tokenizer):
     for r in token_counts.count_tokens(docs, VOCABULARY).collect():
         if r.doc_id is not None:
