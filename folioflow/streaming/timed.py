@@ -1,40 +1,54 @@
 """Stateful operators that take the rows of a key in the order of their time, and act by themselves when a time comes.
 
-A row waits in the state until the watermark passes it, and a timer at its time hands it on: so the order is that of the events
-however they are cut into micro-batches, no more than the rows of one millisecond are in memory, and what an operator
-does later without a further row is a timer, too. Rows that come after the watermark has passed them are left out by Spark,
+A row waits in the state until the watermark passes it, and a timer hands it on: so the order is that of the events
+however they are cut into micro-batches, and what an operator does later without a further row is a timer, too. A key has
+one timer, for its first waiting row or alarm, and when that rings, all rows that the watermark has passed are taken: a few from the
+key's own state, many from sorted runs, which are merged. So a micro-batch costs a key a few calls of the state, however many rows
+it has, and of the waiting rows a run for each ``CHUNK`` that came is in memory, with what a task writes in a micro-batch. Rows that come after the watermark has passed them are left out by Spark,
 but for ``ordered_commands``, which hands them on as late.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MICROS = 1_000_000
 
+#: Rows of a key that are sorted at a time, and rows of a run.
+CHUNK, RUN = 16_384, 1024
+
+
+def _place(row: list) -> list[tuple]:
+    """What rows of one time are ordered by: their fields, null first."""
+    return [(v is not None, v or 0) if not isinstance(v, str) else (True, v) for v in row]
+
 
 class InOrder(StatefulProcessor):
     """``on_row(at, row)`` gets the rows in order, ``on_time(at)`` is asked what is due up to a time before each of them and when
-    an alarm rings; times are microseconds. Both return rows of the output without the key."""
+    the watermark has come to a time; times are microseconds. Both return rows of the output without the key."""
 
     out: tuple[str, ...] = ()
     key = "key"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms bigint", "rows array<string>")
+        self.waiting = handle.getMapState("runs", "run bigint", "rows string")
         self.memory = handle.getValueState("memory", "state string")
+        self.alarms: set[int] = set()
+        self.named = Row(self.key, *self.out)
 
     def start(self) -> dict:
         return {}
 
     def alarm(self, at: int) -> None:
-        self.handle.registerTimer(-(-at // 1000))
+        self.alarms.add(-(-at // 1000))
 
     def on_time(self, state: dict, at: int) -> list[tuple]:
         return []
@@ -42,49 +56,90 @@ class InOrder(StatefulProcessor):
     def on_row(self, state: dict, at: int, row: list) -> list[tuple]:
         raise NotImplementedError
 
-    def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        columns = {self.key: pd.Series([key[0]] * len(rows), dtype=object)}
-        for i, c in enumerate(self.out):
-            columns[c] = pd.Series([r[i] for r in rows], dtype=object)
-        return pd.DataFrame(columns)
-
     def late(self, row: list) -> list[tuple]:
         return []
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        for batch in rows:
-            late: list[tuple] = []
-            names = [c for c in batch.columns if c not in (self.key, "at")]
-            by_ms: dict[int, list[str]] = {}
-            for values in zip(batch["at"].tolist(), *(batch[c].tolist() for c in names)):
-                at, *row = (None if isinstance(v, float) and v != v else v for v in values)
-                if at // 1000 <= watermark:
-                    late += self.late(row)
+    def _recall(self) -> dict:
+        """What a key has: its state, waiting rows in order, runs of more of them (time of the first row, number), and times at which
+        it is to be looked at."""
+        held = self.memory.get()
+        return json.loads(held[0]) if held else {"state": self.start(), "rows": [], "runs": [], "next": 0, "alarms": [], "timer": None}
+
+    def _keep(self, memory: dict) -> None:
+        """Write it, with one timer for whatever comes first; nothing is kept of a key that is as at its start."""
+        first = min([*memory["alarms"], *(r[0] // 1000 for r in (*memory["rows"][:1], *memory["runs"][:1]))], default=None)
+        if first is None:
+            memory.update(next=0, timer=None)
+            if memory["state"] == self.start():
+                return self.memory.clear()
+        elif memory["timer"] is None or memory["timer"] > first:
+            memory["timer"] = first
+            self.handle.registerTimer(first)
+        self.memory.update((json.dumps(memory),))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        watermark, memory = timerValues.getCurrentWatermarkInMs(), None
+        while chunk := list(islice(rows, CHUNK)):
+            names = [c for c in chunk[0].__fields__ if c not in (self.key, "at")]
+            places = [chunk[0].__fields__.index(c) for c in ("at", *names)]
+            held = []
+            for r in chunk:
+                at, *row = (r[i] for i in places)
+                if at // 1000 > watermark:
+                    held.append([at, *row])
+                else:
+                    yield from (self.named(key[0], *out) for out in self.late(row))
+            if not held:
+                continue
+            memory = memory or self._recall()
+            held = sorted(memory["rows"] + held, key=_place)
+            while len(held) > RUN:
+                self.waiting.updateValue((memory["next"],), (json.dumps(held[:RUN]),))
+                memory["runs"].append([held[0][0], memory["next"]])
+                memory["next"], held = memory["next"] + 1, held[RUN:]
+            memory["rows"] = held
+        if memory:
+            memory["runs"].sort()
+            self._keep(memory)
+
+    def _passed(self, memory: dict, watermark: int) -> Iterator[list]:
+        """The waiting rows that the watermark has passed, in order. A run is read when its first row is next."""
+        passed = lambda at: at // 1000 <= watermark
+        due = lambda rows: next((i for i, r in enumerate(rows) if not passed(r[0])), len(rows))
+        runs, left, n = memory["runs"], [], 0
+        own = memory["rows"][: due(memory["rows"])]
+        heads = [(_place(own[0]), -1, own, 0)] if own else []
+        memory["rows"] = memory["rows"][len(own) :]
+        while heads or (n < len(runs) and passed(runs[n][0])):
+            while n < len(runs) and passed(runs[n][0]) and (not heads or runs[n][0] <= heads[0][2][heads[0][3]][0]):
+                run, n = runs[n][1], n + 1
+                rows = json.loads(self.waiting.getValue((run,))[0])
+                if (end := due(rows)) == len(rows):
+                    self.waiting.removeKey((run,))
                 else:
-                    by_ms.setdefault(at // 1000, []).append(json.dumps([at, *row]))
-            for ms, new in by_ms.items():
-                held = list(self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
-                self.waiting.updateValue((ms,), (held + new,))
-                self.handle.registerTimer(ms)
-            yield self.frame(key, late)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        before = self.memory.get()[0] if self.memory.exists() else None
-        state, out = json.loads(before) if before else self.start(), []
-        rows = sorted(map(json.loads, self.waiting.getValue((ms,))[0])) if self.waiting.containsKey((ms,)) else []
-        if rows:
-            self.waiting.removeKey((ms,))
-        for at, *row in rows:
-            out += self.on_time(state, at) + self.on_row(state, at, row)
-        if not rows:
-            out += self.on_time(state, ms * 1000)
-        if state == self.start():
-            self.memory.clear()
-        elif (after := json.dumps(state)) != before:
-            self.memory.update((after,))
-        yield self.frame(key, out)
+                    self.waiting.updateValue((run,), (json.dumps(rows[end:]),))
+                    left.append([rows[end][0], run])
+                heapq.heappush(heads, (_place(rows[0]), run, rows[:end], 0))
+            _, run, rows, i = heads[0]
+            if i + 1 < len(rows):
+                heapq.heapreplace(heads, (_place(rows[i + 1]), run, rows, i + 1))
+            else:
+                heapq.heappop(heads)
+            yield rows[i]
+        memory["runs"] = sorted(left + runs[n:])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark, memory = timerValues.getCurrentWatermarkInMs(), self._recall()
+        if memory["timer"] is None or memory["timer"] > watermark:
+            return  # an earlier one of this key has been here
+        state, self.alarms = memory["state"], set(memory["alarms"])
+        for at, *row in self._passed(memory, watermark):
+            for out in self.on_time(state, at) + self.on_row(state, at, row):
+                yield self.named(key[0], *out)
+        for out in self.on_time(state, watermark * 1000):  # rows to come are later
+            yield self.named(key[0], *out)
+        memory["alarms"], memory["timer"] = sorted(ms for ms in self.alarms if ms > watermark), None
+        self._keep(memory)
 
     def close(self) -> None:
         pass
@@ -96,7 +151,7 @@ def in_order(rows: DataFrame, key: str, processor: InOrder, schema: str, late: s
     processor.key = key
     others = [c for c in rows.columns if c not in (key, at)]
     marked = rows.withWatermark(at, late).select(key, F.unix_micros(F.col(at)).alias("at"), *others)
-    return marked.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return marked.groupBy(key).transformWithState(processor, schema, "Append", "EventTime")
 
 
 class Lock(InOrder):
@@ -127,7 +182,7 @@ class Lock(InOrder):
             return []  # not counted
         state["recent"].append(at)
         if len(state["recent"]) < self.limit:
-            self.alarm(state["recent"][0] + self.window)  # to forget it
+            self.alarm(at + self.window)  # to forget it
             return []
         state["until"] = state["recent"][0] + self.window
         self.alarm(state["until"])
