@@ -52,3 +52,14 @@ def test_clusters_are_planned_once(spark):
     """Pairing reads the strokes' table, which is written once, three times, and never the given one again."""
     plan = QUERIES["pair_nearest"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 0 and plan.count("/ink-") <= 3 and plan.count("Exchange") <= 10
+
+
+def test_copies_in_cells_are_not_shuffled(spark, monkeypatch):
+    """Strokes and clusters go to their page; their copies in the cells of its grid stay there."""
+    from folioflow.operators import mining
+
+    plans, cut = [], mining.cut
+    monkeypatch.setattr(mining, "cut", lambda df, name="step": (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, name))[1])
+    plans.append(QUERIES["pair_nearest"](spark, DATA)._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p or "ShuffledHashJoin" in p or "BroadcastHashJoin" in p for p in plans)
+    assert not any("hashpartitioning(page" in line and "cx#" in line.split("hashpartitioning")[1] for p in plans for line in p.splitlines() if "hashpartitioning" in line)
