@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import safe_filename
@@ -249,19 +251,40 @@ def sink_vault(pieces: DataFrame, prints: DataFrame, recorded: DataFrame, path:
     return kept.unionByName(changed.select("book", "chapter", F.col("fingerprint").alias("recorded")))
 
 
+PACKAGE = "titles array<string>, creators array<string>, ids array<string>, hrefs array<string>, direction string, spine array<string>"
+
+
+def _package(xml: pd.Series) -> pd.DataFrame:
+    """What is asked of package documents, each parsed once; nulls for none."""
+    rows = []
+    for x in xml:
+        if not x:
+            rows.append((None,) * 6)
+            continue
+        root = ElementTree.fromstring(x)
+        within = lambda part, child: [e for p in root.iter(part) for e in p.findall(child)]
+        words = lambda child: [t for e in within("metadata", child) for t in (e.text, *(c.tail for c in e)) if t]
+        values = lambda found, name: [e.get(name) for e in found if e.get(name) is not None]
+        items, name = within("manifest", "item"), "page-progression-direction"
+        rows.append((words("title"), words("creator"), values(items, "id"), values(items, "href"), next(iter(values(root.iter("spine"), name)), ""), values(within("spine", "itemref"), "idref")))
+    return pd.DataFrame(rows, columns=["titles", "creators", "ids", "hrefs", "direction", "spine"])
+
+
 def extract_opf(files: DataFrame, key: str = "uuid", text: str = "text") -> DataFrame:
-    """(key, title, creator, rtl, manifest, spine) of package documents, by XPath; the spine as the items' places."""
+    """(key, title, creator, rtl, manifest, spine) of package documents; the spine as the items' places. A document is parsed once for
+    all of them."""
     bare = F.regexp_replace(F.regexp_replace(text, "(?s)<!--.*?-->|<\\?xml.*?\\?>|<!DOCTYPE[^>]*>", ""), r"\sxmlns(:\w+)?=\"[^\"]*\"|(?<=[<\s/])(?:dc|opf):", "")
-    items = files.withColumn("_x", F.regexp_replace(bare, r"(</?)(?:dc|opf):", "$1"))
-    at = lambda path: F.xpath("_x", F.lit(path))
-    manifest = F.arrays_zip(at("//manifest/item/@id").alias("id"), at("//manifest/item/@href").alias("href"))
-    return items.select(
+    parsed = F.pandas_udf(_package, PACKAGE)
+    found = files.withColumn("_x", parsed(F.regexp_replace(bare, r"(</?)(?:dc|opf):", "$1")))
+    x = F.col("_x")
+    first = lambda c: F.get(F.filter(F.transform(c, lambda s: F.trim(s)), lambda s: s != ""), 0)
+    return found.select(
         key,
-        F.get(F.filter(F.transform(at("//metadata/title/text()"), lambda s: F.trim(s)), lambda s: s != ""), 0).alias("title"),
-        F.get(F.filter(F.transform(at("//metadata/creator/text()"), lambda s: F.trim(s)), lambda s: s != ""), 0).alias("creator"),
-        (F.lower(F.trim(F.xpath_string("_x", F.lit("//spine/@page-progression-direction")))) == "rtl").alias("rtl"),
-        manifest.alias("manifest"),
-        at("//spine/itemref/@idref").alias("spine"),
+        first(x["titles"]).alias("title"),
+        first(x["creators"]).alias("creator"),
+        (F.lower(F.trim(x["direction"])) == "rtl").alias("rtl"),
+        F.arrays_zip(x["ids"].alias("id"), x["hrefs"].alias("href")).alias("manifest"),
+        x["spine"].alias("spine"),
     )
 
 

@@ -260,3 +260,15 @@ def test_bounded_lockout(spark, tmp_path):
     rows = [*fail("a", 0, 1), *fail("b", 2, 3, 4), *fail("c", 5), *fail("d", 6), *fail("a", 7, 8, 9)]  # b is locked; c and then a lose their place
     got = drain(S.bounded_lockout_stream(stream(spark, str(tmp_path / "f"), rows, "ip string, at timestamp, ok boolean"), cap=2, limit=3, shards=1), "bounded", tmp_path)
     assert sorted((r.ip, r.locked_at) for r in got) == [("a", at(9)), ("b", at(4))]
+
+
+def test_packages_are_parsed_once(spark):
+    text = '<package><metadata><title> <b>no</b> A<i>x</i>B &amp; C</title><title>D</title></metadata><manifest><item id="1" href="a&lt;"/><item href="b"/></manifest><spine page-progression-direction=" RTL"><itemref/><itemref idref="q"/></spine></package>'
+    files = spark.createDataFrame([("a", text), ("b", ""), ("c", None), ("d", "<package><spine/></package>")], "uuid string, text string")
+    found = L.extract_opf(files)
+    assert "xpath" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.uuid: r for r in found.collect()}
+    a, b, c, d = (rows[k] for k in "abcd")
+    assert (a.title, a.creator, a.rtl, a.spine) == ("A", None, True, ["q"]) and [tuple(m) for m in a.manifest] == [("1", "a<"), (None, "b")]
+    assert list(b[1:]) == [None] * 5 == list(c[1:])
+    assert (d.title, d.rtl, d.manifest, d.spine) == (None, False, [], [])
