@@ -1,5 +1,6 @@
 """Claims of drafts on stored entries: the rules one by one against the queues, and what a large page costs."""
 
+import hashlib
 import random
 
 import pandas as pd
@@ -92,3 +93,14 @@ def test_a_large_page_is_no_square():
     got = lifecycle.claim_page(drafts, entries)
     assert set(zip(got["pos"], got["id"], got["outcome"])) == {(i, str(n - 1 - i), "changed") for i in range(n)}
     assert compared < 40 * n
+
+
+def test_strokes_are_listed_once(spark):
+    """Ink and strokes of a cluster come from one list, in its order."""
+    box = "page long, stroke_no long, tool string, n_points long, x0 double, y0 double, x1 double, y1 double"
+    strokes = spark.createDataFrame([(1, n, "ballpoint", 3, 0.0, 0.0, 9.0, 9.0) for n in (10, 9, 2)], box)
+    found = lifecycle.inked_drafts(strokes)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
+    row = found.first()
+    assert row.strokes == ["2", "9", "10"] and row.ink_hash == hashlib.sha256(b"2;9;10").hexdigest()
